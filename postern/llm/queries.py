@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import leakage, packing, setjoin, unify
+from postern.llm import langid, leakage, packing, setjoin, unify
 from postern.session import table
 
 CASE_ITEMS = ("domains", "urls", "addresses", "hopaddresses")
@@ -40,7 +40,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_subjects, p4_found, p4_classes, p7_sequences, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(table(spark, d, "documents"))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage with its language and confidence."""
+    documents = table(spark, d, "documents")
+    return langid.segments(documents, langid.fit_documents(documents))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_subjects, p4_found, p4_classes, p7_sequences, p8_found, p9_found, p9_segments)}
 
 _SETS = """
     WITH raw AS (
