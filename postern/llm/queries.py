@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import langid, leakage, packing, setjoin, unify
+from postern.llm import langid, leakage, packing, pii, setjoin, unify
 from postern.session import table
 
 CASE_ITEMS = ("domains", "urls", "addresses", "hopaddresses")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(pii.mail_texts(table(spark, d, "parts"), table(spark, d, "cases")))
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies and subjects with placeholders."""
+    return pii.masked(pii.mail_texts(table(spark, d, "parts"), table(spark, d, "cases")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return unify.changed_values(table(spark, d, "cases"), table(spark, d, "confusables"))
 
@@ -50,7 +59,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(documents, langid.fit_documents(documents))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_subjects, p4_found, p4_classes, p7_sequences, p8_found, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_subjects, p4_found, p4_classes, p7_sequences, p8_found, p9_found, p9_segments)}
 
 _SETS = """
     WITH raw AS (
