@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postern.plans import problems
+from postern.plans import problems, textual
 
-_MODULES = (problems,)
+_MODULES = (problems, textual)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
