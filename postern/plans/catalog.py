@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from postern.plans import problems, textual
+from postern.plans import analysis, problems, textual
 
-_MODULES = (problems, textual)
+_MODULES = (problems, textual, analysis)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
-FLAGSHIP = QUERIES["p5_found"]
+FLAGSHIP = QUERIES["c09_campaigns"]
