@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postern.plans import analysis, problems, textual
+from postern.plans import analysis, problems, raw, textual
 
-_MODULES = (problems, textual, analysis)
+_MODULES = (problems, textual, analysis, raw)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
