@@ -73,22 +73,36 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarr
     """
     counts = np.zeros(len(lengths), dtype=np.int64)
     if most is None:
+        # Lengths of at least `block` let the table grow `block` entries at a time; shorter ones fill the gap.
+        block = 16
+        long_, short = np.nonzero(lengths >= block)[0], np.nonzero(lengths < block)[0]
+        w, v = lengths[long_], values[long_]
         best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(1, capacity + 1):
-            fit = int(np.searchsorted(lengths, c, side="right"))
-            best[c] = best[c - 1]
+        for c in range(block, capacity + 1, block):
+            rows = np.arange(c, min(c + block, capacity + 1))
+            fit = int(np.searchsorted(w, rows[-1], side="right"))
             if fit:
-                gain = best[c - lengths[:fit]] + values[:fit]
-                k = int(np.argmax(gain))
-                if gain[k] > best[c]:
-                    best[c], take[c] = gain[k], k
-        c = capacity
-        while c > 0:
+                back = rows[:, None] - w[None, :fit]
+                gain = np.where(back >= 0, best[np.maximum(back, 0)] + v[:fit], -1.0)
+                k = gain.argmax(axis=1)
+                top = gain[np.arange(len(rows)), k]
+                better = top > best[c - 1]
+                best[rows], take[rows] = np.where(better, top, best[c - 1]), np.where(better, k, -1)
+            else:
+                best[rows] = best[c - 1]
+        c = int(best.argmax())
+        left = capacity
+        while c > 0 and best[c] > 0:
             if take[c] < 0:
                 c -= 1
             else:
-                counts[take[c]] += 1
-                c -= int(lengths[take[c]])
+                counts[long_[take[c]]] += 1
+                left -= int(w[take[c]])
+                c -= int(w[take[c]])
+        for k in short[np.argsort(-values[short] / lengths[short])]:
+            n = left // int(lengths[k])
+            counts[k] += n
+            left -= n * int(lengths[k])
         return counts
     bundles = []
     for k in np.nonzero(most)[0]:
@@ -111,29 +125,42 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarr
     return counts
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400, eps: float = 0.1) -> list[tuple[np.ndarray, float]]:
-    """Configuration LP by multiplicative weights: (configuration, how often), covering the demand."""
-    weight = np.ones(len(lengths))
+def _densest(value: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Positions of the `width` lengths with most value per token, in order of length."""
+    if len(lengths) <= width:
+        return np.arange(len(lengths))
+    return np.sort(np.argpartition(-value / lengths, width)[:width])
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500, step: float = 0.25, width: int = 128) -> list[tuple[np.ndarray, float]]:
+    """Configuration LP by multiplicative weights: (configuration, how often), nowhere above the demand.
+
+    A length's weight falls exponentially with the part of its demand that is covered, so the next
+    configuration is priced for what lags. A configuration is used as often as its scarcest length
+    allows in one step; the knapsack prices over the `width` densest lengths.
+    """
+    covered = np.zeros(len(lengths))  # in units of the demand
     chosen: dict[bytes, list] = {}
-    covered = np.zeros(len(lengths))
+    rate = math.log(max(2, len(lengths))) * 2
     for _ in range(rounds):
-        value = weight * (1.0 + 1e-9) / demand
-        config = price(value * demand.sum() + lengths * 1e-12, lengths, capacity)
-        if not config.any():
-            break
+        done = covered - covered.min()
+        value = lengths * np.exp(-rate * done)
+        at = _densest(value, lengths, width)
+        config = np.zeros(len(lengths), dtype=np.int64)
+        config[at] = price(value[at], lengths[at], capacity)
         held = config > 0
-        # Use the configuration as often as its scarcest length allows in one step of eps.
-        step = float(np.min(demand[held] / config[held])) * eps
-        chosen.setdefault(config.tobytes(), [config, 0.0])[1] += step
-        covered += config * step
-        weight *= np.exp(-eps * np.minimum(1.0, config * step / (eps * demand)) * 5)
-        weight /= weight.max()
-        np.maximum(weight, 1e-12, out=weight)
-    scale = 1.0 / max(1e-9, float((covered / demand).max()))
+        if not held.any():
+            break
+        times = step * float((demand[held] / config[held]).min())
+        chosen.setdefault(config.tobytes(), [config, 0.0])[1] += times
+        covered[held] += config[held] * times / demand[held]
+        if covered.min() >= 1.0:
+            break
+    scale = 1.0 / max(1.0, float(covered.max()))
     return [(c, x * scale) for c, x in chosen.values()]
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500) -> list[tuple[np.ndarray, int]]:
     """Whole configurations with their multiplicity that together hold every item exactly once."""
     left = demand.astype(np.int64).copy()
     plan: list[tuple[np.ndarray, int]] = []
@@ -143,11 +170,15 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int =
         if k > 0:
             plan.append((config, k))
             left -= config * k
-    # Rounding leaves less than one sequence per configuration and what the LP did not reach; long
-    # items are worth more than their share so that they are not left for last.
+    # Rounding leaves the fractions and what the LP didn't reach. Long items first: they are worth
+    # more than their share, and shorter ones of all sizes are kept at hand to fill up.
     while left.any():
-        value = lengths.astype(float) * (1 + lengths / (4.0 * capacity))
-        config = price(value, lengths, capacity, left)
+        have = np.nonzero(left)[0]
+        if len(have) > 160:
+            have = np.unique(np.concatenate([have[-64:], have[np.linspace(0, len(have) - 65, 96).astype(int)]]))
+        value = lengths[have] * (1 + lengths[have] / (4.0 * capacity))
+        config = np.zeros(len(lengths), dtype=np.int64)
+        config[have] = price(value, lengths[have], capacity, left[have])
         held = config > 0
         k = int((left[held] // config[held]).min())
         plan.append((config, k))
@@ -200,7 +231,7 @@ def assign(items: DataFrame, lengths: np.ndarray, plan: list[tuple[np.ndarray, i
     return ranked.mapInPandas(place, "doc_id bigint, piece int, length int, seq_id bigint, pos_tokens bigint")
 
 
-def pack(documents: DataFrame, capacity: int = 2048, tokenizers: str = TOKENIZERS, rounds: int = 400) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 2048, tokenizers: str = TOKENIZERS, rounds: int = 1500) -> DataFrame:
     """(doc_id, piece, length, seq_id, pos_tokens): every post in a training sequence.
 
     Null and empty posts hold no tokens and are in no sequence. Repeated rows are packed as often
