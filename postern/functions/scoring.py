@@ -43,12 +43,16 @@ def _literals(values: list[float]) -> Column:
 
 def logits(x) -> Column:
     """array<double>[8] from the nullable vector array<double>[60]."""
-    return F.array(
-        *[
-            F.aggregate(F.zip_with(_literals(w), c(x), term), F.lit(b), lambda acc, v: acc + v)
-            for b, w in zip(L.INTERCEPTS, weights(), strict=True)
-        ]
-    )
+
+    def of(values: Column) -> Column:
+        out = []
+        for b, w in zip(L.INTERCEPTS, weights(), strict=True):
+            # A vector lies in [0, 1]; where no weight exceeds the clip, clipping can't change a term.
+            each = (lambda a, v: a * v) if max(map(abs, w)) <= L.CLIP else term
+            out.append(F.aggregate(F.zip_with(_literals(w), values, each), F.lit(b), lambda acc, v: acc + v))
+        return F.array(*out)
+
+    return let(F.transform(c(x), lambda v: F.coalesce(v, F.lit(0.0))), of)
 
 
 def softmax(z) -> Column:

@@ -50,7 +50,7 @@ def p01_parse(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d).select("msg_id", F.size("hops").cast("bigint").alias("n_hops"), "subject", F.size("parts").alias("n_parts"), "body")
 
 
-@query("""SELECT msg_id, index, host, protocol, by FROM (SELECT CAST(msg_no AS VARCHAR) AS msg_id, CAST(row_number() OVER (PARTITION BY msg_no ORDER BY hopindex, hop_no) - 1 AS INTEGER) AS index, host, lower(protocol) AS protocol, byhost AS by
+@query("""SELECT msg_id, index, host, protocol, "by" FROM (SELECT CAST(msg_no AS VARCHAR) AS msg_id, CAST(row_number() OVER (PARTITION BY msg_no ORDER BY hopindex, hop_no) - 1 AS INTEGER) AS index, host, lower(protocol) AS protocol, byhost AS "by"
     FROM hops WHERE byhost IS NOT NULL) WHERE host IS NOT NULL""")
 def p08_hops(spark: SparkSession, d: str) -> DataFrame:
     h = mailparse.hop_rows(parsed(spark, d)).filter("host <> 'unknown'")
