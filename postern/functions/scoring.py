@@ -72,7 +72,7 @@ def sigmoid(v) -> Column:
 
 
 def clamp01(v) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c(v)))
+    return F.when(c(v).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c(v))))
 
 
 def noisy_or(values) -> Column:
@@ -120,7 +120,7 @@ def geometric_confidence(t, s, a, x) -> Column:
     out = F.lit(1.0)
     for v, e in parts:
         out = out * F.pow(clamp01(v), F.lit(e))
-    return F.least(out, F.lit(L.CONFIDENCE_CAP))
+    return F.when(out.isNotNull(), F.least(out, F.lit(L.CONFIDENCE_CAP)))
 
 
 def band(risk_final_) -> Column:
@@ -136,7 +136,7 @@ def attribution_band(value) -> Column:
 
 
 def age_ramp(days) -> Column:
-    return 1.0 - F.least(F.log1p(c(days)) / F.log(F.lit(3651.0)), F.lit(1.0))
+    return F.when(c(days) >= 0, 1.0 - F.least(F.log1p(c(days)) / F.log(F.lit(3651.0)), F.lit(1.0)))
 
 
 def coverage(x, k: int) -> Column:

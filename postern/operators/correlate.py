@@ -107,7 +107,7 @@ def threshold(tau: float | None) -> float:
 
 def campaign_risk(risk: Column) -> Column:
     """Aggregate: 100 (1 - prod(1 - r / 100)), r clamped; NULL risks don't count; none gives NULL."""
-    r = F.greatest(F.lit(0.0), F.least(F.lit(100.0), risk))
+    r = F.when(risk.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), risk)))
     return 100.0 * (1.0 - F.product(1.0 - r / 100.0))
 
 

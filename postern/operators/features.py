@@ -69,7 +69,7 @@ def ident_features(domain: Column, age_days: Column, distance: Column, mx: Colum
         "lookalike_strong": _flag(distance <= 2),
         "homoglyph_ratio": text.homoglyph_ratio(domain, lookalikes),
         "digit_dash_ratio": text.digit_dash_ratio(text.first_label(domain)),
-        "subdomain_depth": 1.0 - 1.0 / (1.0 + F.greatest(F.lit(0), labels - 2)),
+        "subdomain_depth": F.when(domain.isNotNull(), 1.0 - 1.0 / (1.0 + F.greatest(F.lit(0), labels - 2))),
         "suspicious_tld": _flag(text.tld(domain).isin(L.SUSPICIOUS_TLD)),
         "mx_absent": _flag(~mx),
         "rdap_privacy": _flag(privacy),

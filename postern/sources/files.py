@@ -43,9 +43,11 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cases, rejected lines): bad lines are kept aside, missing times are NULL."""
-    df = spark.read.schema(CASE + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    good = df.filter("_bad is null").drop("_bad").withColumn("observedAt", F.when(F.col("observedAt") >= 0, F.col("observedAt")))
-    return good, df.filter("_bad is not null").select("_bad")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    df = lines.select("value", F.from_json("value", CASE + ", _bad string", options).alias("r"))
+    good = df.filter("r._bad is null").select("r.*").drop("_bad").withColumn("observedAt", F.when(F.col("observedAt") >= 0, F.col("observedAt")))
+    return good, df.filter("r._bad is not null").select(F.col("value").alias("_bad"))
 
 
 def append_cases(cases: DataFrame, path: str) -> None:
