@@ -111,7 +111,7 @@ def contained(nodes: DataFrame, key: str, parent: str, child: str) -> DataFrame:
 
 def _json_text(txt: Column) -> Column:
     """The text of a JSON value; a JSON string is unwrapped, so text within text becomes that text."""
-    return F.from_json(F.concat(F.lit("["), txt, F.lit("]")), "array<string>")[0]
+    return F.get(F.from_json(F.concat(F.lit("["), txt, F.lit("]")), "array<string>"), F.lit(0))
 
 
 def _json_items(txt: Column) -> Column:

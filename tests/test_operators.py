@@ -178,9 +178,10 @@ def test_lockout_batch_equals_stream(spark, tmp_path):
     assert batch[4] == (5, True) and batch[5][1] and batch[7] == (0, False) and batch[8] == (1, False) and batch[10] == (0, False)
     df.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = stateful.lockout_stream(s).writeStream.format("memory").queryName("locks").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = stateful.lockout_stream(s).writeStream.format("memory").queryName("locks").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    done = q.awaitTermination(90)
     q.stop()
+    assert done
     assert {r["seq"]: (r["failures"], r["locked"]) for r in spark.table("locks").collect()} == batch
 
 
