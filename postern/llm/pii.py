@@ -64,13 +64,15 @@ STREETS = [
 CLAUSE = re.compile(r"[\r\n|]| / ")
 AFTER = re.compile(r"[\r\n|]| / |[.!?](?:\s|$)")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+# Prefix letters that are issued, and QQ, which is kept for examples.
+INSURANCE = re.compile(r"(?:QQ|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z])\d{6}[A-D]")
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 
 def _proves_identity(val: str) -> bool:
     """Seeds among identity numbers: layouts with a check letter, a check key or a reserved alphabet."""
     bare = re.sub(r"[ -]", "", val)
-    if re.fullmatch(r"[A-CEGHJ-PR-TW-Z][A-Z]\d{6}[A-D]", bare):
+    if INSURANCE.fullmatch(bare):
         return True
     if re.fullmatch(r"\d{8}[A-Z]", bare):
         return DNI_LETTERS[int(bare[:8]) % 23] == bare[8]
@@ -106,7 +108,9 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
         for m in NUMBER.finditer(text):
             v = m[0]
             digits = sum(c.isdigit() for c in v)
-            if 7 <= digits <= 16 and free(*m.span()):
+            # Shorter runs are no number of a person, except the layout with two letters before and one after.
+            short = digits == 6 and re.fullmatch(r"[A-Z]{2}[\d ]+[A-Z]", v)
+            if (7 <= digits <= 16 or short) and free(*m.span()):
                 seed = "phone" if v[0] == "+" else "idnum" if _proves_identity(v) else ""
                 out.append((m.start(), m.end(), "number", _shape(v), seed))
                 taken.append(m.span())
