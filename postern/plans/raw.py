@@ -86,10 +86,10 @@ def z02_lockout(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def z01_campaigns(spark: SparkSession, d: str) -> DataFrame:
-    """C11 as well: messages joined by address or sender domain; only selective keys, so that no provider joins all."""
+    """C11 as well: messages joined by address or sender domain."""
     h = table(spark, d, "hops").filter("hopindex = 0").select("msg_no", "ip")
     m = table(spark, d, "messages").join(h, "msg_no", "left")
-    return stateful.campaigns_batch(m.select(F.col("msg_no").alias("msg"), "ip", F.lower("messageid").alias("domain")))
+    return stateful.campaigns_batch(m.select(F.col("msg_no").alias("msg"), "ip", headers.address_domain("fromaddr").alias("domain")))
 
 
 @query("""SELECT r.event_id, coalesce(bool_or(l.ts <= r.ts AND r.ts < l.ts + INTERVAL 8 HOUR), false) AS active FROM (SELECT * FROM events WHERE event_type = 'click') r
