@@ -42,6 +42,12 @@ def x01_nfkc(spark: SparkSession, d: str) -> DataFrame:
     return s.select("case_no", (text.nfkc("subject") == F.col("subject")).alias("composed"), F.col("subject").rlike(r"^[\x00-\x7F]*$").alias("a")).filter("a").drop("a")
 
 
+@query()
+def x01_nfkc_all(spark: SparkSession, d: str) -> DataFrame:
+    """The normalised text of every subject; x01_nfkc has the ASCII ones only, as far as its SQL goes."""
+    return table(spark, d, "cases").select("case_no", text.nfkc("subject").alias("normal"))
+
+
 @query(f"SELECT case_no, regexp_replace(subject, '{_INV}', '', 'g') AS visible FROM cases")
 def x02_strip_invisible(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").select("case_no", text.strip_invisible("subject").alias("visible"))
@@ -63,6 +69,12 @@ def x05_homoglyph_ratio(spark: SparkSession, d: str) -> DataFrame:
     return s.select("case_no", F.round(text.homoglyph_ratio("subject", LOOKALIKES), 6).alias("ratio"))
 
 
+@query()
+def x05_homoglyph_ratio_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every subject, NULL without one; x05_homoglyph_ratio has the ASCII ones only, as far as its SQL goes."""
+    return table(spark, d, "cases").select("case_no", F.when(F.col("subject").isNotNull(), F.round(text.homoglyph_ratio("subject", LOOKALIKES), 6)).alias("ratio"))
+
+
 @query("SELECT case_no, regexp_matches(subject, '\\p{Latin}') AND regexp_matches(subject, '[\\p{Cyrillic}\\p{Greek}]') AS mixed FROM cases")
 def x06_mixed_script(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").select("case_no", text.mixed_script("subject").alias("mixed"))
