@@ -248,6 +248,12 @@ def p10_header_date(spark: SparkSession, d: str) -> DataFrame:
     return m.select("msg_no", F.unix_millis(headers.header_date("dateheader")).alias("ms"))
 
 
+@query()
+def p10_header_date_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every message, NULL where its date can't be read; p10_header_date has one notation only, as far as its SQL goes."""
+    return table(spark, d, "messages").select("msg_no", F.unix_millis(headers.header_date("dateheader")).alias("ms"))
+
+
 @query("SELECT o_orderkey, strftime(make_timestamp_ms(o_orderkey * 86400123), '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM orders")
 def x29_iso_millis(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", headers.iso_millis(F.col("o_orderkey") * 86400123).alias("stamp"))

@@ -33,3 +33,16 @@ def test_every_subject_is_normalised_and_rated(spark, tmp_path):
     want = [None if s is None else round(sum(ch in LOOKALIKES for ch in s) / len(s), 6) if s else 0.0 for s in seen]
     got = dict(map(tuple, catalog.QUERIES["x05_homoglyph_ratio_all"](spark, d).collect()))
     assert [got[i] for i in range(len(want))] == pytest.approx(want) and got[3] > 0.8
+
+
+def test_every_header_date_is_tried(spark, tmp_path):
+    noon = 1735560000000  # 30 Dec 2024 12:00:00 UTC
+    dates = {
+        "Mon, 30 Dec 2024 12:00:00 +0000": noon, "Mon, 30 Dec 2024 12:00:00 GMT": noon, "Mon, 30 Dec 2024 17:30 +0530": noon, "Mon, 30 Dec 2024 07:00 EST": noon,
+        "30 Dec 2024 04:00:00 -0800": noon, "30 Dec 2024 08:00:00 EDT": noon, "30 Dec 2024 12:00 +0000": noon, "30 Dec 2024 12:00 UT": noon,
+        "Mon, 30 Dec 2024 12:00:00 Z": noon, "Monday, 30 Dec 2024 05:00:00 MST": noon, "Mon, 30 Dec 2024 06:00:00 MDT": noon, "30 Dec 2024 06:00:00 CST": noon, "30 Dec 2024 07:00:00 CDT": noon,
+        "30 Dec 2024 04:00:00 PST": noon, "30 Dec 2024 05:00:00 PDT": noon, "Mon, 30 Dec 2024  12:00:00 +0000 (local time)": noon,
+        "32 Dec 2025 08:00:00 +0000": None, "Sat, Oct 2024": None, "n/a": None, "": None, "30 Dec 2024 12:00:00": None, None: None,
+    }
+    d = write(spark, tmp_path, messages=(list(enumerate(dates)), "msg_no bigint, dateheader string"))
+    assert dict(map(tuple, catalog.QUERIES["p10_header_date_all"](spark, d).collect())) == dict(enumerate(dates.values()))
