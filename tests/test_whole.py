@@ -46,3 +46,18 @@ def test_every_header_date_is_tried(spark, tmp_path):
     }
     d = write(spark, tmp_path, messages=(list(enumerate(dates)), "msg_no bigint, dateheader string"))
     assert dict(map(tuple, catalog.QUERIES["p10_header_date_all"](spark, d).collect())) == dict(enumerate(dates.values()))
+
+
+def test_attribution_with_hints(spark, tmp_path):
+    rows = [
+        (1, 1, 0, "198.19.4.4", "smtp4.wendelwick.test", "ESMTP"), (2, 2, 0, "198.18.7.9", "a.test", "ESMTP"), (3, 3, 0, "198.19.4.4", "EDGE8.x.test", "ESMTP"),
+        (4, 4, 0, "8.8.8.8", "edge7.talsen.example", "HTTP"), (5, 5, 0, "8.8.8.8", "a.test", "ESMTP"), (6, 6, 0, "10.0.0.1", "a.test", "ESMTP"), (7, 7, 0, "198.18.9.9", None, "ESMTP"),
+    ]
+    d = write(spark, tmp_path, hops=([(*r, None) for r in rows], "msg_no bigint, hop_no bigint, hopindex int, ip string, host string, protocol string, timestampraw string"))
+    got = {r["msg_no"]: r for r in catalog.QUERIES["t07_attribution"](spark, d).collect()}
+    s4 = (41 / 365 + 1) / 2  # no operator is known: age and MX only; values are capped at .85
+    want = {1: 0.85, 2: 0.0, 3: 0.25**0.25, 4: s4**0.25 * 0.75**0.25 * 0.5**0.15, 5: 0.0, 6: 0.0, 7: 0.85}
+    assert {k: r["value"] for k, r in got.items()} == pytest.approx(want, abs=1e-6)
+    assert [got[i]["indicators"] for i in range(1, 8)] == [0, 1, 1, 1, 0, 0, 0]
+    text = {r["msg_no"]: r["summary"] for r in catalog.QUERIES["t12_summary"](spark, d).collect()}
+    assert "STRONG" in text[1] and "anonymiser" in text[2] and "not known" in text[5]
