@@ -73,14 +73,33 @@ def candidates(docs: DataFrame, with_headers: bool = True) -> DataFrame:
     return k.select(F.col("id").alias("a"), "k").join(k.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b").distinct()
 
 
+def with_vectors(docs: DataFrame) -> DataFrame:
+    """docs with the tf-idf vector of subject and body as `vec`; all vectors come from one idf."""
+    toks = docs.select("id", text.tokens(F.concat_ws(" ", "subject", "body")).alias("tokens"))
+    vec = tfidf(toks).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("vec"))
+    return materialize(docs.join(vec, "id", "left"), "documents")
+
+
+def missed_pairs(members: DataFrame, scored: DataFrame, parts: int = 32) -> DataFrame:
+    """(a, b), a < b: pairs inside a cluster that were not scored, as they can't be links.
+
+    They are all pairs of a cluster by nature; one side of it is cut into `parts`, so that a large
+    cluster is the work of many tasks.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(parts))
+    big = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("root")
+    m = members.join(big, "root", "left_semi")
+    x = m.select("root", F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("s"))
+    y = m.select("root", F.col("id").alias("b"), salt.cast("int").alias("s"))
+    return x.join(y, ["root", "s"]).filter("a < b").select("a", "b").join(scored.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def pair_scores(docs: DataFrame, pairs: DataFrame | None = None, with_headers: bool = True) -> DataFrame:
     """All components of each candidate pair and the combined score.
 
-    `docs`: id, subject, body and the six sets. The vectors of all documents come from one idf.
+    `docs`: id, subject, body and the six sets, with vectors or without.
     """
-    toks = docs.select("id", text.tokens(F.concat_ws(" ", "subject", "body")).alias("tokens"))
-    vec = tfidf(toks).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("vec"))
-    full = materialize(docs.join(vec, "id", "left"), "documents")
+    full = docs if "vec" in docs.columns else with_vectors(docs)
     pairs = candidates(docs, with_headers) if pairs is None else pairs
     side = lambda s: full.select(*[F.col(x).alias(f"{s}_{x}" if x != "id" else s) for x in full.columns])
     j = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -119,7 +138,7 @@ def clusters(links: DataFrame) -> DataFrame:
 def campaigns(docs: DataFrame, members: DataFrame, scored: DataFrame, tau: float | None = None) -> DataFrame:
     """One row per cluster: size, risk, mean confidence, window, cohesion, weakest pair, dominant component.
 
-    Cohesion is over linked pairs; weakest over all scored pairs inside the cluster.
+    Cohesion is over linked pairs; weakest over all scored pairs inside the cluster, so `scored` must have them all.
     """
     t = threshold(tau)
     per = members.join(docs.select("id", "risk", "confidence", "observed_ms"), "id").groupBy("root").agg(

@@ -222,7 +222,7 @@ _PAIRS = f"""WITH docs AS ({_DOC}), toks AS (SELECT id, unnest({_TOKENS.format("
 
 
 def _case_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = materialize(correlate.case_documents(table(spark, d, "cases")), "case_documents")
+    docs = correlate.with_vectors(correlate.case_documents(table(spark, d, "cases")))
     return docs, materialize(correlate.pair_scores(docs, with_headers=False), "pairs")
 
 
@@ -259,7 +259,7 @@ def c09_campaigns(spark: SparkSession, d: str) -> DataFrame:
     """A05, A06, A07, A08, C10 and J08 as well."""
     docs, p = _case_pairs(spark, d)
     m = materialize(correlate.clusters(p.filter(F.col("combined") >= L.TAU_CLUSTER).select("a", "b")), "members")
-    c = correlate.campaigns(docs, m, p)
+    c = correlate.campaigns(docs, m, p.unionByName(correlate.pair_scores(docs, correlate.missed_pairs(m, p))))
     r = lambda x: F.round(x, 6).alias(x)
     return c.select("root", "size", r("risk"), r("confidence"), "first_ms", "last_ms", r("cohesion"), r("weakest"), "links")
 

@@ -61,3 +61,11 @@ def test_attribution_with_hints(spark, tmp_path):
     assert [got[i]["indicators"] for i in range(1, 8)] == [0, 1, 1, 1, 0, 0, 0]
     text = {r["msg_no"]: r["summary"] for r in catalog.QUERIES["t12_summary"](spark, d).collect()}
     assert "STRONG" in text[1] and "anonymiser" in text[2] and "not known" in text[5]
+
+
+def test_weakest_pair_of_a_chain(spark, tmp_path):
+    schema = "case_no bigint, subject string, domains array<string>, addresses array<string>, hopaddresses array<string>, attachmenthashes array<string>, urls array<string>, risk double, confidence double, observedat bigint"
+    rows = [(i, "pay now", ["hot.test"], [str(i + k) for k in range(3)], None, ["h"], None, 10.0, 0.5, 1) for i in range(4)]
+    d = write(spark, tmp_path, cases=(rows, schema))
+    r = catalog.QUERIES["c09_campaigns"](spark, d).first()
+    assert (r["size"], r["links"]) == (4, 3) and r["cohesion"] == pytest.approx(0.65) and r["weakest"] == pytest.approx(0.55)
