@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postern.functions.text import c
+from postern.functions.text import at_most, c
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"^(?:{OCTET}\.){{3}}{OCTET}$"
@@ -151,23 +151,23 @@ def fetch_verdict(host) -> Column:
     )
 
 
-def extract_ips(text, cap: int = 64) -> Column:
+def extract_ips(text, cap: int | None = None) -> Column:
     """Valid IPv4 literals of a text in order; a run of digits and dots counts only as a whole."""
     runs = F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit("[0-9.]+"), F.lit(0))
     trimmed = F.transform(runs, lambda r: F.regexp_replace(r, r"^\.+|\.+$", ""))
-    return F.slice(F.filter(trimmed, lambda r: r.rlike(IPV4)), 1, cap)
+    return at_most(F.filter(trimmed, lambda r: r.rlike(IPV4)), cap)
 
 
-def urls_b(text, cap: int = 1000) -> Column:
-    """Links of a text, each once: until blank, quote or bracket, without closing punctuation, longer than 12."""
-    raw = F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit(r"""(?i)https?://[^\s"'<>`)\]]{0,2040}"""), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(F.transform(raw, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")), lambda u: F.length(u) > 12)), 1, cap)
+def urls_b(text, cap: int | None = None, longest: int | None = None) -> Column:
+    """Links of a text, each once: until blank, quote or bracket, without closing punctuation, longer than 12; `longest`: characters read after the scheme."""
+    raw = F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit(r"""(?i)https?://[^\s"'<>`)\]]""" + ("*" if longest is None else f"{{0,{longest}}}")), F.lit(0))
+    return at_most(F.array_distinct(F.filter(F.transform(raw, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")), lambda u: F.length(u) > 12)), cap)
 
 
-def urls_a(text, cap: int = 1000) -> Column:
+def urls_a(text, cap: int | None = None) -> Column:
     """Links as the scoring reads them: repeats kept, until blank, quote, angle, parenthesis or pipe, longer than 8."""
     raw = F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit(r"""(?i)https?://[^\s"'<>)|]*"""), F.lit(0))
-    return F.slice(F.filter(F.transform(raw, lambda u: F.regexp_replace(u, r"[.,;:!]+$", "")), lambda u: F.length(u) > 8), 1, cap)
+    return at_most(F.filter(F.transform(raw, lambda u: F.regexp_replace(u, r"[.,;:!]+$", "")), lambda u: F.length(u) > 8), cap)
 
 
 def url_host_b(url) -> Column:

@@ -19,10 +19,18 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def tokens(text, limit: int = 4000, chars: int = 1_000_000) -> Column:
-    """Lower-case ASCII words of 2..32 characters, the first `limit` of the first `chars` characters; NULL gives none."""
-    found = F.regexp_extract_all(F.substring(F.coalesce(c(text), F.lit("")), 1, chars), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    return F.slice(F.transform(F.filter(found, lambda t: F.length(t).between(2, 32)), F.lower), 1, limit)
+def at_most(array: Column, limit: int | None) -> Column:
+    return array if limit is None else F.slice(array, 1, limit)
+
+
+def tokens(text, limit: int | None = None, chars: int | None = None) -> Column:
+    """Lower-case ASCII words of 2..32 characters; NULL gives none.
+
+    For the reference's form, the first 4,000 words of the first 1,000,000 characters, give both limits.
+    """
+    t = F.coalesce(c(text), F.lit(""))
+    found = F.regexp_extract_all(t if chars is None else F.substring(t, 1, chars), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    return at_most(F.transform(F.filter(found, lambda t: F.length(t).between(2, 32)), F.lower), limit)
 
 
 @F.pandas_udf(T.StringType())

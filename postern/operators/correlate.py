@@ -14,11 +14,11 @@ from postern.session import materialize
 SETS = ("domains", "addresses", "header_names", "attachment_hashes", "urls", "file_types")
 
 
-def clean_set(*arrays, cap: int = 512) -> Column:
-    """Distinct trimmed values of array columns, nulls and blanks out, in first-seen order, at most `cap`."""
+def clean_set(*arrays, cap: int | None = None) -> Column:
+    """Distinct trimmed values of array columns, nulls and blanks out, in first-seen order, at most `cap` if given."""
     each = [F.coalesce(c(a), F.array().cast("array<string>")) for a in arrays]
     vals = F.transform(F.flatten(F.array(*each)), lambda v: F.trim(v))
-    return F.slice(F.array_distinct(F.filter(vals, lambda v: v.isNotNull() & (v != ""))), 1, cap)
+    return text.at_most(F.array_distinct(F.filter(vals, lambda v: v.isNotNull() & (v != ""))), cap)
 
 
 def jaccard(a, b) -> Column:

@@ -3,7 +3,10 @@
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from postern.functions import net, text
+from postern.operators import correlate
 from postern.plans import catalog
 from postern.plans.textual import LOOKALIKES
 
@@ -59,8 +62,8 @@ def test_attribution_with_hints(spark, tmp_path):
     want = {1: 0.85, 2: 0.0, 3: 0.25**0.25, 4: s4**0.25 * 0.75**0.25 * 0.5**0.15, 5: 0.0, 6: 0.0, 7: 0.85}
     assert {k: r["value"] for k, r in got.items()} == pytest.approx(want, abs=1e-6)
     assert [got[i]["indicators"] for i in range(1, 8)] == [0, 1, 1, 1, 0, 0, 0]
-    text = {r["msg_no"]: r["summary"] for r in catalog.QUERIES["t12_summary"](spark, d).collect()}
-    assert "STRONG" in text[1] and "anonymiser" in text[2] and "not known" in text[5]
+    said = {r["msg_no"]: r["summary"] for r in catalog.QUERIES["t12_summary"](spark, d).collect()}
+    assert "STRONG" in said[1] and "anonymiser" in said[2] and "not known" in said[5]
 
 
 def test_weakest_pair_of_a_chain(spark, tmp_path):
@@ -69,3 +72,18 @@ def test_weakest_pair_of_a_chain(spark, tmp_path):
     d = write(spark, tmp_path, cases=(rows, schema))
     r = catalog.QUERIES["c09_campaigns"](spark, d).first()
     assert (r["size"], r["links"]) == (4, 3) and r["cohesion"] == pytest.approx(0.65) and r["weakest"] == pytest.approx(0.55)
+
+
+def test_long_texts_are_read_to_the_end(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(5000)) + "  " + "- " * 500_000 + "last"
+    links = " ".join(f"http://a.test/{i:05d}" for i in range(1200)) + " http://b.test/" + "x" * 3000 + "1 http://b.test/" + "x" * 3000 + "2"
+    ips = " ".join(f"9.9.{i}.1" for i in range(100))
+    d = write(spark, tmp_path, documents=([(1, words, None), (2, links, 1)], "doc_id bigint, text string, parent_id bigint"), parts=([(1, ips)], "part_no bigint, body string"))
+    q = lambda n: catalog.QUERIES[n](spark, d)
+    assert q("x08_tokens").filter("doc_id = 1").first()["n_tokens"] == 5001
+    for n in ("a01_document_frequency", "a02_idf", "a03_tfidf"):
+        assert q(n).filter("term in ('w4999', 'last')").count() == 2
+    assert [q(n).filter("doc_id = 2").first()["n"] for n in ("p22_urls_b", "p23_urls_a")] == [1202, 1202] and q("p26_extract_ips").first()["n"] == 100
+    df = spark.createDataFrame([(words, links, [str(i) for i in range(600)])], "w string, l string, s array<string>")
+    r = df.select(F.size(correlate.clean_set("s")), F.size(correlate.clean_set("s", cap=512)), F.size(text.tokens("w", 4000, 1_000_000)), F.size(net.urls_b("l", 1000, 2040))).first()
+    assert tuple(r) == (600, 512, 4000, 1000)
