@@ -106,13 +106,14 @@ def hop_velocity(df: DataFrame, key: str, order: str, lat: str, lon: str) -> Dat
     return df.withColumns({"km": km, "seconds": sec, "impossible": (sec > 0) & (sec < 7200) & (km / sec * 3600 > 900)})
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int = 200) -> DataFrame:
+def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int = 1000) -> DataFrame:
     """One row: mean and its 2.5 % and 97.5 % bounds from Poisson resampling seeded by hash.
 
     Each row's weight in a round is Poisson(1) from a hash of its key, so every executor draws the same.
     """
     u = lambda r: F.pmod(F.xxhash64(F.col(key), r), F.lit(1_000_003)) / 1_000_003.0
     poisson = lambda x: F.when(x < 0.36788, 0).when(x < 0.73576, 1).when(x < 0.91970, 2).when(x < 0.98101, 3).when(x < 0.99634, 4).otherwise(5)
-    x = df.select(F.col(value).cast("double").alias("v"), key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
+    rows = df.select(F.col(value).cast("double").alias("v"), key).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)  # a small file is one task else
+    x = rows.select("v", key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
     m = x.select("v", "r", poisson(u(F.col("r"))).alias("w")).groupBy("r").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
     return m.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

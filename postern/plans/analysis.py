@@ -550,7 +550,7 @@ def d09_sender_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d13_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.bootstrap_mean(labelled(spark, d), "k", "y", 100)
+    return evaluate.bootstrap_mean(labelled(spark, d), "k", "y", 1000)
 
 
 @query()

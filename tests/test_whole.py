@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postern.functions import net, text
-from postern.operators import correlate
-from postern.plans import catalog
+from postern.operators import correlate, evaluate
+from postern.plans import analysis, catalog
 from postern.plans.textual import LOOKALIKES
 
 
@@ -87,3 +87,9 @@ def test_long_texts_are_read_to_the_end(spark, tmp_path):
     df = spark.createDataFrame([(words, links, [str(i) for i in range(600)])], "w string, l string, s array<string>")
     r = df.select(F.size(correlate.clean_set("s")), F.size(correlate.clean_set("s", cap=512)), F.size(text.tokens("w", 4000, 1_000_000)), F.size(net.urls_b("l", 1000, 2040))).first()
     assert tuple(r) == (600, 512, 4000, 1000)
+
+
+def test_bootstrap_has_a_thousand_rounds(spark, sf):
+    x = analysis.labelled(spark, sf)
+    got, want, few = catalog.QUERIES["d13_bootstrap"](spark, sf).first(), evaluate.bootstrap_mean(x, "k", "y", 1000).first(), evaluate.bootstrap_mean(x, "k", "y", 100).first()
+    assert tuple(got) == pytest.approx(tuple(want)) and tuple(got) != pytest.approx(tuple(few))
