@@ -30,6 +30,11 @@ def p2_subjects(spark: SparkSession, d: str) -> DataFrame:
     return unify.consistent(table(spark, d, "cases").select("case_no", "subject"), "subject", look)
 
 
+def p2_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of confusables that disagree with another one or with the character's own form."""
+    return unify.conflict_rows(table(spark, d, "confusables"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = setjoin.similar_pairs(table(spark, d, "cases"), "case_no", setjoin.item_set(*CASE_ITEMS))
     return pairs.select(F.col("a").alias("case_a"), F.col("b").alias("case_b"))
@@ -59,7 +64,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(documents, langid.fit_documents(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_subjects, p4_found, p4_classes, p7_sequences, p8_found, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_subjects, p2_conflicts, p4_found, p4_classes, p7_sequences, p8_found, p9_found, p9_segments)}
 
 _SETS = """
     WITH raw AS (

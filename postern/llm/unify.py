@@ -1,19 +1,27 @@
 """Visually identical text with different characters: one consistent form in one pass.
 
-A transducer is compiled from the compatibility, composition, space and invisible rules of Unicode
-and the table of look-alikes. It reads a text grapheme cluster by grapheme cluster, always taking
-the longest mapped cluster, and writes the mapped form. Look-alikes are written as Latin only in
-words (or domain labels) that hold other Latin letters, which one look ahead to the word's end
-decides. The mapping is checked when it is compiled: entries for the same character that disagree
-are conflicts; they are listed and the entry with the lowest row number is used.
+A transducer is compiled before any text is read. Its tables are made by rule from the character
+database and the look-alikes: `single` holds every character whose form differs from itself
+(widths, compatibility forms, spaces, invisible characters), `pairs` the transitions from a letter
+and an accent to the accented letter, `apart` and `order` what those transitions need where several
+accents follow. A state is the letter composed so far, so reading a grapheme cluster to its end is
+the longest match. Look-alikes are written as Latin only in words (or domain labels) that hold other
+Latin letters, which one look ahead to the word's end decides. Nothing is normalised while text is
+read and the output isn't read again.
+
+The mapping is checked when it is compiled: entries for the same character that disagree, and
+entries for characters that already have another form, are conflicts. They are rows of
+conflict_rows(); of disagreeing entries the lowest row number is used.
 
 ASCII text is already in this form and never leaves the JVM.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import regex
@@ -46,66 +54,154 @@ def read_notation(text: str) -> str | None:
     return bare if len(bare) == 1 else None
 
 
+class Tables(NamedTuple):
+    """Compiled transitions; every one is a plain look-up."""
+
+    single: dict[str, str]  # character -> its form, where that differs
+    pairs: dict[str, str]  # letter + accent -> accented letter
+    apart: dict[str, str]  # accented letter -> letter and accents in canonical order
+    order: dict[str, int]  # accent -> its place among the accents of a letter
+
+
+def _form(ch: str) -> str:
+    """Consistent form of one character: rules, used at compile time only."""
+    if _gone(ch):
+        return ""
+    if _space(ch):
+        return " "
+    if ch in STAYS:
+        return ch
+    return "".join(" " if _space(c) else c for c in unicodedata.normalize("NFKC", ch) if not _gone(c))
+
+
+@functools.cache
+def tables() -> Tables:
+    """Compile the transitions over all assigned characters (once per process, a fraction of a second).
+
+    Hangul syllables and unified ideographs stay as they are and are passed over.
+    """
+    t = Tables({}, {}, {}, {})
+    for block in (range(0x80, 0x3400), range(0x4DC0, 0x4E00), range(0xA000, 0xAC00), range(0xD7A4, 0xD800), range(0xF900, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE1000)):
+        for ch in map(chr, block):
+            if unicodedata.category(ch) in ("Cn", "Co", "Cs"):
+                continue
+            if (form := _form(ch)) != ch:
+                t.single[ch] = form
+            if place := unicodedata.combining(ch):
+                t.order[ch] = place
+            parts = unicodedata.decomposition(ch)
+            if parts and parts[0] != "<":
+                t.apart[ch] = unicodedata.normalize("NFD", ch)
+                pair = "".join(chr(int(x, 16)) for x in parts.split())
+                if len(pair) == 2 and unicodedata.normalize("NFC", pair) == ch:
+                    t.pairs[pair] = ch
+    return t
+
+
 def compile_lookalikes(rows: list[tuple[int, str, str]]) -> tuple[dict[str, str], list[tuple[str, str, int]]]:
-    """(mapping, conflicts) from (row_no, source, target); ASCII sources stay and are left out."""
+    """(mapping, conflicts) from (row_no, source, target); ASCII sources stay and are left out.
+
+    A conflict is (character, the entry's target, its row): the target isn't the one in use, as an
+    earlier row or the character's own form comes first.
+    """
     mapping: dict[str, str] = {}
     conflicts = []
     for row_no, source, target in sorted((r for r in rows if r[1] and r[2]), key=lambda r: r[0]):
         ch = read_notation(source)
         if ch is None or ch.isascii():
             continue
-        if mapping.setdefault(ch, target) != target:
+        if mapping.setdefault(ch, target) != target or tables().single.get(ch, target) != target:
             conflicts.append((ch, target, row_no))
     return mapping, conflicts
 
 
+def hangul(a: str, b: str) -> str | None:
+    """The syllable of a leading consonant and a vowel, or of an open syllable and a final consonant."""
+    x, y = ord(a), ord(b)
+    if 0x1100 <= x < 0x1113 and 0x1161 <= y < 0x1176:
+        return chr(0xAC00 + ((x - 0x1100) * 21 + y - 0x1161) * 28)
+    if 0xAC00 <= x < 0xD7A4 and (x - 0xAC00) % 28 == 0 and 0x11A7 < y < 0x11C3:
+        return chr(x + y - 0x11A7)
+    return None
+
+
 class Transducer:
     """Compiled mapping from grapheme clusters to their consistent form."""
 
     def __init__(self, lookalikes: dict[str, str]):
-        self.look = lookalikes
-        self.cache: dict[str, str] = {}
-
-    def _plain(self, cluster: str) -> str:
-        """Form of a cluster without the look-alikes: memoised, so the table grows as it is used."""
-        out = self.cache.get(cluster)
-        if out is None:
-            if EMOJI.search(cluster) and len(cluster) > 0 and not cluster.isascii():
-                out = cluster
+        self.look, self.t = lookalikes, tables()
+
+    def compose(self, chars: list[str]) -> list[str]:
+        """Accents put in order and read into their letter as long as a transition exists."""
+        t = self.t
+        parts = [p for c in chars for p in t.apart.get(c, c)]
+        out: list[str] = []
+        i = 0
+        while i < len(parts):
+            j = i + 1
+            while j < len(parts) and parts[j] in t.order:
+                j += 1
+            run = parts[i:j] if parts[i] not in t.order else None
+            marks = sorted(run[1:] if run else parts[i:j], key=t.order.__getitem__)
+            if run:
+                state, held, last = run[0], [], 0
+                if out and (joined := (hangul(out[-1], state) if len(out[-1]) == 1 else None) or t.pairs.get(out[-1] + state)):
+                    state = joined
+                    out.pop()
+                for m in marks:
+                    step = t.pairs.get(state + m) if last != t.order[m] else None
+                    if step:
+                        state = step
+                    else:
+                        held.append(m)
+                        last = t.order[m]
+                out += [state, *held]
             else:
-                kept = "".join(" " if _space(c) else c for c in cluster if not _gone(c))
-                out = "".join(c if c in STAYS else unicodedata.normalize("NFKC", c) for c in kept)
-                out = "".join(" " if _space(c) else c for c in unicodedata.normalize("NFC", out) if not _gone(c))
-            self.cache[cluster] = out
+                out += marks
+            i = j
         return out
 
+    def plain(self, cluster: str) -> list[str]:
+        """Form of a cluster without the look-alikes."""
+        single = self.t.single
+        if len(cluster) == 1:
+            return list(single.get(cluster, cluster))
+        chars = [x for c in cluster for x in single.get(c, c)]
+        return chars if len(chars) < 2 else self.compose(chars)
+
     def apply(self, text: str, domain: bool = False) -> str:
+        """Consistent form of a text; with `domain`, - and _ don't end a label."""
         if text.isascii():
             return text
-        out, word, has_latin, suspect = [], [], False, False
+        out, word, marked = [], [], False
+        look, order = self.look, self.t.order
 
         def flush() -> None:
-            nonlocal has_latin, suspect
-            if suspect and has_latin:
-                out.extend(self.look.get(c, c) if c not in self.look or not c.isupper() else self.look[c].upper() for c in word)
-            else:
-                out.extend(word)
+            nonlocal marked
+            # Accents and syllable parts that an invisible character or a width had parted from their letter.
+            chars = self.compose(word) if marked else word
+            if any(c in look for c in chars) and any(LATIN.match(c) and c not in look for c in chars):
+                chars = [look.get(c, c) if c not in look or not c.isupper() else look[c].upper() for c in chars]
+                if marked:
+                    chars = self.compose([x for c in chars for x in c])
+            out.extend(chars)
             word.clear()
-            has_latin = suspect = False
+            marked = False
 
         for cluster in CLUSTER.findall(text):
-            for c in self._plain(cluster) if len(cluster) < 2 or not EMOJI.search(cluster) else (cluster,):
-                if len(c) == 1 and (c.isalnum() or unicodedata.category(c)[0] == "M" or (domain and c in "-_")):
+            if EMOJI.search(cluster) and not cluster.isascii():
+                flush()
+                out.append(cluster)
+                continue
+            for c in self.plain(cluster):
+                if c.isalnum() or c in order or unicodedata.category(c)[0] == "M" or (domain and c in "-_"):
                     word.append(c)
-                    if c in self.look:
-                        suspect = True
-                    elif LATIN.match(c):
-                        has_latin = True
+                    marked = marked or c in order or "\u1100" <= c < "\u1200"
                 else:
                     flush()
                     out.append(c)
         flush()
-        return unicodedata.normalize("NFC", "".join(out))
+        return "".join(out)
 
 
 def load_lookalikes(confusables: DataFrame, limit: int = 200_000) -> tuple[dict[str, str], list[tuple[str, str, int]]]:
@@ -116,6 +212,13 @@ def load_lookalikes(confusables: DataFrame, limit: int = 200_000) -> tuple[dict[
     return compile_lookalikes([tuple(r) for r in rows])
 
 
+def conflict_rows(confusables: DataFrame) -> DataFrame:
+    """(row_no, source, target, used): entries whose target isn't the one in use; at most as many as the table has rows."""
+    look, conflicts = load_lookalikes(confusables)
+    rows = [(row_no, ch, target, tables().single.get(ch, look[ch])) for ch, target, row_no in conflicts]
+    return confusables.sparkSession.createDataFrame(rows, "row_no int, source string, target string, used string")
+
+
 def consistent(df: DataFrame, column: str, lookalikes: dict[str, str], domain: bool = False, out: str = "unified") -> DataFrame:
     """Adds `out`, the consistent form of `column`; null stays null, ASCII text is passed through."""
     shipped = df.sparkSession.sparkContext.broadcast(lookalikes)

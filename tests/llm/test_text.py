@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -144,3 +145,19 @@ def test_label_notations(spark):
     v = ["en-GB", "EN", "eng", "English", "pt_BR", "Dutch", "", None, "??", "und"]
     df = spark.createDataFrame([(x,) for x in v], "v string")
     assert [r[0] for r in df.select(langid.label_language(F.col("v"))).collect()] == ["en", "en", "en", "en", "pt", "nl", None, None, None, None]
+
+
+def test_transducer_equals_normalisation():
+    """Random texts without look-alikes: the compiled transitions give what normalising them gives."""
+    rnd = random.Random(5)
+    pool = [chr(i) for i in (*range(0x41, 0x5B), *range(0xC0, 0x250), *range(0x300, 0x345), *range(0x1E00, 0x1F00), *range(0x30AB, 0x30C0), *range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0xFF66, 0xFFA0))]
+    t = unify.Transducer({})
+    for _ in range(3000):
+        s = "".join(rnd.choice(pool) for _ in range(rnd.randint(1, 8)))
+        assert t.apply(s) == unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) for c in s))
+
+
+def test_conflicts_are_rows(spark):
+    conf = spark.createDataFrame([(1, "U+0430", "a"), (2, "а", "o"), (3, "ｂ", "d"), (4, None, None)], "row_no int, c0 string, c1 string")
+    assert {tuple(r) for r in unify.conflict_rows(conf).collect()} == {(2, "а", "o", "a"), (3, "ｂ", "d", "b")}
+    assert unify.conflict_rows(conf.limit(0)).count() == 0
