@@ -3,13 +3,16 @@
 1. Token counts of all posts (public tokenizer, Arrow batches). Only a post longer than the
    capacity is split, into full pieces and one rest.
 2. The histogram of piece lengths has at most `capacity` rows, whatever the number of posts, so it
-   alone goes to the driver.
-3. The configuration LP (fewest sequences whose contents cover the histogram) is solved by
-   multiplicative weights: every length has a weight; a knapsack dynamic program prices the best
-   configuration; lengths it covers lose weight.
-4. The fractional solution is rounded down to whole sequences; what is left over is filled by the
-   same knapsack under the remaining counts, largest multiples first.
-5. Pieces get their sequence by rank within their length. Ranks come from salted groups with exact
+   alone goes to the driver. Neighbouring lengths are put in at most `groups` slots, cut where the
+   slack (a slot is as long as its longest piece) is least; with fewer lengths each is its own slot.
+3. The configuration LP (fewest sequences whose configurations cover the demand for each slot) is
+   solved by multiplicative weights: every slot has a price, its length times an exponential of
+   what is missing of its demand; an exact knapsack dynamic program over all slots with open demand
+   prices the best configuration, which is used in steps of a small part of the demand. The prices
+   give the dual bound, so the gap to the optimum is known.
+4. The solution is rounded down to whole sequences. A step is never under one sequence unless less
+   is open, so rounding loses the fractions of the last steps only; they are priced again whole.
+5. Pieces get their sequence by rank within their slot. Ranks come from salted groups with exact
    offsets, so a length that holds a third of all posts is never one group.
 """
 
@@ -66,172 +69,156 @@ def pieces(counts: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
-    """Counts per length of the most valuable configuration: knapsack by dynamic programming.
+def slots(lengths: np.ndarray, demand: np.ndarray, groups: int) -> np.ndarray:
+    """Slot number of each length (0 is the longest), at most `groups`: runs of lengths with equal slack.
 
-    Without `most` a length may repeat freely; with it, at most that often (in binary bundles).
+    The slack a run may have is found by bisection; a run is cut before it would exceed it.
     """
-    counts = np.zeros(len(lengths), dtype=np.int64)
-    if most is None:
-        # Lengths of at least `block` let the table grow `block` entries at a time; shorter ones fill the gap.
-        block = 16
-        long_, short = np.nonzero(lengths >= block)[0], np.nonzero(lengths < block)[0]
-        w, v = lengths[long_], values[long_]
-        best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(block, capacity + 1, block):
-            rows = np.arange(c, min(c + block, capacity + 1))
-            fit = int(np.searchsorted(w, rows[-1], side="right"))
-            if fit:
-                back = rows[:, None] - w[None, :fit]
-                gain = np.where(back >= 0, best[np.maximum(back, 0)] + v[:fit], -1.0)
-                k = gain.argmax(axis=1)
-                top = gain[np.arange(len(rows)), k]
-                better = top > best[c - 1]
-                best[rows], take[rows] = np.where(better, top, best[c - 1]), np.where(better, k, -1)
+    if len(lengths) <= groups:
+        return len(lengths) - 1 - np.arange(len(lengths))
+    size, count = lengths[::-1], demand[::-1].astype(float)
+
+    def runs(most: float) -> np.ndarray:
+        out, k, top, slack = np.zeros(len(size), dtype=np.int64), 0, size[0], 0.0
+        for i in range(1, len(size)):
+            more = count[i] * (top - size[i])
+            if slack + more > most:
+                k, top, slack = k + 1, size[i], 0.0
             else:
-                best[rows] = best[c - 1]
-        c = int(best.argmax())
-        left = capacity
-        while c > 0 and best[c] > 0:
-            if take[c] < 0:
-                c -= 1
-            else:
-                counts[long_[take[c]]] += 1
-                left -= int(w[take[c]])
-                c -= int(w[take[c]])
-        for k in short[np.argsort(-values[short] / lengths[short])]:
-            n = left // int(lengths[k])
-            counts[k] += n
-            left -= n * int(lengths[k])
-        return counts
-    bundles = []
-    for k in np.nonzero(most)[0]:
+                slack += more
+            out[i] = k
+        return out
+
+    low, high = 0.0, float((count * (size[0] - size)).sum())
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if runs(mid)[-1] + 1 > groups else (low, mid)
+    return runs(high)[::-1]
+
+
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarray) -> tuple[np.ndarray, float]:
+    """(counts per length, value) of the most valuable configuration with at most `most` of each length.
+
+    Exact knapsack by dynamic programming; repeats go in binary bundles.
+    """
+    best, taken = np.zeros(capacity + 1), []
+    for k in range(len(lengths)):
         left, size = int(min(most[k], capacity // lengths[k])), 1
         while left > 0:
             use = min(size, left)
-            bundles.append((int(k), use, use * int(lengths[k]), use * values[k]))
+            w = use * int(lengths[k])
+            gain = best[:-w] + use * values[k]
+            better = gain > best[w:]
+            best[w:] = np.where(better, gain, best[w:])
+            taken.append((k, use, w, better))
             left, size = left - use, size * 2
-    best = np.zeros(capacity + 1)
-    taken = np.zeros((len(bundles), capacity + 1), dtype=bool)
-    for b, (_, _, w, v) in enumerate(bundles):
-        gain = best[:-w] + v
-        taken[b, w:] = gain > best[w:]
-        best[w:] = np.maximum(best[w:], gain)
-    c = capacity
-    for b in range(len(bundles) - 1, -1, -1):
-        if taken[b, c]:
-            counts[bundles[b][0]] += bundles[b][1]
-            c -= bundles[b][2]
-    return counts
-
-
-def _densest(value: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the `width` lengths with most value per token, in order of length."""
-    if len(lengths) <= width:
-        return np.arange(len(lengths))
-    return np.sort(np.argpartition(-value / lengths, width)[:width])
-
-
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500, step: float = 0.25, width: int = 128) -> list[tuple[np.ndarray, float]]:
-    """Configuration LP by multiplicative weights: (configuration, how often), nowhere above the demand.
-
-    A length's weight falls exponentially with the part of its demand that is covered, so the next
-    configuration is priced for what lags. A configuration is used as often as its scarcest length
-    allows in one step; the knapsack prices over the `width` densest lengths.
+    counts, c = np.zeros(len(lengths), dtype=np.int64), capacity
+    for k, use, w, better in reversed(taken):
+        if c >= w and better[c - w]:
+            counts[k] += use
+            c -= w
+    return counts, float(best[capacity])
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1, rate: float = 6.0) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """(configurations with how often each is used, dual bound): the LP by multiplicative weights.
+
+    Together the configurations cover the demand exactly. Every round prices the best configuration
+    for the open demand and uses it for `step` of the scarcest demand in it, at least once if so
+    much is open. The bound is the best one of the rounds in which every length is still open.
     """
-    covered = np.zeros(len(lengths))  # in units of the demand
+    need = demand.astype(float)
+    left, bound = need.copy(), 0.0
     chosen: dict[bytes, list] = {}
-    rate = math.log(max(2, len(lengths))) * 2
-    for _ in range(rounds):
-        done = covered - covered.min()
-        value = lengths * np.exp(-rate * done)
-        at = _densest(value, lengths, width)
-        config = np.zeros(len(lengths), dtype=np.int64)
-        config[at] = price(value[at], lengths[at], capacity)
+    while (left > 1e-9).any():
+        have = np.nonzero(left > 1e-9)[0]
+        missing = left[have] / need[have]
+        value = lengths[have] * np.exp(rate * (missing - missing.max()))
+        counts, worth = price(value, lengths[have], capacity, np.ceil(left[have] - 1e-9))
+        if len(have) == len(need):
+            # Feasible for the dual: no configuration of the open demand is worth more, and none that the demand allows is.
+            free = worth if (np.ceil(left - 1e-9) >= np.minimum(need, capacity // lengths)).all() else price(value, lengths, capacity, need)[1]
+            bound = max(bound, float((need * value).sum()) / free)
+        config = np.zeros(len(need), dtype=np.int64)
+        config[have] = counts
         held = config > 0
-        if not held.any():
-            break
-        times = step * float((demand[held] / config[held]).min())
+        times = min(max(1.0, step * float((need[held] / config[held]).min())), float((left[held] / config[held]).min()))
         chosen.setdefault(config.tobytes(), [config, 0.0])[1] += times
-        covered[held] += config[held] * times / demand[held]
-        if covered.min() >= 1.0:
-            break
-    scale = 1.0 / max(1.0, float(covered.max()))
-    return [(c, x * scale) for c, x in chosen.values()]
-
-
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500) -> list[tuple[np.ndarray, int]]:
-    """Whole configurations with their multiplicity that together hold every item exactly once."""
-    left = demand.astype(np.int64).copy()
-    plan: list[tuple[np.ndarray, int]] = []
-    for config, x in sorted(fractional(lengths, demand.astype(float), capacity, rounds), key=lambda p: -p[1]):
+        left[held] = np.maximum(0.0, left[held] - config[held] * times)
+    return [(c, x) for c, x in chosen.values()], bound
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], dict[str, float]]:
+    """Whole configurations with their multiplicity that together hold every item exactly once, and what was found.
+
+    The report has the dual bound, the sequences and the share of the items that rounding kept.
+    """
+    left, plan = demand.astype(np.int64).copy(), []
+    relaxed, bound = fractional(lengths, demand, capacity)
+    for config, x in sorted(relaxed, key=lambda p: -p[1]):
         held = config > 0
-        k = int(min(math.floor(x), (left[held] // config[held]).min()))
+        k = int(min(math.floor(x + 1e-6), (left[held] // config[held]).min()))
         if k > 0:
             plan.append((config, k))
             left -= config * k
-    # Rounding leaves the fractions and what the LP didn't reach. Long items first: they are worth
-    # more than their share, and shorter ones of all sizes are kept at hand to fill up.
+    kept = 1.0 - float(left.sum()) / max(1, int(demand.sum()))
     while left.any():
         have = np.nonzero(left)[0]
-        if len(have) > 160:
-            have = np.unique(np.concatenate([have[-64:], have[np.linspace(0, len(have) - 65, 96).astype(int)]]))
-        value = lengths[have] * (1 + lengths[have] / (4.0 * capacity))
         config = np.zeros(len(lengths), dtype=np.int64)
-        config[have] = price(value, lengths[have], capacity, left[have])
+        config[have] = price(lengths[have].astype(float), lengths[have], capacity, left[have])[0]
         held = config > 0
         k = int((left[held] // config[held]).min())
         plan.append((config, k))
         left -= config * k
-    return plan
+    return plan, {"bound": bound, "sequences": float(sum(k for _, k in plan)), "kept": kept}
 
 
-def assign(items: DataFrame, lengths: np.ndarray, plan: list[tuple[np.ndarray, int]], salts: int = 64) -> DataFrame:
-    """Adds seq_id and pos_tokens (offset in the sequence) to (doc_id, piece, length).
+def assign(items: DataFrame, tops: np.ndarray, plan: list[tuple[np.ndarray, int]], salts: int = 64) -> DataFrame:
+    """Adds seq_id and pos_tokens (where the item's slot starts) to (doc_id, piece, length, slot).
 
-    A configuration's sequences are numbered consecutively; the r-th item of a length belongs to the
-    configuration whose share of that length holds r. The plan has at most one entry per length and
-    configuration, so shipping it is bounded by the histogram.
+    A configuration's sequences are numbered consecutively; the r-th item of a slot belongs to the
+    configuration whose share of that slot holds r. The plan has at most one entry per slot and
+    configuration, so shipping it is bounded by the histogram. `tops` are the lengths of the slots.
     """
     spark = items.sparkSession
     table: dict[int, tuple] = {}
-    first_seq, seen = 0, np.zeros(len(lengths), dtype=np.int64)
+    first_seq, seen = 0, np.zeros(len(tops), dtype=np.int64)
     rows: dict[int, list] = {}
     for config, times in plan:
         at = 0
         for k in np.nonzero(config)[0]:
             n = int(config[k])
-            rows.setdefault(int(lengths[k]), []).append((int(seen[k]), first_seq, n, at))
+            rows.setdefault(int(k), []).append((int(seen[k]), first_seq, n, at))
             seen[k] += n * times
-            at += n * int(lengths[k])
+            at += n * int(tops[k])
         first_seq += times
-    for length, r in rows.items():
-        table[length] = tuple(np.asarray(x, dtype=np.int64) for x in zip(*r, strict=True))
+    for slot, r in rows.items():
+        table[slot] = tuple(np.asarray(x, dtype=np.int64) for x in zip(*r, strict=True))
     shipped = spark.sparkContext.broadcast(table)
 
     salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    # At most capacity x salts rows: counts of each salted group, and the ranks that come before it.
-    sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
-    ranked = salted.withColumn("r", rank).join(before, ["length", "salt"]).select("doc_id", "piece", "length", (F.col("before") + F.col("r") - 1).alias("r"))
+    # At most groups x salts rows: counts of each salted group, and the ranks that come before it.
+    sizes = salted.groupBy("slot", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("slot", "salt", (F.sum("n").over(Window.partitionBy("slot").orderBy("salt")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("slot", "salt").orderBy("doc_id", "piece"))
+    ranked = salted.withColumn("r", rank).join(before, ["slot", "salt"]).select("doc_id", "piece", "length", "slot", (F.col("before") + F.col("r") - 1).alias("r"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seq, pos = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-            length, r = b["length"].to_numpy(), b["r"].to_numpy()
-            for v in np.unique(length):
+            slot, r = b["slot"].to_numpy(), b["r"].to_numpy()
+            for v in np.unique(slot):
                 start, base, n, at = shipped.value[int(v)]
-                mine = np.nonzero(length == v)[0]
+                mine = np.nonzero(slot == v)[0]
                 e = np.searchsorted(start, r[mine], side="right") - 1
                 inside = r[mine] - start[e]
-                seq[mine], pos[mine] = base[e] + inside // n[e], at[e] + (inside % n[e]) * v
-            yield pd.DataFrame({"doc_id": b["doc_id"], "piece": b["piece"], "length": length, "seq_id": seq, "pos_tokens": pos})
+                seq[mine], pos[mine] = base[e] + inside // n[e], at[e] + (inside % n[e]) * tops[v]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "piece": b["piece"], "length": b["length"], "seq_id": seq, "pos_tokens": pos})
 
     return ranked.mapInPandas(place, "doc_id bigint, piece int, length int, seq_id bigint, pos_tokens bigint")
 
 
-def pack(documents: DataFrame, capacity: int = 2048, tokenizers: str = TOKENIZERS, rounds: int = 1500) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 2048, tokenizers: str = TOKENIZERS, groups: int = 256) -> DataFrame:
     """(doc_id, piece, length, seq_id, pos_tokens): every post in a training sequence.
 
     Null and empty posts hold no tokens and are in no sequence. Repeated rows are packed as often
@@ -243,5 +230,11 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizers: str = TOKENIZER
         return items.selectExpr("doc_id", "piece", "length", "0L AS seq_id", "0L AS pos_tokens")
     lengths = np.array([h["length"] for h in histogram], dtype=np.int64)
     demand = np.array([h["n"] for h in histogram], dtype=np.int64)
-    rows = int(demand.sum())
-    return assign(items, lengths, solve(lengths, demand, capacity, rounds), salts=max(16, rows // 200_000))
+    slot = slots(lengths, demand, groups)
+    tops, need = np.zeros(slot.max() + 1, dtype=np.int64), np.zeros(slot.max() + 1, dtype=np.int64)
+    np.maximum.at(tops, slot, lengths)
+    np.add.at(need, slot, demand)
+    plan, _ = solve(tops, need, capacity)
+    of_length = documents.sparkSession.createDataFrame([(int(v), int(k)) for v, k in zip(lengths, slot, strict=True)], "length int, slot int")
+    # At most `capacity` rows: one per length.
+    return assign(items.join(F.broadcast(of_length), "length"), tops, plan, salts=max(16, int(demand.sum()) // 200_000))

@@ -50,6 +50,15 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: posts in sequences, sequences over the capacity, pieces in no or two sequences, posts split needlessly."""
+    s = packing.pack(table(spark, d, "documents"))
+    over = s.groupBy("seq_id").agg(F.sum("length").alias("load")).agg(F.count(F.when(F.col("load") > 2048, 1)).alias("overfull"))
+    post = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("k"), F.sum("length").alias("tokens"))
+    n = lambda c: F.count(F.when(c, 1))
+    return post.agg(F.count(F.lit(1)).alias("posts"), n(F.col("n") != F.col("k")).alias("doubled"), n((F.col("k") > 1) & (F.col("tokens") <= 2048 * (F.col("k") - 1))).alias("split")).crossJoin(over)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -64,7 +73,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(documents, langid.fit_documents(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_subjects, p2_conflicts, p4_found, p4_classes, p7_sequences, p8_found, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_subjects, p2_conflicts, p4_found, p4_classes, p7_sequences, p7_invariants, p8_found, p9_found, p9_segments)}
 
 _SETS = """
     WITH raw AS (
@@ -76,6 +85,7 @@ _SETS = """
         FROM items a JOIN items b ON a.item = b.item AND a.case_no < b.case_no GROUP BY 1, 2)"""
 
 SQL: dict[str, str] = {
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS posts, 0 AS doubled, 0 AS split, 0 AS overfull FROM documents WHERE text <> ''",
     "p4_found": _SETS
     + """
     SELECT case_a, case_b FROM shared JOIN sizes x ON x.case_no = case_a JOIN sizes y ON y.case_no = case_b

@@ -103,8 +103,21 @@ def test_plan_is_exact():
     rng = np.random.default_rng(1)
     lengths = np.unique(rng.integers(1, 300, 60))
     demand = rng.integers(1, 40, len(lengths))
-    plan = packing.solve(lengths, demand, 300, 200)
+    plan, report = packing.solve(lengths, demand, 300)
     assert (sum(c * k for c, k in plan) == demand).all() and all(c @ lengths <= 300 for c, _ in plan)
+    # The dual bound of the linear program is a proof: no packing has fewer sequences.
+    assert report["kept"] > 0.9 and report["bound"] <= report["sequences"] <= 1.02 * report["bound"] + 1
+    assert report["bound"] >= demand @ lengths / 300 - 1e-6
+    assert packing.solve(np.array([7]), np.array([3]), 10)[0][0][1] == 3
+
+
+def test_slots_are_few_and_cover():
+    rng = np.random.default_rng(3)
+    lengths, demand = np.arange(1, 2049), rng.integers(1, 90, 2048)
+    slot = packing.slots(lengths, demand, 64)
+    assert slot.max() < 64 and (np.diff(slot) <= 0).all() and (packing.slots(lengths[:5], demand[:5], 64) == [4, 3, 2, 1, 0]).all()
+    slack = sum(((lengths[slot == k].max() - lengths[slot == k]) * demand[slot == k]).sum() for k in range(64))
+    assert slack < 0.03 * (lengths * demand).sum()
 
 
 def test_leaks_equal_brute_force(spark):
