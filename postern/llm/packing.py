@@ -6,12 +6,12 @@
    alone goes to the driver. Neighbouring lengths are put in at most `groups` slots, cut where the
    slack (a slot is as long as its longest piece) is least; with fewer lengths each is its own slot.
 3. The configuration LP (fewest sequences whose configurations cover the demand for each slot) is
-   solved by multiplicative weights: every slot has a price, its length times an exponential of
-   what is missing of its demand; an exact knapsack dynamic program over all slots with open demand
-   prices the best configuration, which is used in steps of a small part of the demand. The prices
-   give the dual bound, so the gap to the optimum is known.
-4. The solution is rounded down to whole sequences. A step is never under one sequence unless less
-   is open, so rounding loses the fractions of the last steps only; they are priced again whole.
+   solved by multiplicative weights: every slot has a price, its length (a long one is worth more
+   than its part) times an exponential of what is missing of its demand; an exact knapsack dynamic program over all slots with open demand
+   prices the best configuration, which is used in steps of a small part of the demand. Prices that no
+   configuration exceeds give the dual bound, so the gap to the optimum is known.
+4. The solution is rounded down to whole sequences. Steps are whole numbers of sequences unless less is
+   open, so rounding loses little; what it loses is priced again whole.
 5. Pieces get their sequence by rank within their slot. Ranks come from salted groups with exact
    offsets, so a length that holds a third of all posts is never one group.
 """
@@ -120,7 +120,19 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarr
     return counts, float(best[capacity])
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1, rate: float = 6.0) -> tuple[list[tuple[np.ndarray, float]], float]:
+def dual_bound(lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int = 20) -> float:
+    """A lower bound on the sequences: the best of some prices that sum to at most 1 in any configuration.
+
+    The prices are the length's part of the capacity, and that part rounded down to k-ths of k + 1 parts.
+    """
+    best = float(demand @ lengths) / capacity
+    for k in range(1, most + 1):
+        whole, rest = np.divmod((k + 1) * lengths, capacity)
+        best = max(best, float(demand @ np.where(rest == 0, lengths / capacity, whole / k)))
+    return best
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1, rate: float = 2.0) -> tuple[list[tuple[np.ndarray, float]], float]:
     """(configurations with how often each is used, dual bound): the LP by multiplicative weights.
 
     Together the configurations cover the demand exactly. Every round prices the best configuration
@@ -128,21 +140,18 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: flo
     much is open. The bound is the best one of the rounds in which every length is still open.
     """
     need = demand.astype(float)
-    left, bound = need.copy(), 0.0
+    left, bound = need.copy(), dual_bound(lengths, need, capacity)
+    worth = lengths * (1.0 + lengths / capacity)
     chosen: dict[bytes, list] = {}
     while (left > 1e-9).any():
         have = np.nonzero(left > 1e-9)[0]
         missing = left[have] / need[have]
-        value = lengths[have] * np.exp(rate * (missing - missing.max()))
-        counts, worth = price(value, lengths[have], capacity, np.ceil(left[have] - 1e-9))
-        if len(have) == len(need):
-            # Feasible for the dual: no configuration of the open demand is worth more, and none that the demand allows is.
-            free = worth if (np.ceil(left - 1e-9) >= np.minimum(need, capacity // lengths)).all() else price(value, lengths, capacity, need)[1]
-            bound = max(bound, float((need * value).sum()) / free)
+        value = worth[have] * np.exp(rate * (missing - missing.max()))
+        counts, _ = price(value, lengths[have], capacity, np.ceil(left[have] - 1e-9))
         config = np.zeros(len(need), dtype=np.int64)
         config[have] = counts
         held = config > 0
-        times = min(max(1.0, step * float((need[held] / config[held]).min())), float((left[held] / config[held]).min()))
+        times = min(max(1.0, float(np.floor(step * (need[held] / config[held]).min()))), float((left[held] / config[held]).min()))
         chosen.setdefault(config.tobytes(), [config, 0.0])[1] += times
         left[held] = np.maximum(0.0, left[held] - config[held] * times)
     return [(c, x) for c, x in chosen.values()], bound
