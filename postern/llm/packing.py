@@ -132,7 +132,7 @@ def dual_bound(lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int
     return best
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1, rate: float = 2.0) -> tuple[list[tuple[np.ndarray, float]], float]:
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.2, rate: float = 2.0) -> tuple[list[tuple[np.ndarray, float]], float]:
     """(configurations with how often each is used, dual bound): the LP by multiplicative weights.
 
     Together the configurations cover the demand exactly. Every round prices the best configuration
