@@ -1,14 +1,18 @@
 """Mixed timestamp notations and zones to one UTC instant.
 
-Each value is rewritten by the one pattern its first characters select into fixed fields, so a row
-costs one regular expression, all inside the JVM. A value that can be read in one way only is
-settled by its notation. A numeric date with slashes may have two valid readings; there each source
-(table and host) is a mixture of the two orders, fitted by expectation-maximisation: every value
-contributes its likelihood under each valid reading, the host's documented order enters as a prior,
-and the posterior chooses. Readings whose posterior stays below `settled` are marked ambiguous.
-
-The mixture needs one small aggregate per source (three counts), so the fit runs inside each
-source's row and nothing is collected.
+A value is read under every notation that can hold it. Its first characters say which pattern that
+is; the pattern rewrites it into fixed fields, so a row costs one regular expression, inside the JVM.
+What remains open is settled per source (table and host). A source is a mixture of notations, the
+COMPONENTS: day or month first in slashed dates, seconds, milliseconds or microseconds in bare
+numbers, a compact date or a number in fourteen digits, and the notations that leave nothing open.
+The mixture is fitted by expectation-maximisation: every value contributes its likelihood under each
+valid reading, a host's documented order enters as a prior, and the posterior chooses the reading.
+Readings whose posterior stays below `settled`, local times that occur twice (their first pass is
+taken) and local times that the clock skipped are marked ambiguous, with the reason.
+
+Values with the same likelihoods have the same posterior, so the fit needs one count per source and
+likelihood class (CLASSES), combined before the shuffle; it runs inside each source's row and nothing
+is collected.
 """
 
 from __future__ import annotations
@@ -42,6 +46,20 @@ PATTERNS = {
 }
 
 
+# A mixture's components, and for each class of values the likelihood of its valid readings.
+COMPONENTS = ("iso", "rfc", "asctime", "compact", "dotted", "slash_dmy", "slash_mdy", "epoch_s", "epoch_ms", "epoch_us")
+UNLIKELY = 1e-6  # a number of this length in another unit would lie far outside the years mail has been sent in
+CLASSES = {
+    **{k: {k: 1.0} for k in ("iso", "rfc", "asctime", "compact", "dotted", "slash_dmy", "slash_mdy")},
+    "slash_both": {"slash_dmy": 1.0, "slash_mdy": 1.0},
+    "slash_same": {"slash_dmy": 1.0, "slash_mdy": 1.0},  # both readings are the same day
+    "digits_s": {"epoch_s": 1.0, "epoch_ms": UNLIKELY, "epoch_us": UNLIKELY},
+    "digits_ms": {"epoch_ms": 1.0, "epoch_s": UNLIKELY, "epoch_us": UNLIKELY},
+    "digits_us": {"epoch_us": 1.0, "epoch_s": UNLIKELY, "epoch_ms": UNLIKELY},
+    "digits_14": {"compact": 1.0, "epoch_ms": UNLIKELY},
+}
+
+
 def _family(s: Column) -> Column:
     second, third = F.substring(s, 2, 1), F.substring(s, 3, 1)
     return (
@@ -104,74 +122,93 @@ def _clock_valid() -> Column:
     return F.col("_h").between(0, 23) & F.col("_mi").between(0, 59) & F.col("_s").between(0, 60)
 
 
-def order_posteriors(values: DataFrame, sites: DataFrame, prior: float = 50.0, rounds: int = 25) -> DataFrame:
-    """(src, host, p_dmy): probability that a source writes the day first, fitted by EM.
+def likelihood_class(parsed: DataFrame) -> DataFrame:
+    """Adds _class, the value's class of likelihoods (a key of CLASSES); NULL where no reading is valid."""
+    y, a, b, family = F.col("_y"), F.col("_a"), F.col("_b"), F.col("_family")
+    clock = F.coalesce(_clock_valid(), F.lit(False))
+    dmy = clock & F.coalesce(_days_valid(y, a, b), F.lit(False))
+    mdy = clock & (family == "slash") & F.coalesce(_days_valid(y, b, a), F.lit(False))
+    n = F.length("_t")
+    kind = (
+        F.when(family == "epoch", F.when(n <= 11, "digits_s").when(n <= 14, "digits_ms").otherwise("digits_us"))
+        .when(family == "slash", F.when(dmy & mdy, F.when(a == b, "slash_same").otherwise("slash_both")).when(dmy, "slash_dmy").when(mdy, "slash_mdy"))
+        .when(dmy, F.when((family == "compact") & F.col("_t").rlike(r"^\d{14}$"), "digits_14").otherwise(family))
+    )
+    return parsed.withColumn("_class", kind)
+
+
+def mixtures(values: DataFrame, sites: DataFrame, prior: float = 50.0, rounds: int = 25) -> DataFrame:
+    """(src, host, read): each source's fitted mixture, as the reading and posterior of every class.
 
-    `values` has src, host and the fields of parse(). The documented order counts as `prior`
-    observations; a source without one starts even. Sources without slashed dates have no row.
+    `values` has src, host and _class. Every component starts with one observation, the documented
+    order of slashed dates with `prior`. A value without host belongs to no source.
     """
-    y, a, b = F.col("_y"), F.col("_a"), F.col("_b")
-    dmy, mdy = F.col("_dmy"), F.col("_mdy")
-    n = lambda c: F.sum(c.cast("long")).cast("double")
-    counts = (
-        values.filter(F.col("_family") == "slash")
-        .select("src", "host", "_a", "_b", (_days_valid(y, a, b) & _clock_valid()).alias("_dmy"), (_days_valid(y, b, a) & _clock_valid()).alias("_mdy"))
-        .groupBy("src", "host")
-        .agg(n(dmy & ~mdy).alias("n_dmy"), n(mdy & ~dmy).alias("n_mdy"), n(dmy & mdy & (a != b)).alias("n_both"))
-    )
-    known = counts.join(sites.select(F.col("byhost").alias("host"), F.lower("dayorder").alias("dayorder")), "host", "left")
-    pa = F.when(F.col("dayorder") == "dmy", prior).otherwise(1.0)
-    pb = F.when(F.col("dayorder") == "mdy", prior).otherwise(1.0)
-    total = pa + pb + F.col("n_dmy") + F.col("n_mdy") + F.col("n_both")
-    fitted = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
-        pa / (pa + pb),
-        lambda p, _: (pa + F.col("n_dmy") + F.col("n_both") * p) / total,
-    )
-    return known.select("src", "host", fitted.alias("p_dmy"))
+    counts = values.filter("host is not null").groupBy("src", "host", "_class").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # At most one entry per class. Unreadable values drop out here: a filter would be pushed down and parse every value again.
+    held = counts.groupBy("src", "host").agg(F.map_from_entries(F.collect_list(F.when(F.col("_class").isNotNull(), F.struct("_class", "n")))).alias("held"))
+    known = held.join(sites.select(F.col("byhost").alias("host"), F.lower("dayorder").alias("dayorder")), "host", "left")
+    before = [F.when(F.col("dayorder") == k[-3:], prior).otherwise(1.0) if k.startswith("slash") else F.lit(1.0) for k in COMPONENTS]
+    n = {c: F.coalesce(F.try_element_at("held", F.lit(c)), F.lit(0.0)) for c in CLASSES}
+    total = sum(before, F.lit(0.0)) + sum(n.values(), F.lit(0.0))
+    share = lambda pi, k: F.get(pi, F.lit(COMPONENTS.index(k)))
+    joint = lambda pi, c: {k: share(pi, k) * like for k, like in CLASSES[c].items()}
+
+    def responsibility(pi: Column, c: str, k: str) -> Column:
+        j = joint(pi, c)
+        return F.lit(1.0) if len(j) == 1 else j[k] / sum(j.values(), F.lit(0.0))
+
+    def maximise(pi: Column, _: Column) -> Column:
+        return F.array(*[(p + sum((n[c] * responsibility(pi, c, k) for c in CLASSES if k in CLASSES[c]), F.lit(0.0))) / total for k, p in zip(COMPONENTS, before, strict=True)])
+
+    start = F.array(*[p / sum(before, F.lit(0.0)) for p in before])
+    fitted = materialize(known.select("src", "host", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, maximise).alias("pi")), "mixtures")
+    pi = F.col("pi")
+    best = {c: F.greatest(*[F.struct(responsibility(pi, c, k).alias("posterior"), F.lit(-i).alias("rank"), F.lit(k).alias("component")) for i, k in enumerate(CLASSES[c])]) if len(CLASSES[c]) > 1 and c != "slash_same" else None for c in CLASSES}
+    entries = [x for c, b in best.items() for x in (F.lit(c), F.struct(F.lit(next(iter(CLASSES[c]))).alias("component"), F.lit(1.0).alias("posterior")) if b is None else F.struct(b["component"].alias("component"), b["posterior"].alias("posterior")))]
+    return fitted.select("src", "host", F.create_map(*entries).alias("read"))
+
+
+def _unfitted() -> Column:
+    """Readings without a source's mixture: every component is as likely."""
+    entries = []
+    for c, like in CLASSES.items():
+        k = max(like, key=like.get)
+        entries += [F.lit(c), F.struct(F.lit(k).alias("component"), F.lit(1.0 if c == "slash_same" else like[k] / sum(like.values())).alias("posterior"))]
+    return F.create_map(*entries)
 
 
 def normalise(values: DataFrame, sites: DataFrame, settled: float = 0.95) -> DataFrame:
-    """(src, rec_no, host, value) to (src, rec_no, utc_ms, family, posterior, ambiguous).
+    """(src, rec_no, host, value) to (src, rec_no, utc_ms, family, posterior, ambiguous, reason).
 
-    Every value that states a valid date and time has a row. Without a zone it is local time of
-    its host's clock zone, a repeated hour its first pass; if the host has no known zone the value
-    states no instant and has no row. NULL, blank, negative and impossible values have none.
-    Offsets beyond 18 hours and unknown abbreviations state nothing.
+    Every value that states a valid date and time has a row; `family` is the component it was read
+    by. Without a zone it is local time of its host's clock zone, a repeated hour its first pass
+    (reason `repeated`), a skipped one read with the offset before the change (`skipped`); if the
+    host has no known zone the value states no instant and has no row. NULL, blank, negative and
+    impossible values have none. Offsets beyond 18 hours and unknown abbreviations state nothing.
     """
-    parsed = parse(values, "value")
-    orders = materialize(order_posteriors(parsed, sites), "orders")
+    parsed = likelihood_class(parse(values, "value"))
+    fitted = mixtures(parsed, sites)
     y, a, b = F.col("_y"), F.col("_a"), F.col("_b")
-    dmy, mdy, zone, named, local = F.col("_dmy"), F.col("_mdy"), F.col("_zone"), F.col("_named"), F.col("_local")
-    joined = parsed.join(orders, ["src", "host"], "left").join(
+    zone, named, local = F.col("_zone"), F.col("_named"), F.col("_local")
+    joined = parsed.join(fitted, ["src", "host"], "left").join(
         sites.select(F.col("byhost").alias("host"), "clockzone"), "host", "left"
     )
-    slash = F.col("_family") == "slash"
-    # The fields of a slashed date were laid out day first: a is the second number, b the first.
+    chosen = F.coalesce(F.try_element_at("read", F.col("_class")), F.try_element_at(_unfitted(), F.col("_class")))
     read = joined.select(
-        "src", "rec_no", "_t", "_family", "_y", "_a", "_b", "_ms", "_zone", "clockzone",
-        F.when(_clock_valid(), F.col("_h") * 3600 + F.col("_mi") * 60 + F.col("_s")).alias("_clock"),
-        F.coalesce(F.col("p_dmy"), F.lit(0.5)).alias("_p"),
-        F.coalesce(_days_valid(y, a, b), F.lit(False)).alias("_dmy"),
-        F.coalesce(slash & _days_valid(y, b, a), F.lit(False)).alias("_mdy"),
+        "src", "rec_no", "_t", "_y", "_a", "_b", "_ms", "_zone", "clockzone", chosen.alias("_read"),
+        (F.col("_h") * 3600 + F.col("_mi") * 60 + F.col("_s")).alias("_clock"),
         F.when(zone == "", F.col("clockzone")).when(zone.startswith("["), F.regexp_replace(zone, r"[\[\]]", "")).alias("_named"),
         F.regexp_replace(zone, ":", "").alias("_digits"),
     )
-    both = dmy & mdy & (a != b)
     digits = F.col("_digits")
-    read = read.withColumns(
-        {
-            "_swap": mdy & (~dmy | (F.col("_p") < 0.5)),
-            "posterior": F.when(both, F.greatest(F.col("_p"), 1 - F.col("_p"))).otherwise(1.0),
-            "_minutes": F.when(
-                zone.rlike(r"^[+-]"), F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
-            ),
-        }
-    )
+    minutes = F.when(zone.rlike(r"^[+-]"), F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int"))
+    read = read.select("*", F.col("_read.component").alias("family"), F.col("_read.posterior").alias("posterior"), minutes.alias("_minutes"))
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    swapped = F.col("family") == "slash_mdy"
+    # The fields of a slashed date were laid out day first: a is the second number, b the first.
     read = read.withColumns(
         {
-            "_day": F.when(F.col("_swap"), F.make_date(y, b, a)).when(dmy, F.make_date(y, a, b)),
+            "_day": F.when(swapped, F.make_date(y, b, a)).when(~F.col("family").startswith("epoch"), F.make_date(y, a, b)),
             "_offset": F.when(F.col("_minutes") <= 18 * 60, F.when(zone.startswith("-"), -F.col("_minutes")).otherwise(F.col("_minutes"))).when(
                 zone.rlike(r"^[A-Za-z]"), F.try_element_at(table, F.upper(zone))
             ),
@@ -179,24 +216,23 @@ def normalise(values: DataFrame, sites: DataFrame, settled: float = 0.95) -> Dat
         }
     )
     read = read.withColumn("_local", F.unix_date("_day").cast("long") * 86400 + F.col("_clock"))
-    seconds = F.when(named.isNotNull(), F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), named))).otherwise(
-        local - F.col("_offset") * 60
+    read = read.withColumn("_utc", F.when(named.isNotNull(), F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), named))).otherwise(local - F.col("_offset") * 60))
+    number, utc = F.col("_t").try_cast("bigint"), F.col("_utc")
+    epoch = F.when(F.col("family") == "epoch_s", number * 1000).when(F.col("family") == "epoch_ms", number).when(F.col("family") == "epoch_us", F.expr("try_cast(_t as bigint) div 1000"))
+    shown = lambda later: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(utc + later), named))
+    # Clocks are put back by an hour or, on one island, half of it.
+    reason = (
+        F.when(named.isNotNull() & (shown(0) != local), "skipped")
+        .when(named.isNotNull() & ((shown(3600) == local) | (shown(1800) == local)), "repeated")
+        .when(F.col("posterior") < settled, "order")
     )
-    number, length = F.col("_t").try_cast("bigint"), F.length("_t")
-    epoch = F.when(length <= 11, number * 1000).when(length <= 14, number).otherwise(F.expr("try_cast(_t as bigint) div 1000"))
     return (
-        read.withColumn("utc_ms", F.when(F.col("_family") == "epoch", epoch).otherwise(seconds * 1000 + F.col("_ms")))
+        read.withColumn("utc_ms", F.coalesce(epoch, utc * 1000 + F.col("_ms")))
         # The row number keeps the optimiser from copying the whole reading into a pushed-down filter.
         .withColumn("_row", F.monotonically_increasing_id())
         .filter(F.col("utc_ms").isNotNull() & (F.col("_row") >= 0))
-        .select(
-            "src",
-            "rec_no",
-            "utc_ms",
-            F.when(~slash, F.col("_family")).when(F.col("_swap"), "slash_mdy").otherwise("slash_dmy").alias("family"),
-            "posterior",
-            (F.col("posterior") < settled).alias("ambiguous"),
-        )
+        .withColumn("reason", reason)
+        .select("src", "rec_no", "utc_ms", "family", "posterior", F.col("reason").isNotNull().alias("ambiguous"), "reason")
     )
 
 

@@ -150,3 +150,25 @@ def test_mixture_decides_and_marks_ambiguity(spark):
     got = read(spark, seen, sites)
     assert got[16]["utc_ms"] == ms(2024, 2, 3) and got[16]["family"] == "slash_mdy"
     assert got[17]["ambiguous"] and not got[18]["ambiguous"] and not got[0]["ambiguous"]
+
+
+def test_repeated_and_skipped_local_times_are_marked(spark):
+    got = read(spark, ["2024-10-27 02:30:00", "2024-03-31 02:30:00", "2024-10-27 02:30:00 CET", "2024-10-27 01:59:59", "2024-10-27 03:00:00"])
+    assert [got[i]["reason"] for i in range(5)] == ["repeated", "skipped", None, None, None] and got[1]["ambiguous"]
+
+
+def test_bare_numbers_are_components(spark):
+    got = read(spark, ["1737060174", "1716821130324", "1763765756935917", "20240910035127", "99999999999999"])
+    assert [got[i]["family"] for i in sorted(got)] == ["epoch_s", "epoch_ms", "epoch_us", "compact"] and min(r["posterior"] for r in got.values()) > 0.99
+
+
+def test_mixture_equals_a_plain_fit(spark):
+    """The posterior of open dates against expectation-maximisation written out for two components."""
+    seen = [("m", f"{d:02d}/01/2024 00:00:00") for d in range(13, 20)] + [("m", f"01/{d}/2024 00:00:00") for d in range(13, 29)] + [("m", f"{a:02d}/0{b}/2024 00:00:00") for a in range(1, 9) for b in range(1, 9) if a != b]
+    got = read(spark, seen, [("m", "UTC", None)])
+    n_dmy, n_mdy, n_both, p, q = 7, 16, 56, 0.1, 0.1
+    for _ in range(25):
+        share = p / (p + q)
+        p, q = (1 + n_dmy + n_both * share) / (10 + len(seen)), (1 + n_mdy + n_both * (1 - share)) / (10 + len(seen))
+    want = q / (p + q)
+    assert got[len(seen) - 1]["family"] == "slash_mdy" and abs(got[len(seen) - 1]["posterior"] - want) < 1e-9
