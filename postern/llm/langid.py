@@ -3,11 +3,13 @@
 A passage is first assigned a language family by one linear SVM, then one-versus-one SVMs inside
 the family vote for the language. Features are hashed words and character n-grams with word ends.
 The models are linear and counts are averaged, so a passage's score is the mean of its words'
-scores; these are memoised per worker and a text costs one table look-up per word.
+scores. A batch's distinct words are scored once; sums by passage, votes and confidences are array
+operations over the whole batch.
 
-Fitting uses at most about `sample` labelled posts, chosen by a hash of doc_id, and is repeated on
-the passages on which the first fit agrees with the label, since labels are partly wrong.
-Prediction covers every post and its whole text where it lies; there is no shuffle.
+Fitting reads at most `sample` labelled posts, the first in order of a hash of doc_id, and of those
+at most `per_post` passages a post and `per_language` passages a language (6,000, 12 and 3,000). It
+is repeated on the passages on which the first fit agrees with the label, since labels are partly
+wrong. Prediction covers every post and its whole text where it lies; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -119,35 +121,46 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
 class Model:
     """Family SVM and one-versus-one SVMs as one weight matrix (features x machines)."""
 
-    def __init__(self, weights: np.ndarray):
-        self.w, self.cache = weights, {}
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        total, n = np.zeros(self.w.shape[1], dtype=np.float64), 0
-        cache = self.cache
-        for x in words:
-            hit = cache.get(x)
-            if hit is None:
-                f = word_features(x)
-                hit = (self.w[f].sum(axis=0, dtype=np.float64), len(f))
-                if len(cache) < 500_000:
-                    cache[x] = hit
-            total += hit[0]
-            n += hit[1]
-        return total / max(1, n) + self.w[-1]
-
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        """Language and confidence: family probability times the winner's weakest duel."""
-        s = self.scores(words)
-        family = "germanic" if s[0] > 0 else "romance"
-        votes: dict[str, list[float]] = {x: [] for x in FAMILIES[family]}
-        for k, (a, b) in enumerate(PAIRS, start=1):
-            if a in votes:
-                votes[a].append(s[k])
-                votes[b].append(-s[k])
-        best = max(votes, key=lambda x: (sum(v > 0 for v in votes[x]), min(votes[x])))
-        sure = lambda m: 1 / (1 + math.exp(-max(-30.0, min(30.0, 3 * m))))
-        return best, sure(abs(s[0])) * sure(min(votes[best]))
+    def __init__(self, weights: np.ndarray, most: int = 500_000):
+        self.w, self.most = weights, most
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, weights.shape[1] + 1))
+
+    def _row(self, word: str) -> int:
+        """Row of a word in the table: the sums of its features' weights, and how many they are."""
+        at = self.rows.setdefault(word, len(self.rows))
+        if at == len(self.rows) - 1:
+            if at >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            f = word_features(word)
+            self.table[at, :-1], self.table[at, -1] = self.w[f].sum(axis=0, dtype=np.float64), len(f)
+        return at
+
+    def predict(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language numbers and confidences of passages: `words` of all, `sizes` (at least 1) of each.
+
+        The confidence is the family's probability times that of the winner's weakest duel.
+        """
+        if not len(sizes):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        if len(self.rows) > self.most:
+            self.rows.clear()
+        codes, distinct = pd.factorize(np.asarray(words, dtype=object))
+        known = np.fromiter((self._row(w) for w in distinct), dtype=np.int64, count=len(distinct))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sums = np.add.reduceat(self.table[known[codes]], starts, axis=0)
+        s = sums[:, :-1] / np.maximum(1.0, sums[:, -1:]) + self.w[-1]
+        wins, weakest = np.zeros((len(s), len(LANGUAGES))), np.full((len(s), len(LANGUAGES)), np.inf)
+        for k, pair in enumerate(PAIRS, start=1):
+            for x, margin in zip(map(LANGUAGES.index, pair), (s[:, k], -s[:, k]), strict=True):
+                wins[:, x] += margin > 0
+                weakest[:, x] = np.minimum(weakest[:, x], margin)
+        family = np.array([x in FAMILIES["germanic"] for x in LANGUAGES])
+        wins[(s[:, :1] > 0) != family] = -1.0
+        # Most duels won, then the best weakest duel, then the first language.
+        best = np.where(wins == wins.max(axis=1, keepdims=True), weakest, -np.inf).argmax(axis=1)
+        sure = lambda m: 1 / (1 + np.exp(-np.clip(3 * m, -30.0, 30.0)))
+        return best, sure(np.abs(s[:, 0])) * sure(weakest[np.arange(len(s)), best])
 
 
 def _fit_once(rows: list, langs: np.ndarray) -> np.ndarray:
@@ -159,12 +172,12 @@ def _fit_once(rows: list, langs: np.ndarray) -> np.ndarray:
     return np.stack(machines, axis=1)
 
 
-def fit(sample: list[tuple[str, str]], per_language: int = 1500, min_words: int = 4) -> np.ndarray:
+def fit(sample: list[tuple[str, str]], per_language: int = 3000, per_post: int = 12, min_words: int = 4) -> np.ndarray:
     """Weights from (language, text) pairs; fitted again on the passages the first fit agrees with."""
     data: dict[str, list[list[str]]] = {x: [] for x in LANGUAGES}
     for lang, text in sample:
         if len(data[lang]) < per_language:
-            for p in passages(text)[:12]:
+            for p in passages(text)[:per_post]:
                 words = WORD.findall(p.lower())
                 if len(words) >= min_words:
                     data[lang].append(words)
@@ -174,35 +187,45 @@ def fit(sample: list[tuple[str, str]], per_language: int = 1500, min_words: int
     langs = np.array([x for x, _ in pairs])
     vectors = [_vector(w) for _, w in pairs]
     weights = _fit_once(vectors, langs)
-    model = Model(weights)
-    keep = np.array([model.predict(w)[0] == x for x, w in pairs])
+    said, _ = Model(weights).predict([w for _, ws in pairs for w in ws], np.array([len(ws) for _, ws in pairs]))
+    keep = np.array(LANGUAGES)[said] == langs
     return _fit_once([v for v, k in zip(vectors, keep, strict=True) if k], langs[keep])
 
 
 def fit_documents(documents: DataFrame, sample: int = 6000) -> np.ndarray:
-    """Weights fitted on about `sample` labelled posts, chosen by a hash of doc_id (never more than twice that)."""
+    """Weights fitted on at most `sample` labelled posts of 40 characters or more, the first by a hash of doc_id."""
     known = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).filter(F.col("label").isNotNull() & (F.length("text") >= 40))
-    total = documents.select("doc_id").count()
-    share = min(1.0, sample / max(1, total))
-    rows = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(math.ceil(share * 1_000_000))).limit(2 * sample)
-    picked = sorted(rows.collect(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
-    return fit([(r["label"], r["text"]) for r in picked])
-
-
-def segments(documents: DataFrame, weights: np.ndarray, min_words: int = 4) -> DataFrame:
-    """(doc_id, seg_no, n_words, lang, confidence) of every passage; null and wordless posts have none."""
+    # About twice the sample passes the hash's bound, so that only so many texts are ordered.
+    share = min(1.0, 2.0 * sample / max(1, documents.select("doc_id").count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    rows = known.filter(place < int(math.ceil(share * 1_000_000))).orderBy(place, "doc_id", F.xxhash64("text")).limit(sample)
+    return fit([(r["label"], r["text"]) for r in rows.select("label", "text").collect()])
+
+
+def _passages_of(texts, least: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(text number, passage number, words, sizes) of all passages of a batch with at least `least` words."""
+    rows, numbers, flat, sizes = [], [], [], []
+    for r, t in enumerate(texts):
+        for i, p in enumerate(passages(t)):
+            words = WORD.findall(p.lower())
+            if len(words) >= least:
+                rows.append(r)
+                numbers.append(i)
+                flat += words
+                sizes.append(len(words))
+    return np.array(rows, dtype=np.int64), np.array(numbers, dtype=np.int64), flat, np.array(sizes, dtype=np.int64)
+
+
+def segments(documents: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, seg_no, n_words, lang, confidence) of every passage that holds a word; null and wordless posts have none."""
     shipped = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(shipped.value)
+        model, names = Model(shipped.value), np.array(LANGUAGES, dtype=object)
         for b in batches:
-            rows = []
-            for d, t in zip(b["doc_id"], b["text"], strict=True):
-                for i, p in enumerate(passages(t)):
-                    words = WORD.findall(p.lower())
-                    if len(words) >= min_words:
-                        rows.append((d, i, len(words), *model.predict(words)))
-            yield pd.DataFrame(rows, columns=["doc_id", "seg_no", "n_words", "lang", "confidence"])
+            rows, numbers, flat, sizes = _passages_of(b["text"], 1)
+            best, sure = model.predict(flat, sizes)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[rows], "seg_no": numbers, "n_words": sizes, "lang": names[best], "confidence": sure})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, seg_no int, n_words int, lang string, confidence double")
 
@@ -216,21 +239,19 @@ def post_languages(documents: DataFrame, weights: np.ndarray, min_words: int = 5
     shipped = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(shipped.value)
+        model, names = Model(shipped.value), np.array(LANGUAGES, dtype=object)
         for b in batches:
-            rows = []
-            for d, t, label in zip(b["doc_id"], b["text"], b["label"], strict=True):
-                seen: dict[str, list] = {}
-                for p in passages(t):
-                    words = WORD.findall(p.lower())
-                    if len(words) >= min_words:
-                        lang, sure = model.predict(words)
-                        if sure >= least:
-                            x = seen.setdefault(lang, [0.0, 0])
-                            x[0], x[1] = max(x[0], sure), x[1] + len(words)
-                total = sum(n for _, n in seen.values())
-                rows += [(d, label, x, c, n / total) for x, (c, n) in sorted(seen.items())]
-            yield pd.DataFrame(rows, columns=["doc_id", "label", "lang", "confidence", "share"])
+            rows, _, flat, sizes = _passages_of(b["text"], min_words)
+            best, sure = model.predict(flat, sizes)
+            use = sure >= least
+            keys, back = np.unique(rows[use] * len(LANGUAGES) + best[use], return_inverse=True)
+            row, lang = keys // len(LANGUAGES), keys % len(LANGUAGES)
+            words, top = np.zeros(len(keys)), np.zeros(len(keys))
+            np.add.at(words, back, sizes[use])
+            np.maximum.at(top, back, sure[use])
+            total = np.zeros(len(b))
+            np.add.at(total, row, words)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[row], "label": b["label"].to_numpy()[row], "lang": names[lang], "confidence": top, "share": words / total[row]})
 
     source = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label"))
     return source.mapInPandas(run, "doc_id bigint, label string, lang string, confidence double, share double")

@@ -73,7 +73,13 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(documents, langid.fit_documents(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_subjects, p2_conflicts, p4_found, p4_classes, p7_sequences, p7_invariants, p8_found, p9_found, p9_segments)}
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every post with each of its languages, the confidence and the language's share of its words."""
+    documents = table(spark, d, "documents")
+    return langid.post_languages(documents, langid.fit_documents(documents))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_subjects, p2_conflicts, p4_found, p4_classes, p7_sequences, p7_invariants, p8_found, p9_found, p9_segments, p9_languages)}
 
 _SETS = """
     WITH raw AS (
