@@ -1,12 +1,16 @@
 """The explainable scoring model as columns: logits, softmax, noisy-or, confidence, bands.
 
-A feature is a nullable double: NULL means unobserved and adds exactly 0. Everything is a literal
-expression over the vector, so a score is one code-generated stage without joins.
+A feature is a nullable double: NULL means unobserved and adds exactly 0. `score` works in steps of
+plain columns, so that every intermediate value is computed once inside one generated stage, without
+joins: where a class's weights are equal inside a family and can't be clipped, a logit is the six
+family sums times six weights. `logits` and `softmax` are the same as single expressions over arrays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postern.functions import lexicons as L
@@ -31,6 +35,70 @@ def weights() -> list[list[float]]:
     return [[L.FAMILY_WEIGHTS[k][f] / sizes[f] for f in family_index()] for k in L.CLASSES]
 
 
+@dataclass(frozen=True)
+class Model:
+    """Weights of the class model and the second head; the defaults are the hand-set ones."""
+
+    b0: list[float] = field(default_factory=lambda: list(L.INTERCEPTS))
+    beta: list[list[float]] = field(default_factory=weights)
+    g0: float = L.BEC_INTERCEPT
+    g: dict[str, float] = field(default_factory=lambda: dict(L.BEC_WEIGHTS))
+    gamma: float = L.GAMMA
+    temperature: float = 1.0
+    tau_high: float = 60.0
+    tau_susp: float = 40.0
+    weights_source: str = "hand_set_uncalibrated"
+
+    def family_weights(self) -> list[list[float]] | None:
+        """Per class the weight of each family, if it is shared inside families and no term can be clipped."""
+        fam = family_index()
+        out = [[row[fam.index(f)] for f in range(len(L.FAMILIES))] for row in self.beta]
+        shared = all(row[i] == out[k][f] and abs(row[i]) <= L.CLIP for k, row in enumerate(self.beta) for i, f in enumerate(fam))
+        return out if shared else None
+
+
+def score(df: DataFrame, x: str = "x", model: Model | None = None, evidence: str | None = None) -> DataFrame:
+    """Adds z, p (arrays of 8), top, risk, bec, risk_final, confidence, band and verdict.
+
+    `x` is the vector array<double>[60]; a null vector gives NULLs, another length is an error.
+    `evidence`: optional array of further independent probabilities. Automation (`automatic`) needs
+    fitted weights and a determined verdict.
+    """
+    m = model or Model()
+    whole = F.when(F.col(x).isNull() | (F.size(x) == len(L.FEATURES)), F.col(x)).otherwise(F.raise_error(F.lit(f"a vector has {len(L.FEATURES)} features")))
+    v = lambda i: F.coalesce(F.get("_x", F.lit(i)), F.lit(0.0))
+    total = lambda cols: sum(cols[1:], cols[0])
+    family = m.family_weights()
+    df = df.withColumn("_x", whole)
+    if family:
+        fam = family_index()
+        df = df.withColumns({f"_f{f}": total([v(i) for i in range(len(fam)) if fam[i] == f]) for f in range(len(L.FAMILIES))})
+        z = [total([F.lit(b), *[w * F.col(f"_f{f}") for f, w in enumerate(row)]]) for b, row in zip(m.b0, family, strict=True)]
+    else:
+        df = df.withColumn("_v", F.transform("_x", lambda e: F.coalesce(e, F.lit(0.0))))
+        z = [F.aggregate(F.zip_with(_literals(row), F.col("_v"), term), F.lit(float(b)), lambda acc, t: acc + t) for b, row in zip(m.b0, m.beta, strict=True)]
+    k = range(len(L.CLASSES))
+    df = df.withColumns({f"_z{i}": F.when(F.col("_x").isNotNull(), z[i]) for i in k} | {"_g": F.when(F.col("_x").isNotNull(), total([F.lit(m.g0), *[g * v(L.FEATURES.index(n)) for n, g in m.g.items()]]))})
+    df = df.withColumn("_top", F.greatest(*[F.col(f"_z{i}") for i in k]))
+    df = df.withColumns({f"_e{i}": F.exp(F.col(f"_z{i}") - F.col("_top")) for i in k})
+    df = df.withColumn("_sum", total([F.col(f"_e{i}") for i in k]))
+    df = df.withColumns({f"_p{i}": F.col(f"_e{i}") / F.col("_sum") for i in k} | {"bec": sigmoid(F.col("_g") / max(1e-6, m.temperature))})
+    p = [F.col(f"_p{i}") for i in k]
+    first = F.when(F.col("_top").isNull(), F.lit(None))
+    for i in k:
+        first = first.when(F.col(f"_z{i}") == F.col("_top"), i)
+    entropy = total([F.when(q > 0, -q * F.log(q)).otherwise(0.0) for q in p])
+    extra = F.col("bec") if evidence is None else 1.0 - (1.0 - F.col("bec")) * (1.0 - L.W_BEC * noisy_or(evidence))
+    df = df.withColumns({
+        "z": F.array(*[F.col(f"_z{i}") for i in k]), "p": F.array(*p), "top": first.cast("int"), "risk": 100.0 * (1.0 - p[0]), "risk_final": 100.0 * (1.0 - p[0] * (1.0 - L.W_BEC * extra)),
+        "confidence": F.when(F.col("_top").isNotNull(), F.pow(F.greatest(F.lit(0.0), 1.0 - entropy / F.log(F.lit(8.0))), F.lit(m.gamma))),
+    })
+    df = df.withColumns({"band": F.when(F.col("risk_final").isNotNull(), F.when(F.col("risk_final") >= m.tau_high, "HIGH-RISK").when(F.col("risk_final") >= m.tau_susp, "SUSPICIOUS").otherwise("LOW")), "verdict": F.when(F.col("confidence").isNotNull(), abstention("confidence"))})
+    df = df.withColumn("automatic", F.lit(m.weights_source == "fitted") & (F.col("verdict") == "DETERMINED") & (F.col("band") == "HIGH-RISK"))
+    hidden = ["_x", "_v", "_g", "_top", "_sum", *[f"_{c}{i}" for c in "fzep" for i in k]]
+    return df.drop(*hidden)
+
+
 def term(weight: Column, value: Column) -> Column:
     """A feature's clipped contribution; unobserved adds 0."""
     raw = weight * F.coalesce(value, F.lit(0.0))

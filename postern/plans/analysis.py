@@ -55,21 +55,19 @@ _SCORED = f"SELECT *, {_RF} AS rf, {_CONF} AS conf FROM (SELECT *, {_BEC} AS bec
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    v = order_vectors(spark, d).withColumn("p", scoring.softmax(scoring.logits("x"))).withColumn("bec", scoring.bec_score("x"))
-    return v.withColumns({"rf": scoring.risk_final("p", "bec"), "conf": scoring.model_confidence("p"), "k": scoring.argmax("p")})
+    return scoring.score(order_vectors(spark, d))
 
 
 @query(f"SELECT o_orderkey, round(z[1], 6) AS z_legitimate, round(z[5], 6) AS z_bec, round(z[8], 6) AS z_spam FROM ({_LOGITS})")
 def m01_logits(spark: SparkSession, d: str) -> DataFrame:
     """M11 as well: the weights are the family weights shared by each family's features."""
-    v = order_vectors(spark, d).select("o_orderkey", scoring.logits("x").alias("z"))
-    return v.select("o_orderkey", *[F.round(F.get("z", F.lit(i)), 6).alias(n) for i, n in ((0, "z_legitimate"), (4, "z_bec"), (7, "z_spam"))])
+    return scored(spark, d).select("o_orderkey", *[F.round(F.get("z", F.lit(i)), 6).alias(n) for i, n in ((0, "z_legitimate"), (4, "z_bec"), (7, "z_spam"))])
 
 
 @query(f"SELECT o_orderkey, round(p[1], 6) AS p_legitimate, round(p[4], 6) AS p_phishing, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS top FROM ({_PROBS})")
 def m02_softmax(spark: SparkSession, d: str) -> DataFrame:
     """X25 and L05 as well."""
-    return scored(spark, d).select("o_orderkey", F.round(F.get("p", F.lit(0)), 6).alias("p_legitimate"), F.round(F.get("p", F.lit(3)), 6).alias("p_phishing"), F.col("k").alias("top"))
+    return scored(spark, d).select("o_orderkey", F.round(F.get("p", F.lit(0)), 6).alias("p_legitimate"), F.round(F.get("p", F.lit(3)), 6).alias("p_phishing"), "top")
 
 
 @query(f"""SELECT o_orderkey, round(100 * (1 - p[1]), 6) AS risk, round(bec, 6) AS bec, round(rf, 6) AS risk_final, round(conf, 6) AS confidence,
@@ -78,8 +76,7 @@ def m02_softmax(spark: SparkSession, d: str) -> DataFrame:
 def m06_score(spark: SparkSession, d: str) -> DataFrame:
     """M03, M04, M05, M07, M09, R08, R09 and X26, X27 as well."""
     return scored(spark, d).select(
-        "o_orderkey", F.round(scoring.risk("p"), 6).alias("risk"), F.round("bec", 6).alias("bec"), F.round("rf", 6).alias("risk_final"), F.round("conf", 6).alias("confidence"),
-        scoring.band("rf").alias("band"), scoring.abstention("conf").alias("verdict"),
+        "o_orderkey", *[F.round(c, 6).alias(c) for c in ("risk", "bec", "risk_final", "confidence")], "band", "verdict",
     )
 
 
@@ -100,7 +97,7 @@ def m08_attribution_confidence(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m10_findings(spark: SparkSession, d: str) -> DataFrame:
     """W07 as well: clipped terms of the chosen class, strongest first."""
-    f = scored(spark, d).select("o_orderkey", F.posexplode(scoring.findings("x", "k")).alias("rank", "f"))
+    f = scored(spark, d).select("o_orderkey", F.posexplode(scoring.findings("x", "top")).alias("rank", "f"))
     names = F.array(*[F.lit(x) for x in L.FEATURES])
     return f.select("o_orderkey", "rank", F.get(names, F.col("f.pos")).alias("feature"), F.round("f.contribution", 6).alias("contribution"))
 

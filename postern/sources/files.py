@@ -103,21 +103,27 @@ def read_profile(spark: SparkSession, path: str | None) -> dict[str, list]:
     return out | {"executives": [e["name"] for e in d.get("executives") or [] if e.get("name")], "abuse_contact": d.get("abuse_contact")}
 
 
-def write_model(path: str, source: str = "hand_set_uncalibrated") -> None:
-    doc = {"b0": L.INTERCEPTS, "beta": scoring.weights(), "g0": L.BEC_INTERCEPT, "g": L.BEC_WEIGHTS, "gamma": L.GAMMA, "tau_cluster": L.TAU_CLUSTER, "weights_source": source}
+def write_model(path: str, source: str = "hand_set_uncalibrated", model: scoring.Model | None = None) -> None:
+    """Store a model as JSON; `g` is in the order of its features."""
+    m = model or scoring.Model()
+    doc = {"b0": m.b0, "beta": m.beta, "g": [m.g0, *m.g.values()], "gamma": m.gamma, "temperature": m.temperature, "tau_high": m.tau_high, "tau_susp": m.tau_susp, "tau_cluster": L.TAU_CLUSTER, "clip_c": L.CLIP, "w_bec": L.W_BEC, "feature_count": len(L.FEATURES), "weights_source": source}
     with open(path, "w") as f:
         json.dump(doc, f)
 
 
-def read_model(path: str) -> dict:
-    """A stored model; its weights must say where they come from and have the right shape."""
+def read_model(path: str) -> scoring.Model:
+    """A stored model for scoring.score; its weights must say where they come from and have the right shape."""
     with open(path) as f:
         m = json.load(f)
     if m.get("weights_source") not in ("fitted", "hand_set_uncalibrated"):
         raise ValueError("weights_source must be fitted or hand_set_uncalibrated")
-    if len(m["b0"]) != 8 or any(len(b) != 60 for b in m["beta"]):
-        raise ValueError("a model has 8 intercepts and 8 x 60 weights")
-    return m
+    if len(m["b0"]) != 8 or len(m["beta"]) != 8 or any(len(b) != 60 for b in m["beta"]) or len(m["g"]) != 1 + len(L.BEC_WEIGHTS):
+        raise ValueError("a model has 8 intercepts, 8 x 60 weights and 1 + 11 of the second head")
+    num = lambda k, d: float(m.get(k, d))
+    return scoring.Model(
+        [float(v) for v in m["b0"]], [[float(v) for v in b] for b in m["beta"]], float(m["g"][0]), dict(zip(L.BEC_WEIGHTS, map(float, m["g"][1:]), strict=True)),
+        num("gamma", L.GAMMA), num("temperature", 1.0), num("tau_high", 60.0), num("tau_susp", 40.0), m["weights_source"],
+    )
 
 
 def strict_json(df: DataFrame, column: str, depth: int = 64) -> DataFrame:

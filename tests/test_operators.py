@@ -163,7 +163,7 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_confusables(spark, str(tmp_path / "g.tsv"))
     files.write_model(str(tmp_path / "m.json"))
-    assert len(files.read_model(str(tmp_path / "m.json"))["beta"]) == 8
+    assert len(files.read_model(str(tmp_path / "m.json")).beta) == 8
     j = spark.createDataFrame([('{"a":1}',), ('{"a":1} x',), ("[" * 80 + "]" * 80,), (None,), ('"\n"',)], "v string")
     assert [r["valid"] for r in files.strict_json(j, "v").collect()] == [True, False, False, None, False]
     assert files.read_profile(spark, None)["brands"] == []
