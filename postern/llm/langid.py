@@ -7,7 +7,7 @@ scores. A batch's distinct words are scored once; sums by passage, votes and con
 operations over the whole batch.
 
 Fitting reads at most `sample` labelled posts, the first in order of a hash of doc_id, and of those
-at most `per_post` passages a post and `per_language` passages a language (6,000, 12 and 3,000). It
+at most `per_post` passages a post and `per_language` passages a language (6,000, 12 and 2,000). It
 is repeated on the passages on which the first fit agrees with the label, since labels are partly
 wrong. Prediction covers every post and its whole text where it lies; there is no shuffle.
 """
@@ -172,7 +172,7 @@ def _fit_once(rows: list, langs: np.ndarray) -> np.ndarray:
     return np.stack(machines, axis=1)
 
 
-def fit(sample: list[tuple[str, str]], per_language: int = 3000, per_post: int = 12, min_words: int = 4) -> np.ndarray:
+def fit(sample: list[tuple[str, str]], per_language: int = 2000, per_post: int = 12, min_words: int = 4) -> np.ndarray:
     """Weights from (language, text) pairs; fitted again on the passages the first fit agrees with."""
     data: dict[str, list[list[str]]] = {x: [] for x in LANGUAGES}
     for lang, text in sample:
