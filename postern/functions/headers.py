@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postern.functions.text import c
+from postern.session import let
 
 
 def unfold(block) -> Column:
@@ -34,6 +35,11 @@ def auth_result(header, method: str) -> Column:
     return F.when(v != "", v)
 
 
+def first_auth_result(headers, method: str) -> Column:
+    """Result of a method in the first of several authentication headers that states one; no header gives NULL."""
+    return F.get(F.filter(F.transform(c(headers), lambda h: auth_result(h, method)), lambda v: v.isNotNull()), F.lit(0))
+
+
 def auth_component(header, key: str) -> Column:
     """Value of the first `key=value` segment."""
     parts = F.transform(F.split(c(header), ";"), lambda s: F.trim(s))
@@ -52,8 +58,15 @@ def spf_verdict(received_spf, auth_header) -> Column:
     return F.coalesce(normal(F.lower(F.regexp_extract(c(received_spf), r"^\s*(\w+)", 1))), normal(auth_result(auth_header, "spf")))
 
 
+def spf_contradiction(received_spf, auth_header) -> Column:
+    """Received-SPF and the authentication header both state a verdict, and not the same one."""
+    a, b = spf_verdict(received_spf, F.lit(None).cast("string")), spf_verdict(F.lit(None).cast("string"), auth_header)
+    return F.coalesce(a != b, F.lit(False))
+
+
 def dkim_domain(signature) -> Column:
-    v = F.regexp_extract(F.lower(c(signature)), r"(?:^|;)\s*d=\s*([^;\s]+)", 1)
+    """Domain of a signature's first d= tag, lower case."""
+    v = F.regexp_extract(F.lower(c(signature)), r"(?s)^(?:(?!d=).)*d=\s*([\p{L}\p{N}.\-]*)", 1)
     return F.when(v != "", v)
 
 
@@ -73,21 +86,74 @@ def charset(value) -> Column:
     return F.when(v.isin(CHARSETS), v).otherwise("utf-8")
 
 
-# Named zones of header dates in minutes east.
+# Zone names that stand for an offset, and names of regions, whose offset follows the date.
 US_ZONES = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700", "GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000"}
+REGIONS = {"CET": "Europe/Paris", "CEST": "Europe/Paris", "WET": "Europe/Lisbon", "WEST": "Europe/Lisbon", "EET": "Europe/Bucharest", "EEST": "Europe/Bucharest", "MSK": "Europe/Moscow", "JST": "Asia/Tokyo", "AKST": "America/Anchorage", "AKDT": "America/Anchorage"}
+DATE = r"^(?:([A-Za-z]+), ?)?(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}):(\d{2})(?::(\d{2}))? (\S+)$"
+MONTH_NAMES = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def _fields(s: Column) -> Column:
+    """[weekday, day, month, year, hour, minute, second, zone] of a text in DATE's form; else fewer."""
+    return F.split(F.regexp_replace(s, DATE, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|")
+
+
+def _local_seconds(f: Column) -> Column:
+    """Seconds since 1970 of date fields, zone aside; the 29th to 31st become the month's last day; NULL if invalid."""
+    num = lambda i: F.get(f, F.lit(i)).try_cast("int")
+    at = F.instr(F.lit(MONTH_NAMES), F.initcap(F.get(f, F.lit(2))))
+    month = F.when((at > 0) & ((at - 1) % 3 == 0), ((at + 2) / 3).cast("int"))
+    ok = (F.size(f) == 8) & month.isNotNull() & num(1).between(1, 31) & (num(3) >= 1) & (num(4) <= 23) & (num(5) <= 59) & (F.coalesce(num(6), F.lit(0)) <= 59)
+    day = lambda first: F.unix_date(first) + F.least(num(1), F.day(F.last_day(first))) - 1
+    return let(F.when(ok, F.make_date(num(3), month, F.lit(1))), day).cast("bigint") * 86400 + num(4) * 3600 + num(5) * 60 + F.coalesce(num(6), F.lit(0))
+
 
+def _offset_seconds(zone: Column) -> Column:
+    digits = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
+    return F.when(zone.rlike(r"^[+-]\d{4}$") & (digits <= 18 * 3600) & (F.substring(zone, 4, 2) <= "59"), F.when(zone.startswith("-"), -digits).otherwise(digits))
 
-def header_date(value) -> Column:
-    """Instant of an RFC 5322 date: weekday and comment dropped, named US zones; NULL if it can't be read."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(c(value), r"\([^)]*\)", ""), r"^\s*[A-Za-z]{3,12},\s*", ""))
-    s = F.regexp_replace(s, r"\s+", " ")
-    named = F.upper(F.regexp_extract(s, r" ([A-Za-z]{1,4})$", 1))
+
+def header_date(value, tolerant: bool = True) -> Column:
+    """Instant of an RFC 5322 date; NULL if it can't be read.
+
+    Any weekday of 3 to 12 letters is passed over; seconds may be absent; zones are offsets, names
+    of US zones, UT, Z, or names of regions. `tolerant` also passes over comments, repeated blanks
+    and letter case; without it the text must have the exact form.
+    """
+    s = F.trim(c(value))
+    if tolerant:
+        s = F.trim(F.regexp_replace(F.regexp_replace(s, r"\([^)]*\)", ""), r"\s+", " "))
     table = F.create_map(*[F.lit(x) for kv in US_ZONES.items() for x in kv])
-    s = F.when(named != "", F.concat(F.regexp_replace(s, r"[A-Za-z]{1,4}$", ""), F.try_element_at(table, named))).otherwise(s)
-    full = F.when(s.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss xx")))
-    short = F.when(s.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm xx")))
-    two = F.when(s.rlike(r"^\d{1,2} [A-Za-z]{3} \d{2} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(s, F.lit("d MMM yy HH:mm:ss xx")))
-    return F.coalesce(full, short, two)
+    regions = F.create_map(*[F.lit(x) for kv in REGIONS.items() for x in kv])
+
+    def instant(f: Column) -> Column:
+        weekday, month, zone = (F.get(f, F.lit(i)) for i in (0, 2, 7))
+        named = F.upper(zone) if tolerant else zone
+        exact = F.lit(True) if tolerant else F.contains(F.lit(MONTH_NAMES), month)
+        fixed = F.coalesce(zone if tolerant else F.when(zone.rlike(r"^[+-]"), zone), F.lit(""))
+        offset = _offset_seconds(F.coalesce(F.try_element_at(table, named), fixed))
+        local = F.when(exact & ((weekday == "") | F.length(weekday).between(3, 12)), _local_seconds(f))
+        return let(local, lambda t: F.coalesce(F.timestamp_seconds(t - offset), F.to_utc_timestamp(F.timestamp_seconds(t), F.try_element_at(regions, named))))
+
+    return let(_fields(s), instant)
+
+
+def scoring_date(value) -> Column:
+    """Instant of a date as the scoring reads it: the last word is the zone (an offset, GMT, UT, UTC, Z or a military letter), a weekday must be the right one."""
+    d = F.regexp_replace(F.trim(c(value)), r"\s+", " ")
+
+    def instant(f: Column) -> Column:
+        weekday, zone = F.get(f, F.lit(0)), F.get(f, F.lit(7))
+        right = lambda t: (weekday == "") | (F.lower(weekday) == F.lower(F.date_format(F.timestamp_seconds(t), "EEE")))
+        return let(_local_seconds(f), lambda t: F.when(right(t), F.timestamp_seconds(t - _offset_seconds(zone))))
+
+    def read(d: Column) -> Column:
+        word = F.substring_index(d, " ", -1)
+        zone = F.when(word.rlike(r"^[+-]\d{4}$"), word).when(F.upper(word).isin("GMT", "UT", "UTC"), "+0000").otherwise(F.when(F.length(word) == 1, military_offset(word)))
+        body = F.regexp_replace(F.regexp_extract(d, r"^(.*) [^ ]*$", 1), r"(?<=.) \(.*$", "")
+        return let(_fields(F.concat(body, F.lit(" "), zone)), instant)
+
+    return let(d, read)
 
 
 def military_offset(letter) -> Column:

@@ -219,7 +219,9 @@ def round_half_up(x, places: int = 4) -> Column:
 
 
 def canonical_number(x) -> Column:
-    """Ten significant digits without trailing zeros; minus zero is 0."""
+    """Ten significant digits without trailing zeros; exponent forms stay as they are, minus zero is 0; not finite is an error."""
     v = c(x).cast("double")
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", v), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(v == 0, F.lit("0")).when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(plain)
+    text = F.format_string("%.10g", v)
+    plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    finite = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.raise_error(F.lit("a number must be finite"))).otherwise(F.when(F.contains(text, F.lit("e")), text).otherwise(plain))
+    return F.when(v == 0, F.lit("0")).when(v.isNotNull(), finite)

@@ -34,7 +34,7 @@ _VEC = "array_vector"
 def order_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Feature vectors derived from orders: position i is ((key * (i + 3)) % 11) / 10, unobserved where (key + i) % 3 = 0."""
     k = F.col("o_orderkey")
-    x = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: scoring.quarantine(F.when((k + i) % 3 != 0, ((k * (i + 3)) % 11) / 10.0)))
+    x = F.array(*[scoring.quarantine(F.when((k + i) % 3 != 0, ((k * (i + 3)) % 11) / 10.0)) for i in range(60)])
     return table(spark, d, "orders").select("o_orderkey", x.alias("x"))
 
 
