@@ -16,8 +16,15 @@ def unfold(block) -> Column:
 
 def address_domain(value) -> Column:
     """Domain after the last at-sign of the angle part (or the whole), lower case, no leading dot or dash; NULL without one."""
-    addr = F.when(c(value).rlike("<[^>]*>"), F.regexp_extract(c(value), "<([^>]*)>", 1)).otherwise(F.trim(c(value)))
-    return F.when(F.contains(addr, F.lit("@")), F.regexp_replace(F.lower(F.substring_index(addr, "@", -1)), r"^[.\-]+", ""))
+    addr = address_only(value)
+    domain = F.regexp_replace(F.lower(F.trim(F.substring_index(addr, "@", -1))), r"^[.\-]+", "")
+    return F.when(F.contains(addr, F.lit("@")) & (domain != ""), domain)
+
+
+def address_only(value) -> Column:
+    """Text in the first angle brackets, an unclosed one up to the end; else the whole, trimmed."""
+    v = c(value)
+    return F.when(F.contains(v, F.lit("<")), F.trim(F.regexp_extract(v, r"(?s)<([^>]*)", 1))).otherwise(F.trim(v))
 
 
 def display_name(value) -> Column:

@@ -225,7 +225,7 @@ class Walker:
         boundary = param(ctype, "boundary") if kind.startswith("multipart/") else None
         row = {
             "depth": depth, "content_type": kind, "disposition": disposition.split(";")[0].strip().lower() or None, "filename": param(disposition, "filename") or param(ctype, "name"),
-            "encoding": encoding or None, "charset": cs if cs in CHARSETS else "utf-8", "data": None, "declared": len(body), "truncated": False, "container": bool(boundary),
+            "encoding": encoding or None, "charset": cs if cs in CHARSETS else "utf-8", "charset_given": param(ctype, "charset") is not None, "data": None, "declared": len(body), "truncated": False, "container": bool(boundary),
         }
         self.parts.append(row)
         if not boundary:
@@ -245,14 +245,22 @@ class Walker:
             self.walk({n: v for n, v, _, _ in reversed(unfold(h.decode("latin-1"), self.lim, self.warn))}, b, depth + 1)
 
 
-def body_text(parts: list[dict], mode: str) -> str | None:
-    """First plain text, else first text of any kind; in features mode the last text at the top."""
+def body_text(parts: list[dict], mode: str, body: bytes, heads: dict[str, str]) -> str | None:
+    """First plain text, else first text of any kind.
+
+    In mode features it is the body as it stands of a message without parts, else the last text
+    directly below the top that is no attachment, else the first text anywhere.
+    """
     texts = [p for p in parts if p["content_type"].startswith("text/") and p["data"] is not None]
-    if mode == "features":
-        top = [p for p in texts if p["depth"] == 0]
-        texts = top[-1:] or texts
-    best = next((p for p in texts if p["content_type"] == "text/plain"), texts[0] if texts else None)
-    return None if best is None else best["data"].decode(best["charset"], "replace")
+    if mode == "evidence":
+        best = next((p for p in texts if p["content_type"] == "text/plain"), texts[0] if texts else None)
+        return None if best is None else best["data"].decode(best["charset"], "replace")
+    if not parts or not parts[0]["container"]:
+        return body.decode("latin-1")
+    top = [p for p in texts if p["depth"] == 1 and p["disposition"] != "attachment" and p["data"]]
+    if top and (text := top[-1]["data"].decode(top[-1]["charset"] if top[-1]["charset_given"] else "ascii", "replace")):
+        return text
+    return texts[0]["data"].decode("utf-8", "replace") if texts else None
 
 
 def parse(msg_id: str, raw: bytes | None, mode: str = "evidence") -> dict:
@@ -269,8 +277,15 @@ def parse(msg_id: str, raw: bytes | None, mode: str = "evidence") -> dict:
         first.setdefault(n, v)
     received = [v for n, v, _, _ in heads if n == "received"]
     if len(received) > lim.received:
-        warn.append("RECEIVED_COUNT_EXCEEDED")
-        received = received[: lim.received]
+        warn.append("RECEIVED_TRUNCATED" if mode == "evidence" else "RECEIVED_COUNT_EXCEEDED")
+        received, seen = received[: lim.received], 0
+        if mode == "features":  # this rule set doesn't keep the rest as headers either
+            kept = []
+            for h in heads:
+                seen += h[0] == "received"
+                if h[0] != "received" or seen <= lim.received:
+                    kept.append(h)
+            heads = kept
     w = Walker(mode, warn)
     w.walk(first, body, 0)
     addr = lambda n: addresses(first.get(n), lim.addresses)
@@ -278,7 +293,7 @@ def parse(msg_id: str, raw: bytes | None, mode: str = "evidence") -> dict:
     return {
         "msg_id": msg_id, "headers": [{"name": n, "value": v, "folded": f, "lines": k} for n, v, f, k in heads], "from_addr": addr("from"), "to_addr": addr("to"), "cc_addr": addr("cc"), "reply_to": addr("reply-to"),
         "return_path": (re.sub(r"^<|>$", "", first.get("return-path", "").strip()) or None), "subject": first.get("subject"), "message_id": first.get("message-id"), "date": first.get("date"), "references": ids,
-        "hops": [hop(v, i) for i, v in enumerate(received)], "parts": w.parts, "body": body_text(w.parts, mode), "arc": sorted({n for n in first if n.startswith("arc-")}), "warnings": list(dict.fromkeys(warn)),
+        "hops": [hop(v, i) for i, v in enumerate(received)], "parts": w.parts, "body": body_text(w.parts, mode, body, first), "arc": sorted({n for n in first if n.startswith("arc-")}), "warnings": list(dict.fromkeys(warn)),
     }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -15,6 +16,9 @@ from postern.session import let
 INVISIBLE = "[\\x{200B}-\\x{200D}\\x{2060}-\\x{2064}\\x{180E}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{E0000}-\\x{E000E}\\x{00AD}]"
 
 
+INVISIBLE_CLASS = "[\u200b-\u200d\u2060-\u2064\u180e\ufeff\u202a-\u202e\u2066-\u2069\U000e0000-\U000e000e\u00ad]"
+
+
 def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -59,6 +63,12 @@ def fold(text, table: dict[str, str]) -> Column:
     return out
 
 
+def fold_text(text: str, table: dict[str, str]) -> str:
+    """Comparison form of one string, the same as skeleton() of a column."""
+    clean = re.sub(INVISIBLE_CLASS, "", unicodedata.normalize("NFKC", text))
+    return "".join(table.get(ch, ch) for ch in clean).lower()
+
+
 def skeleton(text, table: dict[str, str]) -> Column:
     """Comparison form: compatibility composition, invisibles out, look-alikes folded, lower case."""
     return F.lower(fold(strip_invisible(nfkc(text)), table))

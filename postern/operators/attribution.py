@@ -51,6 +51,19 @@ def indicators(hops: DataFrame) -> DataFrame:
     return hops.filter("protocol is not null").select("msg_no", "hop_no", F.explode(toks).alias("token"))
 
 
+def domain_hints(entries: DataFrame, order: str = "row_no") -> DataFrame:
+    """(domain, age_days, mx), one row per domain, from an analyst's entries in order.
+
+    Names are compared in lower case without blanks around them; a later entry that states a field
+    supersedes an earlier one; a negative age is an error.
+    """
+    bad = F.col("age_days") < 0
+    age = F.when(bad, F.raise_error(F.lit("an age can't be negative"))).otherwise(F.col("age_days"))
+    e = entries.select(F.lower(F.trim("domain")).alias("domain"), age.cast("int").alias("age_days"), "mx", order).filter("domain <> ''")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+    return e.groupBy("domain").agg(last("age_days").alias("age_days"), last("mx").alias("mx"))
+
+
 def attribute(
     hops: DataFrame, enrichment: DataFrame | None = None, domains: DataFrame | None = None, anonymiser_asns: tuple[str, ...] = (), anonymiser_orgs: tuple[str, ...] = (), proxy_hosts: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -14,17 +14,18 @@ def _flag(cond: Column) -> Column:
     return cond.cast("double")
 
 
-def auth_features(auth: Column, dkim_signature: Column, from_domain: Column, return_domain: Column) -> dict[str, Column]:
-    """From the authentication header, the signature and the two domains (all nullable strings)."""
-    spf, dkim, dmarc = (headers.auth_result(auth, m) for m in ("spf", "dkim", "dmarc"))
+def auth_features(auth: Column, signatures: Column, from_domain: Column, return_domain: Column) -> dict[str, Column]:
+    """From the authentication headers and the signatures (arrays, in order) and the two domains (nullable)."""
+    spf, dkim, dmarc = (headers.first_auth_result(auth, m) for m in ("spf", "dkim", "dmarc"))
     failish = lambda v: v.isin("softfail", "temperror", "permerror") | v.startswith("fail")
-    signer = headers.dkim_domain(dkim_signature)
-    policy = F.regexp_extract(dmarc, r"p=(\w+)", 1).isin("reject", "quarantine")
+    signed = F.coalesce(F.size(signatures) > 0, F.lit(False))
+    signer = F.get(F.filter(F.transform(signatures, headers.dkim_domain), lambda v: v.isNotNull()), F.lit(0))
+    policy = F.regexp_extract(dmarc, r"(?s)^(?:(?!p=).)*p=([a-z]*)", 1).isin("reject", "quarantine")
     return {
         "spf_fail": F.when(spf.isNotNull() & (spf != "none"), _flag(failish(spf))),
         "spf_none": _flag(F.coalesce(spf, F.lit("none")) == "none"),
-        "dkim_fail": F.when(dkim.isNotNull() | dkim_signature.isNotNull(), _flag(F.coalesce(failish(dkim), F.lit(False)))),
-        "dkim_absent": _flag(dkim.isNull() & dkim_signature.isNull()),
+        "dkim_fail": F.when(dkim.isNotNull() | signed, _flag(F.coalesce(failish(dkim), F.lit(False)))),
+        "dkim_absent": _flag(dkim.isNull() & ~signed),
         "dmarc_fail": _flag(dmarc == "fail"),
         "dmarc_absent": _flag(dmarc.isNull()),
         "alignment_from_spf": _flag(return_domain != from_domain),
@@ -33,10 +34,15 @@ def auth_features(auth: Column, dkim_signature: Column, from_domain: Column, ret
     }
 
 
+PRIVATE_TOKEN = r"^(?:10\.|192\.168\.|172\.1[6-9]\.|172\.2|172\.3[01]\.|127\.0\.0\.1$|fe80:)"
+
+
 def route_features(from_domain: Column, return_domain: Column, reply_domain: Column, message_id: Column, received: Column, date: Column) -> dict[str, Column]:
     """`received` is array<struct<raw, ts>>, newest first; `date` the header's instant."""
     n = F.size(F.coalesce(received, F.array().cast("array<struct<raw:string,ts:timestamp>>")))
-    id_domain = F.regexp_replace(F.lower(F.substring_index(message_id, "@", -1)), ">.*$", "")
+    present = F.coalesce(F.trim(message_id) != "", F.lit(False))
+    id_domain = headers.address_domain(F.translate(F.trim(message_id), "<>", ""))
+    malformed = ~F.contains(message_id, F.lit("@"))
     known = F.filter(received, lambda r: r["ts"].isNotNull())
     later = F.aggregate(
         known,
@@ -44,16 +50,16 @@ def route_features(from_domain: Column, return_domain: Column, reply_domain: Col
         lambda acc, r: F.struct(r["ts"].alias("last"), (acc["bad"] + F.when(r["ts"] > acc["last"], 1).otherwise(0)).alias("bad")),
         lambda acc: acc["bad"],
     )
-    private = r"(?:^|[\s\[(])(?:10\.|192\.168\.|172\.1[6-9]\.|172\.2|172\.3[01]\.|127\.0\.0\.1(?![\d.])|fe80:)"
+    private = lambda r: F.exists(F.split(r["raw"], r"[\[\](),;]"), lambda t: F.trim(t).rlike(PRIVATE_TOKEN))
     first = F.get(known, F.lit(0))["ts"]
     return {
         "rp_from_mismatch": _flag(return_domain != from_domain),
         "replyto_mismatch": _flag(reply_domain != from_domain),
-        "replyto_free_mail": _flag(reply_domain.isin(L.FREE_MAIL)),
-        "messageid_anomaly": F.when(message_id.isNotNull(), _flag(~F.contains(message_id, F.lit("@")) | (id_domain != from_domain))),
+        "replyto_free_mail": F.when(from_domain.isNotNull(), _flag(reply_domain.isin(L.FREE_MAIL))),
+        "messageid_anomaly": F.when(present, _flag(malformed | F.coalesce(id_domain != from_domain, F.lit(False)))),
         "received_count_n": F.least(n / 8.0, F.lit(1.0)),
         "received_disorder": F.coalesce(later, F.lit(0)) / F.greatest(F.lit(1), n),
-        "received_private_hop": F.when(n > 0, _flag(F.exists(received, lambda r: r["raw"].rlike(private)))),
+        "received_private_hop": F.when(n > 0, _flag(F.exists(received, private))),
         "received_missing_from": F.when(n > 0, _flag(~F.contains(F.lower(F.get(received, F.lit(0))["raw"]), F.lit("from ")))),
         "helo_mismatch": F.lit(None).cast("double"),
         "date_skew": F.abs(F.unix_millis(date) - F.unix_millis(first)) / 3600000.0 / 1440.0,
@@ -67,14 +73,14 @@ def ident_features(domain: Column, age_days: Column, distance: Column, mx: Colum
         "domain_age_inv": age_ramp(age_days),
         "domain_age_unknown": _flag(age_days.isNull()),
         "lookalike_strong": _flag(distance <= 2),
-        "homoglyph_ratio": text.homoglyph_ratio(domain, lookalikes),
-        "digit_dash_ratio": text.digit_dash_ratio(text.first_label(domain)),
+        "homoglyph_ratio": F.when(domain.isNotNull(), text.homoglyph_ratio(domain, lookalikes)),
+        "digit_dash_ratio": F.when(F.length(text.first_label(domain)) > 0, text.digit_dash_ratio(text.first_label(domain))),
         "subdomain_depth": F.when(domain.isNotNull(), 1.0 - 1.0 / (1.0 + F.greatest(F.lit(0), labels - 2))),
-        "suspicious_tld": _flag(text.tld(domain).isin(L.SUSPICIOUS_TLD)),
+        "suspicious_tld": _flag(F.contains(domain, F.lit(".")) & text.tld(domain).isin(L.SUSPICIOUS_TLD)),
         "mx_absent": _flag(~mx),
         "rdap_privacy": _flag(privacy),
         "registrar_risk": _flag(F.lower(registrar).isin(L.RISKY_REGISTRARS)),
-        "registrar_country_off": _flag(registrar_country != org_country),
+        "registrar_country_off": _flag(F.lower(registrar_country) != F.lower(org_country)),
     }
 
 
@@ -94,7 +100,8 @@ def nlp_features(subject: Column, body: Column, display: Column, address: Column
     raw = F.lit(0.0)
     for p, w in L.URGENCY:
         raw = raw + F.when(F.contains(t, F.lit(p)), w).otherwise(0.0)
-    polite = F.lower(display).rlike(r"\b(?:mr|mrs|ms|dr|prof|sir|madam|office|director|ceo)\b")
+    # Words of a display name that look like an office.
+    polite = F.lower(display).rlike(r"\b(?:department|office|service|team|support|administrator|info|no-?reply)\b")
     return {
         "urgency": ramp(L.URGENCY),
         "authority_claim": ramp(L.AUTHORITY),
@@ -110,17 +117,23 @@ def nlp_features(subject: Column, body: Column, display: Column, address: Column
 
 
 def anchor_mismatch(html: Column) -> Column:
-    """Share of links in HTML whose visible text names neither the target's host nor its second-level name; no links give 0."""
-    anchor = r"""(?is)<a\s[^>]*href\s*=\s*["']?([^"'\s>]+)[^>]*>(.*?)</a>"""
-    href, label = F.regexp_extract_all(html, F.lit(anchor), F.lit(1)), F.regexp_extract_all(html, F.lit(anchor), F.lit(2))
-    bad = F.zip_with(
-        href,
-        label,
-        lambda h, t: F.when(
-            F.contains(F.lower(t), net.url_host_a(h)) | F.contains(F.lower(t), F.element_at(F.split(net.url_host_a(h), r"\."), F.greatest(F.lit(1), F.size(F.split(net.url_host_a(h), r"\.")) - 1))), 0
-        ).otherwise(1),
-    )
-    return F.when(F.size(href) > 0, F.aggregate(bad, F.lit(0), lambda a, v: a + v) / F.size(href)).otherwise(0.0)
+    """Share of links in HTML whose visible text names neither the target's host nor its second-level name; no links give 0.
+
+    A link without target or host is a link that doesn't mismatch.
+    """
+    t = F.lower(html)
+    tags = F.regexp_extract_all(t, F.lit(r"(?s)(<a [^>]*)>(?:(?!</a>).)*(?:</a>)?"), F.lit(1))
+    inner = F.regexp_extract_all(t, F.lit(r"(?s)<a [^>]*>((?:(?!</a>).)*)</a>|(?s)<a [^>]*>"), F.lit(1))
+    quoted = lambda g, i: F.regexp_extract(g, r"""(?s)href=(?:"([^"]*)|'([^']*)|([^\s"'][^\s]*))""", i)
+
+    def bad(g: Column, label: Column) -> Column:
+        target = F.concat(quoted(g, 1), quoted(g, 2), quoted(g, 3))
+        host = net.url_host_a(F.when(F.contains(target, F.lit("//")), target).otherwise(F.concat(F.lit("//"), target)))
+        labels = F.split(host, r"\.")
+        named = F.contains(label, host) | F.contains(label, F.element_at(labels, F.greatest(F.lit(1), F.size(labels) - 1)))
+        return F.when((host != "") & ~named, 1).otherwise(0)
+
+    return F.when(F.size(tags) > 0, F.aggregate(F.zip_with(tags, inner, bad), F.lit(0), lambda a, v: a + v) / F.size(tags)).otherwise(0.0)
 
 
 def payload_features(urls: Column, filenames: Column, body: Column, from_domain: Column) -> dict[str, Column]:
@@ -129,15 +142,17 @@ def payload_features(urls: Column, filenames: Column, body: Column, from_domain:
     any_ext = lambda exts: _flag(F.exists(filenames, lambda f: F.coalesce(text.extension(f).isin(exts), F.lit(False))))
     names = "|".join(L.REDIRECT_PARAMS)
     outside = lambda h: (h != from_domain) & ~F.endswith(h, F.concat(F.lit("."), from_domain))
-    form = F.lower(body).rlike(r"<form|password|sign in|log ?in|verify your")
+    # What makes a body a form.
+    form = F.exists(F.array(*[F.lit(x) for x in ("<form", "<input", 'type="password"', "type='password'", "sign in", "log in")]), lambda x: F.contains(F.lower(body), x))
+    params = lambda u: F.filter(F.split(F.lower(F.regexp_extract(u, r"^[^?]*\?(.*)$", 1)), "[&;]"), lambda kv: kv.rlike(f"^(?:{names})="))
     return {
         "link_text_mismatch": anchor_mismatch(body),
         "shortener": _flag(F.arrays_overlap(hosts, F.array(*[F.lit(x) for x in L.SHORTENERS]))),
         "ip_literal": _flag(F.exists(hosts, lambda h: h.rlike(r"^[0-9]*\.[0-9.]*$"))),
         "punycode": _flag(F.exists(hosts, lambda h: h.rlike(r"(^|\.)xn--"))),
-        "at_in_url": _flag(F.exists(urls, lambda u: u.rlike(r"://[^/?#]*@"))),
-        "deep_redirect": _flag(F.exists(urls, lambda u: F.regexp_count(u, F.lit(rf"(?i)[?&](?:{names})=")) >= 2)),
-        "credential_form_host": _flag(F.coalesce(form, F.lit(False)) & F.exists(hosts, lambda h: F.coalesce(outside(h), F.lit(False)))),
+        "at_in_url": _flag(F.exists(urls, lambda u: u.rlike(r"//[^/]*@"))),
+        "deep_redirect": _flag(F.exists(urls, lambda u: F.size(params(u)) >= 2)),
+        "credential_form_host": _flag(from_domain.isNotNull() & F.coalesce(form, F.lit(False)) & F.exists(hosts, lambda h: F.coalesce(outside(h), F.lit(False)))),
         "attachment_dangerous": any_ext(L.DANGEROUS_EXT),
         "attachment_macro": any_ext(L.MACRO_EXT),
         "attachment_archive": any_ext(L.ARCHIVE_EXT),
@@ -152,7 +167,7 @@ def infra_features(evidence: dict[str, Column] | None = None, origin_country: Co
     none = F.lit(None).cast("double")
     out = {k: _flag(e[k]) if k in e else none for k in L.FAMILIES["INFRA"]}
     if origin_country is not None and registrar_country is not None:
-        out["geo_mismatch"] = _flag(origin_country != registrar_country)
+        out["geo_mismatch"] = _flag(F.lower(origin_country) != F.lower(registrar_country))
     return out
 
 
@@ -162,49 +177,52 @@ def vector(features: dict[str, Column]) -> Column:
     return F.array(*[quarantine(features[f]) if f in features else none for f in L.FEATURES])
 
 
-def mail_vector(mail: DataFrame, lookalikes: dict[str, str] | None = None) -> DataFrame:
-    """(msg_no, x) from one row per message with the columns of mail_view(); empty enrichment."""
-    none = F.lit(None)
-    col = F.col
-    feats = (
-        auth_features(col("auth"), col("dkim_signature"), col("from_domain"), col("return_domain"))
-        | route_features(col("from_domain"), col("return_domain"), col("reply_domain"), col("messageid"), col("received"), col("sent"))
-        | ident_features(col("from_domain"), none.cast("double"), none.cast("int"), none.cast("boolean"), none.cast("boolean"), none.cast("string"), none.cast("string"), none.cast("string"), lookalikes or {"0": "o", "1": "l"})
-        | nlp_features(col("subject"), col("body"), col("display"), col("fromaddr"))
-        | payload_features(col("urls"), col("filenames"), col("body"), col("from_domain"))
-        | infra_features()
-    )
-    return mail.select("msg_no", vector(feats).alias("x"))
+EVIDENCE = "mx boolean, privacy boolean, registrar string, registrar_country string, origin_country string, age_days int"
 
 
-def mail_view(messages: DataFrame, hops: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row per message: headers, hops newest first, first text body, links, attachment names.
+def mail_columns(parsed: DataFrame) -> DataFrame:
+    """Scoring view of messages parsed in mode `features`: one row per message.
 
-    Hops and parts are combined per message by two shuffles on msg_no; a message's own hops and
-    parts are bounded by the message.
+    Of repeated headers the first counts, but for authentication results, signatures and hops.
     """
-    h = hops.select(
-        "msg_no",
-        F.struct("hopindex", "hop_no", F.concat_ws(" ", F.lit("from"), "fromclause", F.lit("by"), "byhost", F.lit("with"), "protocol").alias("raw"), headers.header_date("timestampraw").alias("ts")).alias("h"),
-    )
-    h = h.groupBy("msg_no").agg(F.transform(F.array_sort(F.collect_list("h")), lambda s: F.struct(s["raw"].alias("raw"), s["ts"].alias("ts"))).alias("received"))
-    is_text = F.lower("contenttype").startswith("text/")
-    p = parts.groupBy("msg_no").agg(
-        F.min_by("body", "part_no").alias("_any"),
-        F.min(F.when(is_text & F.col("body").isNotNull(), F.struct((F.lower("contenttype") != "text/plain").alias("o"), "part_no", "body"))).alias("_t"),
-        F.array_sort(F.collect_set("filename")).alias("filenames"),
-    )
-    m = messages.select(
-        "msg_no", "messageid", "fromaddr", headers.address_domain("fromaddr").alias("from_domain"), F.lower("originhost").alias("return_domain"),
-        headers.address_domain("toaddr").alias("reply_domain"), headers.header_date("dateheader").alias("sent"), headers.display_name("fromaddr").alias("display"),
-        F.lit(None).cast("string").alias("auth"), F.lit(None).cast("string").alias("dkim_signature"), F.lit("").alias("subject"),
+    all_ = lambda n: F.transform(F.filter("headers", lambda h: h["name"] == n), lambda h: h["value"])
+    one = lambda n: F.get(all_(n), F.lit(0))
+    hops = F.transform(all_("received"), lambda v: F.struct(v.alias("raw"), F.when(F.contains(v, F.lit(";")), headers.scoring_date(F.regexp_extract(v, r"(?s)^[^;]*;(.*)$", 1))).alias("ts")))
+    p = parsed.select(
+        "msg_id", all_("authentication-results").alias("auth"), all_("dkim-signature").alias("signatures"), one("from").alias("from_header"), one("return-path").alias("return_header"), one("reply-to").alias("reply_header"),
+        one("message-id").alias("message_id"), one("date").alias("date_header"), hops.alias("received"), F.coalesce(one("subject"), F.lit("")).alias("subject"), F.coalesce("body", F.lit("")).alias("body"),
+        F.filter(F.transform("parts", lambda x: F.lower(x["filename"])), lambda f: f.isNotNull() & (F.trim(f) != "")).alias("filenames"), F.get("hops", F.lit(0))["ip"].alias("origin_ip"), "warnings",
+    )
+    return p.select(
+        "*", headers.address_domain("from_header").alias("from_domain"), headers.address_domain("return_header").alias("return_domain"), headers.address_domain("reply_header").alias("reply_domain"),
+        headers.address_only("from_header").alias("from_address"), F.when(F.instr("from_header", "<") > 1, F.trim(F.substring_index("from_header", "<", 1))).alias("display"),
+        headers.scoring_date("date_header").alias("sent"), net.urls_a("body").alias("urls"),
     )
-    empty = F.array().cast("array<string>")
-    j = m.join(h, "msg_no", "left").join(p, "msg_no", "left")
-    return j.select(
-        *m.columns,
-        F.coalesce("received", F.array().cast("array<struct<raw:string,ts:timestamp>>")).alias("received"),
-        F.coalesce("_t.body", F.lit("")).alias("body"),
-        net.urls_a("_t.body").alias("urls"),
-        F.coalesce("filenames", empty).alias("filenames"),
+
+
+def vectors(mail: DataFrame, lookalikes: dict[str, str], brands: list[str] | None = None, executives: list[str] | None = None, org_country: str | None = None, infra: tuple[str, ...] = ()) -> DataFrame:
+    """Adds x, the vector of mail_columns() joined with what is known about sender and origin.
+
+    Columns of EVIDENCE that are absent are unknown; `infra` names further nullable boolean columns,
+    called like their features. Lists that are empty leave their features unobserved.
+    """
+    col, none = F.col, F.lit(None)
+    types = dict(x.split(" ") for x in EVIDENCE.split(", "))
+    known = {k: col(k) if k in mail.columns else none.cast(t) for k, t in types.items()}
+    label = text.skeleton(text.first_label(col("from_domain")), lookalikes)
+    if brands:
+        mail = mail.withColumn("_label", F.when(F.length(label) > 0, label))
+        folded = [text.fold_text(b, lookalikes) for b in brands]
+        # The distance only has to be told apart up to 2; without a near brand it is larger.
+        near = F.least(*[F.coalesce(text.osa_distance(col("_label"), F.lit(b), 2), F.lit(99)) for b in folded])
+        mail = mail.withColumn("_distance", F.when(col("_label").isNotNull(), near))
+    distance = col("_distance") if brands else none.cast("int")
+    feats = (
+        auth_features(col("auth"), col("signatures"), col("from_domain"), col("return_domain"))
+        | route_features(col("from_domain"), col("return_domain"), col("reply_domain"), col("message_id"), col("received"), col("sent"))
+        | ident_features(col("from_domain"), known["age_days"], distance, known["mx"], known["privacy"], known["registrar"], known["registrar_country"], F.lit(org_country).cast("string"), lookalikes)
+        | nlp_features(col("subject"), col("body"), col("display"), col("from_address"), executives)
+        | payload_features(col("urls"), col("filenames"), col("body"), col("from_domain"))
+        | infra_features({k: col(k) for k in infra}, known["origin_country"], known["registrar_country"])
     )
+    return mail.withColumn("x", vector(feats)).drop("_label", "_distance")

@@ -124,22 +124,6 @@ def a10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return order_vectors(spark, d).select("o_orderkey", F.round(scoring.coverage("x", 3), 6).alias("coverage"))
 
 
-@query()
-def f_features(spark: SparkSession, d: str) -> DataFrame:
-    """All 60 features of every message, long form: (msg_no, feature, value); unobserved ones have no row."""
-    v = features.mail_vector(features.mail_view(table(spark, d, "messages"), table(spark, d, "hops"), table(spark, d, "parts")))
-    named = F.zip_with(F.array(*[F.lit(x) for x in L.FEATURES]), F.col("x"), lambda n, x: F.struct(n.alias("feature"), x.alias("value")))
-    return v.select("msg_no", F.explode(F.filter(named, lambda s: s["value"].isNotNull())).alias("f")).select("msg_no", "f.feature", F.round("f.value", 6).alias("value"))
-
-
-@query()
-def m_mail_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every message through the whole pipeline: features, model, blend, band, verdict."""
-    v = features.mail_vector(features.mail_view(table(spark, d, "messages"), table(spark, d, "hops"), table(spark, d, "parts")))
-    s = v.withColumn("p", scoring.softmax(scoring.logits("x"))).withColumn("bec", scoring.bec_score("x")).withColumns({"rf": scoring.risk_final("p", "bec"), "conf": scoring.model_confidence("p")})
-    return s.select("msg_no", F.round(scoring.risk("p"), 6).alias("risk"), F.round("rf", 6).alias("risk_final"), F.round("conf", 6).alias("confidence"), scoring.band("rf").alias("band"), scoring.abstention("conf").alias("verdict"), scoring.argmax("p").alias("top"))
-
-
 def _lex_sql(lex) -> str:
     from postern.plans.textual import _weighted_sql
 
@@ -316,35 +300,22 @@ def w01_primary_by_depth(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("msg_no").agg(F.max(F.struct("hopindex", "hop_no", "ip")).alias("m")).select("msg_no", F.col("m.ip").alias("primary_ip"), F.col("m.hopindex").alias("primary_index"))
 
 
-_ASNS = {"bench wide": "AS64500", "bench low": "AS64501", "docs three": "AS64502", "docs two": "AS64503", "bench seven": "AS64504", "single": "AS64505"}
-_RELAYS = [("smtp4.wendelwick.test", 2900, True), ("edge7.talsen.example", 41, True), ("relay3.pelhalmark.test", 365, None), ("relay5.marwick.example", None, False), ("edge4.peljorlin.invalid", 3, False)]
+ASNS = {"bench wide": "AS64500", "bench low": "AS64501", "docs three": "AS64502", "docs two": "AS64503", "bench seven": "AS64504", "single": "AS64505"}
+RELAYS = [("smtp4.wendelwick.test", 2900, True), ("edge7.talsen.example", 41, True), ("relay3.pelhalmark.test", 365, None), ("relay5.marwick.example", None, False), ("edge4.peljorlin.invalid", 3, False)]
 
 
-def _attributed(spark: SparkSession, d: str) -> DataFrame:
-    """Attribution with hints: fixed stand-ins, like networks(), for what an analyst supplies."""
-    h = _hops(spark, d)
+def attributed(spark: SparkSession, h: DataFrame) -> DataFrame:
+    """Attribution of hops with hints: fixed stand-ins, like networks(), for what an analyst supplies."""
     known = enrich.longest_prefix(h.select("ip"), networks(spark)).select("ip", "country", "organization")
-    known = known.join(F.broadcast(spark.createDataFrame(list(_ASNS.items()), "organization string, asn string")), "organization", "left")
-    relays = spark.createDataFrame(_RELAYS, "domain string, age_days int, mx boolean")
+    known = known.join(F.broadcast(spark.createDataFrame(list(ASNS.items()), "organization string, asn string")), "organization", "left")
+    relays = attribution.domain_hints(spark.createDataFrame([(i, *r) for i, r in enumerate(RELAYS)], "row_no int, domain string, age_days int, mx boolean"))
     return attribution.attribute(h, known, relays, anonymiser_asns=("AS64504",), anonymiser_orgs=("bench seven",), proxy_hosts=("edge8.",))
 
 
-@query()
-def t07_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """T01, T02, T04 to T10, W02, W03, M08, R10, A13 to A15, J05 as well."""
-    a = _attributed(spark, d)
-    return a.select("msg_no", "primary_ip", "n_hops", "basis", "contradicted", "n_public", "indicators", "originating", F.round("value", 6).alias("value"), "band", F.size("factors").alias("n_factors"))
-
-
 @query()
 def t12_summary(spark: SparkSession, d: str) -> DataFrame:
     """T09 and T11 as well."""
-    return attribution.summary(_attributed(spark, d))
-
-
-@query("SELECT msg_no, hop_no, token FROM (SELECT msg_no, hop_no, lower(protocol) AS p, unnest([" + ", ".join(repr(t) for t in L.PROXY_TOKENS) + "]) AS token FROM hops WHERE protocol IS NOT NULL) WHERE contains(p, token)")
-def t03_indicators(spark: SparkSession, d: str) -> DataFrame:
-    return attribution.indicators(table(spark, d, "hops"))
+    return attribution.summary(attributed(spark, _hops(spark, d)))
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE ts < prev) AS back, count(*) FILTER (WHERE gap > 3600) AS long_gaps FROM (SELECT user_id, ts, lag(ts) OVER w AS prev, epoch(ts) - epoch(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY 1")
@@ -356,15 +327,15 @@ def w02_monotonicity(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count(F.when(F.col("ts") < F.col("prev"), 1)).alias("back"), F.count(F.when(gap > 3600, 1)).alias("long_gaps"))
 
 
-_NETS = [("198.18.0.0/15", "XA", "bench wide"), ("198.18.0.0/16", "XB", "bench low"), ("203.0.113.0/24", "XC", "docs three"), ("198.51.100.0/24", "XD", "docs two"), ("10.0.0.0/8", "XE", "inside"), ("198.18.7.0/24", "XF", "bench seven"), ("bad/99", "XG", "broken"), ("192.0.2.11", "XH", "single")]
+NETS = [("198.18.0.0/15", "XA", "bench wide"), ("198.18.0.0/16", "XB", "bench low"), ("203.0.113.0/24", "XC", "docs three"), ("198.51.100.0/24", "XD", "docs two"), ("10.0.0.0/8", "XE", "inside"), ("198.18.7.0/24", "XF", "bench seven"), ("bad/99", "XG", "broken"), ("192.0.2.11", "XH", "single")]
 
 
 def networks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(_NETS)], "row_no int, net string, country string, organization string")
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(NETS)], "row_no int, net string, country string, organization string")
 
 
 _NETSQL = ", ".join(
-    f"({i}, {sum(int(x) << (24 - 8 * k) for k, x in enumerate(n.split('/')[0].split('.')))}, {n.split('/')[1] if '/' in n else 32}, '{c}')" for i, (n, c, _) in enumerate(_NETS) if n[0].isdigit()
+    f"({i}, {sum(int(x) << (24 - 8 * k) for k, x in enumerate(n.split('/')[0].split('.')))}, {n.split('/')[1] if '/' in n else 32}, '{c}')" for i, (n, c, _) in enumerate(NETS) if n[0].isdigit()
 )
 
 

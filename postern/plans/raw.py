@@ -25,57 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-def raw_mail(spark: SparkSession, d: str) -> DataFrame:
-    """(msg_id, content): an RFC 5322 message for every row of messages, with its hops as Received headers and a two-part body."""
-    h = table(spark, d, "hops").filter("byhost is not null")
-    line = F.concat(F.lit("Received: from "), F.coalesce("host", F.lit("unknown")), F.lit(" (["), F.coalesce("ip", F.lit("")), F.lit("])\r\n\tby "), "byhost", F.lit(" with "), F.coalesce("protocol", F.lit("SMTP")), F.lit("; "), F.coalesce("timestampraw", F.lit("")), F.lit("\r\n"))
-    rec = h.groupBy("msg_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hopindex", "hop_no", line.alias("l")))), lambda s: s["l"]), "").alias("received"))
-    m = table(spark, d, "messages").join(rec, "msg_no", "left")
-    text = F.concat(
-        F.coalesce("received", F.lit("")), F.lit("From: \"Desk, main\" <"), F.coalesce("fromaddr", F.lit("")), F.lit(">\r\nTo: "), F.coalesce("toaddr", F.lit("")), F.lit(", other@x.test\r\nSubject: no "), F.col("msg_no").cast("string"),
-        F.lit("\r\n folded\r\nMessage-ID: "), F.coalesce("messageid", F.lit("")), F.lit("\r\nAuthentication-Results: mx; spf=softfail smtp.mailfrom=x; dkim=pass header.d=y.test; dmarc=fail\r\nDKIM-Signature: v=1; a=rsa; d=y.test; s=k\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=\"bb\"\r\n\r\n--bb\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"),
-        F.base64(F.encode(F.concat(F.lit("body of "), F.col("msg_no").cast("string"), F.lit(" see http://a.test/x.")), "utf-8")), F.lit("\r\n--bb\r\nContent-Type: application/zip; name=\"a.pdf.zip\"\r\nContent-Disposition: attachment; filename=\"a.pdf.zip\"\r\n\r\nPK\r\n--bb--\r\n"),
-    )
-    return m.select(F.col("msg_no").cast("string").alias("msg_id"), F.encode(text, "utf-8").alias("content"))
-
-
-def parsed(spark: SparkSession, d: str, mode: str = "evidence") -> DataFrame:
-    return mailparse.parse_messages(raw_mail(spark, d), mode)
-
-
-@query("""SELECT CAST(m.msg_no AS VARCHAR) AS msg_id, coalesce(n, 0) AS n_hops, 'no ' || m.msg_no || ' folded' AS subject, 3 AS n_parts, 'body of ' || m.msg_no || ' see http://a.test/x.' AS body
-    FROM messages m LEFT JOIN (SELECT msg_no, least(200, count(*)) AS n FROM hops WHERE byhost IS NOT NULL GROUP BY 1) h USING (msg_no)""")
-def p01_parse(spark: SparkSession, d: str) -> DataFrame:
-    """P01 to P05, P17, P18, P20, P21 and S01 as well."""
-    return parsed(spark, d).select("msg_id", F.size("hops").cast("bigint").alias("n_hops"), "subject", F.size("parts").alias("n_parts"), "body")
-
-
-@query("""SELECT msg_id, index, host, protocol, "by" FROM (SELECT CAST(msg_no AS VARCHAR) AS msg_id, CAST(row_number() OVER (PARTITION BY msg_no ORDER BY hopindex, hop_no) - 1 AS INTEGER) AS index, host, lower(protocol) AS protocol, byhost AS "by"
-    FROM hops WHERE byhost IS NOT NULL) WHERE host IS NOT NULL""")
-def p08_hops(spark: SparkSession, d: str) -> DataFrame:
-    h = mailparse.hop_rows(parsed(spark, d)).filter("host <> 'unknown'")
-    return h.select("msg_id", "index", "host", F.lower("protocol").alias("protocol"), "by")
-
-
-@query()
-def p06_addresses(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
-    return p.select("msg_id", F.explode(F.concat("from_addr", "to_addr")).alias("a")).select("msg_id", "a.display", "a.local", "a.domain")
-
-
-@query()
-def p19_parse_features_mode(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d, "features").select("msg_id", F.size("parts").alias("n_parts"), "body", F.size("warnings").alias("n_warnings"))
-
-
-@query("SELECT CAST(msg_no AS VARCHAR) AS msg_id, 'softfail' AS spf, 'pass' AS dkim, 'fail' AS dmarc, 'y.test' AS signer, 'fail' AS verdict FROM messages")
-def p13_auth_results(spark: SparkSession, d: str) -> DataFrame:
-    """P12, P14, P15 and P16 as well."""
-    h = lambda n: F.get(F.filter("headers", lambda x: x["name"] == n), F.lit(0))["value"]
-    p = parsed(spark, d).select("msg_id", h("authentication-results").alias("ar"), h("dkim-signature").alias("ds"))
-    return p.select("msg_id", *[headers.auth_result("ar", m).alias(m) for m in ("spf", "dkim", "dmarc")], headers.dkim_domain("ds").alias("signer"), headers.spf_verdict(F.lit(None).cast("string"), "ar").alias("verdict"))
-
-
 @query()
 def z02_lockout(spark: SparkSession, d: str) -> DataFrame:
     """W06's exact form: the lockout machine over errors and other events of each user."""
