@@ -81,9 +81,14 @@ def homoglyph_ratio(text, table: dict[str, str]) -> Column:
 
 
 def mixed_script(text, table: dict[str, str] | None = None) -> Column:
-    """Latin letters together with Cyrillic or Greek ones."""
-    t = c(text)
-    return t.rlike(r"\p{IsLatin}") & t.rlike(r"[\p{IsCyrillic}\p{IsGreek}]")
+    """Latin letters together with Cyrillic or Greek ones, in the normalised text without invisibles.
+
+    Letters of other scripts that the table folds to ASCII count as Latin; digits don't.
+    """
+    t = strip_invisible(nfkc(text))
+    disguised = "".join(k for k, v in (table or {}).items() if v.isascii() and k.isalpha() and not unicodedata.name(k, "").startswith(("CYRILLIC", "GREEK", "LATIN")))
+    latin = t.rlike(r"\p{IsLatin}" if not disguised else rf"[\p{{IsLatin}}{disguised}]")
+    return latin & t.rlike(r"[\p{L}&&[\p{IsCyrillic}\p{IsGreek}]]")
 
 
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Arabic", "Hebrew")

@@ -404,10 +404,13 @@ def k03_document_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").select("case_no", cases.document_id(F.col("messageid"), F.col("evidencehash")).alias("document"))
 
 
-@query("SELECT case_no, lower(status) IN ('analyst', 'true') OR risk >= 40 AS opened FROM cases WHERE risk IS NOT NULL AND status IS NOT NULL")
+_ASKED = "CASE case_no % 4 WHEN 0 THEN 'analyst' WHEN 1 THEN 'TRUE' WHEN 2 THEN 'no' END"
+
+
+@query(f"SELECT case_no, coalesce(CASE WHEN risk >= 40 THEN true ELSE lower({_ASKED}) IN ('analyst', 'true') END, false) AS opened FROM cases")
 def k02_opening(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "cases").filter("risk is not null and status is not null")
-    return c.select("case_no", cases.opening(F.col("risk") >= 40, F.col("status")).alias("opened"))
+    """Every case: opened by the model, or on what the request says."""
+    return table(spark, d, "cases").select("case_no", F.coalesce(cases.opening(F.col("risk") >= 40, F.expr(_ASKED)), F.lit(False)).alias("opened"))
 
 
 @query("SELECT type, count(*) AS n FROM (SELECT case_no, 'domain-name' AS type, v FROM (SELECT DISTINCT case_no, lower(trim(unnest(domains))) AS v FROM cases) WHERE regexp_matches(v, '^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)+$') UNION ALL SELECT case_no, 'url', v FROM (SELECT DISTINCT case_no, unnest(urls) AS v FROM cases) WHERE length(v) BETWEEN 1 AND 2048) GROUP BY 1")

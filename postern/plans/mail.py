@@ -69,7 +69,7 @@ RAW_FIRST = {
 }
 RAW_SECOND = {
     "from_header": "CASE WHEN display IS NULL THEN sender ELSE display || ' <' || sender || '>' END",
-    "return_header": pick(3, [None, "'<bounce@' || dom || '>'", "'<bounce@' || originhost || '>'"]),
+    "return_header": pick(3, [None, "'<bounce@' || dom || '>'", "CASE WHEN msg_no % 2 = 0 THEN '<bounce@[192.0.2.77]>' ELSE '<bounce@' || originhost || '>' END"]),
     "reply_header": pick(5, [None, "'x@gmail.com'", "sender", "toaddr", "'Y <y@proton.me>'"]),
     "auth_before": "CASE WHEN msg_no % 11 = 0 THEN 'edge.test; arc=none' END",
     "auth": "CASE WHEN msg_no % 7 <> 0 THEN 'mx.test; spf=' || spf || ' smtp.mailfrom=x; dkim=' || dkim || ' header.d=y; dmarc=' || dmarc || ' header.from=z' END",
@@ -486,3 +486,10 @@ def t12_summary_head(spark: SparkSession, d: str) -> DataFrame:
 
     a = analysis.attributed(spark, table(spark, d, "hops").withColumn("ts", headers.header_date("timestampraw")))
     return attribution.summary(a).select("msg_no", F.substring_index("summary", ";", 1).alias("head"))
+
+
+@query(f"SELECT msg_no, {header_ms('dateheader')} AS ms, {scoring_ms('dateheader')} AS scoring_ms FROM messages")
+def p10_header_date(spark: SparkSession, d: str) -> DataFrame:
+    """P11 as well: every message by both rules, NULL where a rule can't read its date."""
+    m = table(spark, d, "messages")
+    return m.select("msg_no", F.unix_millis(headers.header_date("dateheader", tolerant=False)).alias("ms"), F.unix_millis(headers.scoring_date("dateheader")).alias("scoring_ms"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +38,21 @@ def x08_tokens(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.get("t", F.lit(0)).alias("first_token"))
 
 
-@query("SELECT case_no, nfc_normalize(subject) = subject AS composed FROM cases WHERE subject IS NOT NULL AND regexp_matches(subject, '^[\\x00-\\x7F]*$')")
-def x01_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "cases").filter("subject is not null")
-    return s.select("case_no", (text.nfkc("subject") == F.col("subject")).alias("composed"), F.col("subject").rlike(r"^[\x00-\x7F]*$").alias("a")).filter("a").drop("a")
+def _compatible() -> str:
+    """VALUES of every character with a compatibility form, and that form taken apart: made by rule from the character database."""
+    rows = ((chr(i), unicodedata.normalize("NFKD", chr(i))) for block in (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0x2F800, 0x2FA20)) for i in block if unicodedata.normalize("NFKC", chr(i)) != chr(i))
+    return ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in rows)
 
 
-@query()
-def x01_nfkc_all(spark: SparkSession, d: str) -> DataFrame:
-    """The normalised text of every subject; x01_nfkc has the ASCII ones only, as far as its SQL goes."""
+# Normalised subjects: each character's form, composed again.
+_NORMAL = f"""WITH form(ch, f) AS (VALUES {_compatible()}), chars AS (SELECT case_no, unnest(regexp_extract_all(subject, '(?s).')) AS ch, unnest(range(length(subject))) AS i FROM cases WHERE subject IS NOT NULL),
+    composed AS (SELECT case_no, nfc_normalize(string_agg(coalesce(f, ch), '' ORDER BY i)) AS n FROM chars LEFT JOIN form USING (ch) GROUP BY case_no), normal AS (SELECT case_no, coalesce(n, subject) AS n FROM cases LEFT JOIN composed USING (case_no)),
+    seen AS (SELECT case_no, n, regexp_replace(n, '{_INV}', '', 'g') AS v FROM normal)"""
+
+
+@query(_NORMAL + " SELECT case_no, n AS normal FROM normal")
+def x01_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    """The normalised text of every subject."""
     return table(spark, d, "cases").select("case_no", text.nfkc("subject").alias("normal"))
 
 
@@ -58,26 +66,20 @@ def x03_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").select("case_no", text.fold("subject", LOOKALIKES).alias("folded"))
 
 
-@query()
+@query(_NORMAL + f" SELECT case_no, lower(replace(translate(v, '{''.join(_ONE)}', '{''.join(_ONE.values())}'), 'ы', 'bl')) AS skeleton FROM seen")
 def x04_skeleton(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").select("case_no", text.skeleton("subject", LOOKALIKES).alias("skeleton"))
 
 
-@query(f"SELECT case_no, round(CASE WHEN length(subject) > 0 THEN 1 - length(translate(subject, '{''.join(LOOKALIKES)}', '')) / length(subject) ELSE 0 END, 6) AS ratio FROM cases WHERE regexp_matches(subject, '^[\\x00-\\x7F]*$')")
+@query(_NORMAL + f" SELECT case_no, CASE WHEN length(v) > 0 THEN round(1 - length(translate(v, '{''.join(LOOKALIKES)}', '')) / length(v), 6) WHEN v = '' THEN 0 END AS ratio FROM seen")
 def x05_homoglyph_ratio(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "cases").filter(F.col("subject").rlike(r"^[\x00-\x7F]*$"))
-    return s.select("case_no", F.round(text.homoglyph_ratio("subject", LOOKALIKES), 6).alias("ratio"))
-
-
-@query()
-def x05_homoglyph_ratio_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every subject, NULL without one; x05_homoglyph_ratio has the ASCII ones only, as far as its SQL goes."""
+    """Every subject, NULL without one."""
     return table(spark, d, "cases").select("case_no", F.when(F.col("subject").isNotNull(), F.round(text.homoglyph_ratio("subject", LOOKALIKES), 6)).alias("ratio"))
 
 
-@query("SELECT case_no, regexp_matches(subject, '\\p{Latin}') AND regexp_matches(subject, '[\\p{Cyrillic}\\p{Greek}]') AS mixed FROM cases")
+@query(_NORMAL + " SELECT case_no, regexp_matches(v, '\\p{Latin}') AND len(list_filter(regexp_extract_all(v, '\\p{L}'), lambda c: regexp_matches(c, '[\\p{Cyrillic}\\p{Greek}]'))) > 0 AS mixed FROM seen")
 def x06_mixed_script(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cases").select("case_no", text.mixed_script("subject").alias("mixed"))
+    return table(spark, d, "cases").select("case_no", text.mixed_script("subject", LOOKALIKES).alias("mixed"))
 
 
 @query("""SELECT script, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(ch, '\\p{Latin}') THEN 'Latin' WHEN regexp_matches(ch, '\\p{Cyrillic}') THEN 'Cyrillic'
@@ -89,11 +91,15 @@ def x07_script_histogram(spark: SparkSession, d: str) -> DataFrame:
     return ch.select(text.script_of("ch").alias("script")).groupBy("script").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_LABELS = """(SELECT msg_no, a, CASE msg_no % 5 WHEN 0 THEN a WHEN 1 THEN substr(a, 2, 1) || substr(a, 1, 1) || substr(a, 3) WHEN 2 THEN substr(a, 1, length(a) - 1) WHEN 3 THEN substr(a, 2, 1) || substr(a, 1, 1) || substr(a, 3) || 'xy' ELSE 'quellmark' END AS b
+    FROM (SELECT msg_no, regexp_replace(regexp_replace(lower(fromaddr), '^.*@', ''), '[.].*$', '') AS a FROM messages))"""
+
+
+@query(f"SELECT msg_no, CASE WHEN d <= 6 THEN CAST(d AS INTEGER) END AS distance FROM (SELECT msg_no, damerau_levenshtein(a, b) AS d FROM {_LABELS})")
 def x09_osa_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of each distinct first domain label to its reverse-sorted neighbour, up to 6."""
-    s = table(spark, d, "cases").select("case_no", F.lower("title").alias("a"), F.lower("subject").alias("b"))
-    return s.select("case_no", text.osa_distance("a", "b", 6).alias("distance"))
+    """Distance of each sender's label to a distorted one (swapped, cut, lengthened letters) or another name, up to 6."""
+    table(spark, d, "messages").createOrReplaceTempView("messages")
+    return spark.sql(f"SELECT * FROM {_LABELS}").select("msg_no", text.osa_distance("a", "b", 6).alias("distance"))
 
 
 _CUES = " + ".join(f"CAST(contains(lower(body), '{x}') AS INTEGER)" for x in lexicons.PAYMENT)
@@ -163,9 +169,14 @@ def x18_uuid5(spark: SparkSession, d: str) -> DataFrame:
     return m.select("msg_no", text.uuid5("00abedb4-aa42-466c-9c01-fed23315a9b7", "messageid").alias("uid"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.10f', o_totalprice), '0+$', '') END AS txt FROM orders")
+_SCALED = "CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * o_totalprice * pow(10.0, CAST(o_orderkey % 25 AS DOUBLE) - 12) END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN v = 0 THEN '0' WHEN contains(e, 'e+1') OR regexp_matches(e, 'e-(0[5-9]|[1-9])') THEN e WHEN contains(f, '.') THEN regexp_replace(regexp_replace(f, '0+$', ''), '[.]$', '') ELSE f END AS txt FROM (
+    SELECT o_orderkey, v, e, printf('%.' || greatest(0, 9 - CAST(regexp_extract(e, 'e([+-][0-9]+)$', 1) AS INTEGER)) || 'f', v) AS f FROM (SELECT o_orderkey, {_SCALED} AS v, printf('%.9e', {_SCALED}) AS e FROM orders))""")
 def x19_canonical_number(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", text.canonical_number("o_totalprice").alias("txt"))
+    """Prices from 1e-12 to 1e+18 times their size, and zeros."""
+    return table(spark, d, "orders").select("o_orderkey", F.expr(_SCALED).alias("v")).select("o_orderkey", text.canonical_number("v").alias("txt"))
 
 
 _NUM = "CASE WHEN regexp_matches(ip, '^((25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)\\.){3}(25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)$') THEN CAST(string_split(ip, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(ip, '.')[2] AS BIGINT) * 65536 + CAST(string_split(ip, '.')[3] AS BIGINT) * 256 + CAST(string_split(ip, '.')[4] AS BIGINT) END"
@@ -197,9 +208,26 @@ def x23_ip_scope(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hops").select("hop_no", net.ip_scope("ip").alias("scope"))
 
 
-@query()
+# Hosts that the tables don't have, as the verdict has words for them.
+_HOSTS = ["", "localhost", "metadata.google.internal", "0x7f.1", "010.1.2.3", "1.2.3", "256.1.1.1", "127.0.0.1", "10.1.2.3", "172.20.1.1", "169.254.1.1", "100.64.0.1", "192.0.0.8", "192.88.99.1", "224.0.0.1", "240.0.0.1", "8.8.8.8",
+    "::", "::1", "::ffff:10.0.0.1", "2001::1", "2002::1", "64:ff9b::1", "fd00::1", "fe80::1", "fe80::1%eth0", "ff02::1", "2606:4700::1111", "[2606:4700::1111]", "x:y", "intranet", "bad_host.com", "a..com"]
+_HOST_ROWS = """SELECT host FROM hops UNION ALL SELECT ip FROM hops UNION ALL SELECT byhost FROM hops UNION ALL SELECT regexp_replace(host, '[.](test|example|invalid)$', '.com') FROM hops UNION ALL SELECT v AS host FROM (VALUES """ + ", ".join(f"('{h}')" for h in _HOSTS) + ") AS t(v)"
+_OCTETS = "list_transform(string_split(h, '.'), lambda o: TRY_CAST(o AS INTEGER))"
+
+
+@query(f"""SELECT host, n, CASE WHEN h IS NULL OR h = '' THEN 'empty_host' WHEN length(h) > 253 THEN 'host_too_long' WHEN h IN ({', '.join(map(repr, net.METADATA_NAMES))}) THEN 'cloud_metadata_name' WHEN h IN ({', '.join(map(repr, net.RESERVED_TLDS))}) THEN 'reserved_hostname'
+    WHEN contains(h, '.') AND string_split(h, '.')[-1] IN ({', '.join(map(repr, net.RESERVED_TLDS))}) THEN 'reserved_tld' WHEN h LIKE '0x%' OR regexp_matches(h, '(^|[.])0[^.]') THEN 'non_canonical_ip_literal'
+    WHEN regexp_matches(h, '^[0-9.]*[.][0-9.]*$') THEN CASE WHEN NOT regexp_matches(h, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') OR list_max(o) > 255 THEN 'malformed_ipv4' WHEN o[1] = 0 THEN 'unspecified' WHEN o[1] = 127 THEN 'loopback' WHEN o[1] = 10 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) THEN 'private'
+        WHEN o[1] = 169 AND o[2] = 254 THEN 'link_local' WHEN o[1] = 100 AND o[2] BETWEEN 64 AND 127 THEN 'cgnat' WHEN o[1] = 192 AND o[2] = 0 AND o[3] = 0 THEN 'ietf_protocol_assignment' WHEN (o[1] = 192 AND o[2] = 0 AND o[3] = 2) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113) THEN 'documentation'
+        WHEN o[1] = 192 AND o[2] = 88 AND o[3] = 99 THEN '6to4_relay' WHEN o[1] = 198 AND o[2] IN (18, 19) THEN 'benchmarking' WHEN o[1] BETWEEN 224 AND 239 THEN 'multicast' WHEN o[1] >= 240 THEN 'reserved' ELSE 'allow' END
+    WHEN contains(h, ':') THEN CASE WHEN contains(h, '%') THEN 'ipv6_zone_id' WHEN NOT regexp_matches(h, '^[0-9a-f:.]+$') THEN 'malformed_ipv6' WHEN h = '::' THEN 'unspecified' WHEN h = '::1' THEN 'loopback' WHEN h LIKE '::ffff:%' THEN 'ipv4_mapped' WHEN h LIKE '2001:db8:%' THEN 'documentation' WHEN h LIKE '2001::%' THEN 'teredo'
+        WHEN h LIKE '2002:%' THEN '6to4' WHEN h LIKE '64:ff9b::%' THEN 'nat64' WHEN regexp_matches(h, '^f[cd]') THEN 'unique_local' WHEN regexp_matches(h, '^fe[89ab]') THEN 'link_local' WHEN h LIKE 'ff%' THEN 'multicast' ELSE 'allow' END
+    WHEN NOT contains(h, '.') THEN 'non_fqdn_hostname' WHEN NOT regexp_matches(h, '^[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?([.][a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?)+$') THEN 'malformed_hostname' ELSE 'allow' END AS verdict
+    FROM (SELECT host, n, h, {_OCTETS} AS o FROM (SELECT host, count(*) AS n, lower(regexp_replace(trim(host), '^[[](.+)[]]$', '\\1')) AS h FROM ({_HOST_ROWS}) GROUP BY host))""")
 def x24_fetch_verdict(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "hops").select(F.explode(F.array("host", "ip", "byhost")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    """Hosts and addresses of all hops, the hosts under a public top-level name, and one host for every other verdict."""
+    table(spark, d, "hops").createOrReplaceTempView("hops")
+    h = spark.sql(_HOST_ROWS).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     return h.select("host", "n", net.fetch_verdict("host").alias("verdict"))
 
 
@@ -241,16 +269,9 @@ def p27_bracket_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("msg_no", F.get(headers.message_ids("messageid"), F.lit(0)).alias("bare"))
 
 
-@query("""SELECT msg_no, CASE WHEN regexp_matches(dateheader, '^[A-Z][a-z]{2}, \\d{1,2} [A-Z][a-z]{2} \\d{4} \\d{2}:\\d{2}:\\d{2} [+-]\\d{4}$')
-    THEN epoch_ms(try_strptime(regexp_replace(dateheader, '^[A-Za-z]+, ', ''), '%d %b %Y %H:%M:%S %z')) END AS ms FROM messages WHERE regexp_matches(dateheader, '^[A-Z][a-z]{2}, \\d{1,2} [A-Z][a-z]{2} \\d{4} \\d{2}:\\d{2}:\\d{2} [+-]\\d{4}$')""")
-def p10_header_date(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "messages").filter(F.col("dateheader").rlike(r"^[A-Z][a-z]{2}, \d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"))
-    return m.select("msg_no", F.unix_millis(headers.header_date("dateheader")).alias("ms"))
-
-
 @query()
 def p10_header_date_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every message, NULL where its date can't be read; p10_header_date has one notation only, as far as its SQL goes."""
+    """Every message, comments and blanks passed over, NULL where its date can't be read; p10_header_date reads the exact forms."""
     return table(spark, d, "messages").select("msg_no", F.unix_millis(headers.header_date("dateheader")).alias("ms"))
 
 
@@ -264,8 +285,14 @@ def x30_round_half_up(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", text.round_half_up(F.col("o_totalprice") / 7).alias("half_up"))
 
 
-@query()
+_BRANDS = ["belmar", "norden", "corveth", "quellmark"]
+_NEAR = ", ".join(f"{{'d': damerau_levenshtein(label, '{b}'), 'i': {i}, 'b': '{b}'}}" for i, b in enumerate(_BRANDS))
+
+
+@query(f"""SELECT label, CASE WHEN m.d <= 2 THEN m.b END AS brand, CASE WHEN m.d <= 2 THEN CAST(m.d AS INTEGER) END AS distance FROM (SELECT label, list_min([{_NEAR}]) AS m FROM (SELECT DISTINCT unnest(string_split(h, '.')) AS label FROM (
+    SELECT lower(originhost) AS h FROM messages UNION ALL SELECT regexp_replace(lower(fromaddr), '^.*@', '') FROM messages)))""")
 def j06_brand_distance(spark: SparkSession, d: str) -> DataFrame:
-    """A19 as well: nearest brand of each distinct host label and its distance."""
-    hosts = table(spark, d, "messages").filter("originhost is not null").select(F.split("originhost", r"\.")[1].alias("label")).distinct()
-    return brand_distance(hosts, "label", ["belmar", "norden", "corveth", "quellmark"], most=4)
+    """A19 as well: nearest brand of every distinct label of hosts and sender domains, and its distance."""
+    m = table(spark, d, "messages")
+    names = m.select(F.lower("originhost").alias("h")).unionByName(m.select(F.regexp_replace(F.lower("fromaddr"), "^.*@", "").alias("h")))
+    return brand_distance(names.select(F.explode(F.split("h", r"\.")).alias("label")).distinct(), "label", _BRANDS)
