@@ -105,13 +105,14 @@ def _fields(s: Column) -> Column:
     return F.split(F.regexp_replace(s, DATE, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|")
 
 
-def _local_seconds(f: Column) -> Column:
-    """Seconds since 1970 of date fields, zone aside; the 29th to 31st become the month's last day; NULL if invalid."""
+def _local_seconds(f: Column, clamp: bool = True) -> Column:
+    """Seconds since 1970 of date fields, zone aside; NULL if invalid. With `clamp` days up to the 31st become the month's last day, else they are invalid."""
     num = lambda i: F.get(f, F.lit(i)).try_cast("int")
     at = F.instr(F.lit(MONTH_NAMES), F.initcap(F.get(f, F.lit(2))))
     month = F.when((at > 0) & ((at - 1) % 3 == 0), ((at + 2) / 3).cast("int"))
     ok = (F.size(f) == 8) & month.isNotNull() & num(1).between(1, 31) & (num(3) >= 1) & (num(4) <= 23) & (num(5) <= 59) & (F.coalesce(num(6), F.lit(0)) <= 59)
-    day = lambda first: F.unix_date(first) + F.least(num(1), F.day(F.last_day(first))) - 1
+    last = lambda first: F.day(F.last_day(first))
+    day = lambda first: F.unix_date(first) + (F.least(num(1), last(first)) if clamp else F.when(num(1) <= last(first), num(1))) - 1
     return let(F.when(ok, F.make_date(num(3), month, F.lit(1))), day).cast("bigint") * 86400 + num(4) * 3600 + num(5) * 60 + F.coalesce(num(6), F.lit(0))
 
 
@@ -125,7 +126,8 @@ def header_date(value, tolerant: bool = True) -> Column:
 
     Any weekday of 3 to 12 letters is passed over; seconds may be absent; zones are offsets, names
     of US zones, UT, Z, or names of regions. `tolerant` also passes over comments, repeated blanks
-    and letter case; without it the text must have the exact form.
+    and letter case; without it the text must have the exact form, and days up to the 31st stand for
+    the last day of a shorter month.
     """
     s = F.trim(c(value))
     if tolerant:
@@ -139,7 +141,7 @@ def header_date(value, tolerant: bool = True) -> Column:
         exact = F.lit(True) if tolerant else F.contains(F.lit(MONTH_NAMES), month)
         fixed = F.coalesce(zone if tolerant else F.when(zone.rlike(r"^[+-]"), zone), F.lit(""))
         offset = _offset_seconds(F.coalesce(F.try_element_at(table, named), fixed))
-        local = F.when(exact & ((weekday == "") | F.length(weekday).between(3, 12)), _local_seconds(f))
+        local = F.when(exact & ((weekday == "") | F.length(weekday).between(3, 12)), _local_seconds(f, clamp=not tolerant))
         return let(local, lambda t: F.coalesce(F.timestamp_seconds(t - offset), F.to_utc_timestamp(F.timestamp_seconds(t), F.try_element_at(regions, named))))
 
     return let(_fields(s), instant)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postern.functions import headers, mailparse, scoring
 from postern.functions import lexicons as L
-from postern.operators import features
+from postern.operators import documents, features
 from postern.plans import analysis
 from postern.plans.textual import _NUM, LOOKALIKES, SCOPE_SQL
 from postern.session import table
@@ -173,11 +173,13 @@ _MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','d
 _DATE = r"^(?:([A-Za-z]+), ?)?(\d{{1,2}}) ([A-Za-z]{{3}}) (\d{{4}}) (\d{{2}}):(\d{{2}})(?::(\d{{2}}))?$".replace("{{", "{").replace("}}", "}")
 
 
-def _stamp(body: str) -> str:
+def _stamp(body: str, clamp: bool = True) -> str:
     """Timestamp of a date text without its zone, NULL if invalid."""
     g = lambda i: f"TRY_CAST(regexp_extract({body}, '{_DATE}', {i}) AS INTEGER)"
     month = f"list_position({_MONTHS}, lower(regexp_extract({body}, '{_DATE}', 3)))"
     ok = f"{month} > 0 AND {g(2)} BETWEEN 1 AND 31 AND {g(4)} >= 1 AND {g(5)} <= 23 AND {g(6)} <= 59 AND coalesce({g(7)}, 0) <= 59"
+    if not clamp:
+        ok += f" AND {g(2)} <= day(last_day(make_date({g(4)}, {month}, 1)))"
     return f"CASE WHEN {ok} THEN make_timestamp({g(4)}, {month}, least({g(2)}, day(last_day(make_date({g(4)}, {month}, 1)))), {g(5)}, {g(6)}, coalesce({g(7)}, 0)) END"
 
 
@@ -201,7 +203,7 @@ def header_ms(value: str, tolerant: bool = False) -> str:
         up, months = "", "mon IN ('Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec')"
     fixed = "CASE z " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in headers.US_ZONES.items()) + " ELSE z END"
     region = "CASE z " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in headers.REGIONS.items()) + " END"
-    return f"""(SELECT coalesce(epoch_ms(t) - {_minutes('o')} * 60000, least(epoch_ms(timezone(r, t)), epoch_ms(timezone(r, t - INTERVAL 1 HOUR)) + 3600000)) FROM (SELECT {fixed} AS o, {region} AS r, CASE WHEN (wd = '' OR length(wd) BETWEEN 3 AND 12) AND {months} THEN {_stamp('b')} END AS t
+    return f"""(SELECT coalesce(epoch_ms(t) - {_minutes('o')} * 60000, least(epoch_ms(timezone(r, t)), epoch_ms(timezone(r, t - INTERVAL 1 HOUR)) + 3600000)) FROM (SELECT {fixed} AS o, {region} AS r, CASE WHEN (wd = '' OR length(wd) BETWEEN 3 AND 12) AND {months} THEN {_stamp('b', not tolerant)} END AS t
         FROM (SELECT z, b, regexp_extract(b, '{_DATE}', 1) AS wd, regexp_extract(b, '{_DATE}', 3) AS mon FROM (SELECT {up}(regexp_extract(s, ' (\\S+)$', 1)) AS z, regexp_replace(s, ' \\S+$', '') AS b FROM (SELECT trim({value}) AS s)))))"""
 
 
@@ -493,3 +495,55 @@ def p10_header_date(spark: SparkSession, d: str) -> DataFrame:
     """P11 as well: every message by both rules, NULL where a rule can't read its date."""
     m = table(spark, d, "messages")
     return m.select("msg_no", F.unix_millis(headers.header_date("dateheader", tolerant=False)).alias("ms"), F.unix_millis(headers.scoring_date("dateheader")).alias("scoring_ms"))
+
+
+# --- value sets and documents ----------------------------------------------------------------
+
+_uniq = lambda e: f"array_to_string(list_sort(list_distinct(list_filter({e}, lambda v: v IS NOT NULL AND trim(v) <> ''))), ' ')"
+_box = lambda e: f"CASE WHEN contains({e}, '@') THEN regexp_extract({e}, '^(.*)@', 1) || '@' || lower(regexp_extract({e}, '^.*@(.*)$', 1)) END"
+_dom = lambda e: f"lower(nullif(regexp_extract({e}, '^.*@(.*)$', 1), ''))"
+_ADDR = "CASE WHEN contains(reply_header, '<') THEN regexp_extract(reply_header, '<([^>]*)', 1) ELSE reply_header END"
+_HEADER_NAMES = "['cc', 'content-type', " + ", ".join(
+    f"CASE WHEN {c} THEN '{n}' END"
+    for n, c in {
+        "return-path": "return_header IS NOT NULL", "received": "n > 0", "received-spf": "received_spf IS NOT NULL", "authentication-results": "auth IS NOT NULL OR auth_before IS NOT NULL", "dkim-signature": "signature IS NOT NULL", "arc-seal": "arc IS NOT NULL",
+        "arc-message-signature": "arc IS NOT NULL", "from": "sender IS NOT NULL", "to": "toaddr IS NOT NULL", "reply-to": "reply_header IS NOT NULL", "subject": "subject IS NOT NULL", "message-id": "messageid IS NOT NULL", "date": "dateheader IS NOT NULL",
+        "mime-version": "many", "content-transfer-encoding": "NOT many AND coded", "content-disposition": "NOT many AND disposed",
+    }.items()
+) + "]"
+_KIND = "lower(trim(string_split(coalesce(contenttype, 'text/plain'), ';')[1]))"
+_SETS = f"""WITH m AS {_M}, hh AS (SELECT msg_no, i, CASE WHEN hopindex = 0 AND msg_no % 13 = 0 THEN NULL ELSE lower(string_split(fromclause, ' ')[1]) END AS host, CASE WHEN hopindex = 0 AND msg_no % 13 = 0 THEN NULL ELSE lower(nullif(regexp_extract(fromclause, '\\[([^\\]]*)\\]', 1), '')) END AS ip, {header_ms('timestampraw', True)} AS ms
+        FROM (SELECT msg_no, hopindex, fromclause, timestampraw, row_number() OVER (PARTITION BY msg_no ORDER BY hopindex, hop_no) - 1 AS i FROM hops) WHERE i < 200),
+    h AS (SELECT msg_no, count(*) AS n, list(host) AS hosts, list(ip) AS ips, min(ms) AS first_ms, max(ms) AS last_ms FROM hh GROUP BY 1),
+    p AS (SELECT msg_no, bool_or(mimedepth > 0) AS many, bool_or(transferencoding <> '') AS coded, bool_or(disposition IS NOT NULL) AS disposed, list({_KIND}) AS kinds, list(CASE WHEN disposition = 'attachment' THEN {_KIND} END) AS attached_kinds,
+        list(CASE WHEN disposition = 'attachment' AND content <> '' THEN 'sha256:' || sha256(content) END) AS hashes, arg_min(content, ({_KIND} <> 'text/plain', -mimedepth, part_no)) FILTER (WHERE {_TEXT}) AS body FROM {_PARTS} GROUP BY 1),
+    s AS (SELECT m.*, coalesce(h.n, 0) AS n, coalesce(hosts, []) AS hosts, coalesce(ips, []) AS ips, first_ms, last_ms, many, coded, disposed, kinds, attached_kinds, hashes, coalesce(body, '') AS body FROM m LEFT JOIN h USING (msg_no) JOIN p USING (msg_no))"""
+_SET_COLS = {
+    "mailboxes": _uniq(f"[{_box('sender')}, {_box('toaddr')}, 'desk@y.test', 'a@x.test', 'b@x.test']"),
+    "domains": _uniq(f"[{_dom('sender')}, {_dom('toaddr')}, 'y.test', 'x.test'] || hosts"),
+    "reply_domains": _uniq(f"[{_dom('sender')}, {_dom('toaddr')}, 'y.test', 'x.test', {_dom(_ADDR)}, {_domain('return_header')}]"),
+    "hop_ips": _uniq("ips"),
+    "candidate_ips": _uniq("ips || [CASE WHEN contains(return_header, '[192.0.2.77]') THEN '192.0.2.77' END]"),
+    "header_names": _uniq(_HEADER_NAMES),
+    "file_types": _uniq("kinds"),
+    "attachment_hashes": _uniq("hashes"),
+}
+
+
+@query(_SETS + " SELECT CAST(msg_no AS VARCHAR) AS msg_id, " + ", ".join(f"{e} AS {k}" for k, e in _SET_COLS.items()) + " FROM s")
+def u04_message_sets(spark: SparkSession, d: str) -> DataFrame:
+    """U04, U05, U06, U07, U08 and U09: the distinct value sets of every parsed message."""
+    s = documents.message_sets(parsed(spark, d))
+    return s.select("msg_id", *[F.array_join(k, " ").alias(k) for k in _SET_COLS])
+
+
+@query(_SETS + f""" SELECT CAST(msg_no AS VARCHAR) AS id, {_uniq(f"[{_dom('sender')}, {_domain('return_header')}]")} AS domains, {_uniq('ips')} AS addresses, {_uniq('attached_kinds')} AS file_types, first_ms AS observed_ms FROM s""")
+def c01_library_documents(spark: SparkSession, d: str) -> DataFrame:
+    x = documents.library_documents(parsed(spark, d))
+    return x.select("id", *[F.array_join(k, " ").alias(k) for k in ("domains", "addresses", "file_types")], "observed_ms")
+
+
+@query(_SETS + f" SELECT CAST(msg_no AS VARCHAR) AS id, {_SET_COLS['domains']} AS domains, {_SET_COLS['mailboxes']} AS addresses, {_SET_COLS['file_types']} AS file_types, {_SET_COLS['header_names']} AS header_names, coalesce(subject, '') AS subject, length(body) AS body_chars, last_ms AS observed_ms FROM s")
+def c02_production_documents(spark: SparkSession, d: str) -> DataFrame:
+    x = documents.production_documents(parsed(spark, d))
+    return x.select("id", *[F.array_join(k, " ").alias(k) for k in ("domains", "addresses", "file_types", "header_names")], "subject", F.length("body").cast("bigint").alias("body_chars"), "observed_ms")
