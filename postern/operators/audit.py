@@ -8,7 +8,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postern.functions import ed25519
 from postern.functions.lexicons import GENESIS
+from postern.session import materialize
 
 
 def canonical(line) -> Column:
@@ -49,8 +51,13 @@ def verify_chain(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def numbered(lines: DataFrame, order: list[str]) -> DataFrame:
-    """(pos, line) in the given order, by counts per range partition: no global window."""
-    sorted_ = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    """(pos, line) in the given order, by counts per range partition: no global window.
+
+    The sorted lines are written first, so that counts and numbers are of the same partitions.
+    """
+    cols = [*dict.fromkeys([*order, "line"])]
+    sorted_ = lines.select(*cols).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    sorted_ = materialize(sorted_, "numbered")
     base = sorted_.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("k0"))
     base = base.select("_p", "k0", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("off"))  # one row per partition
     return sorted_.join(F.broadcast(base), "_p").select((F.col("off") + F.col("_k") - F.col("k0")).alias("pos"), "line")
@@ -76,24 +83,84 @@ def append(spark: SparkSession, log: DataFrame, events: list[dict]) -> list[str]
     return chain_records(events, v["head"], v["records"])
 
 
-def newest_signature(signatures: DataFrame, records: DataFrame, valid: Column | None = None) -> DataFrame:
-    """The newest signature whose head hash is the record's at that index: (index, head_hash, key_id)."""
-    ok = signatures.join(records.select(F.col("idx").alias("index"), "hash"), "index").filter(F.col("head_hash") == F.col("hash"))
-    if valid is not None:
-        ok = ok.filter(valid)
-    return ok.agg(F.max(F.struct("index", "head_hash", "key_id")).alias("s")).filter("s is not null").select("s.*")
+def signature_payload(head_hash: Column) -> Column:
+    """What is signed: the hex hash of the head's hash."""
+    return F.sha2(head_hash, 256)
+
+
+def sign_heads(lines: DataFrame, seed: bytes, every: int = 50, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., index, head_hash, signature, key_id): a signature for every `every`-th record of each chain."""
+    due = lines.filter((F.col("pos") + 1) % every == 0).select(*(keys or []), F.col("pos").alias("index"), F.get_json_object("line", "$.hash").alias("head_hash")).filter("head_hash is not null")
+    return due.select("*", ed25519.signature_column(seed, signature_payload(F.col("head_hash"))).alias("signature"), F.lit(ed25519.key_id(ed25519.public_key(seed))).alias("key_id"))
+
+
+def status(lines: DataFrame, signatures: DataFrame | None, key: bytes | None, every: int = 50, keys: list[str] | None = None) -> DataFrame:
+    """Verification, signatures and assurance; one row, or one per chain of `keys`.
+
+    A signature counts if it is the key's over the hash that the chain holds at its index. A head
+    whose signature doesn't count is forged. Without a key nothing is signed. An empty log is EMPTY.
+    """
+    keys = keys or []
+    v = verify_chain(lines, keys)
+    if key is None or signatures is None:
+        none = v.select("*", F.lit(None).cast("bigint").alias("last_signed"), F.lit(False).alias("head_signed"), F.lit(False).alias("forged"))
+        return none.withColumn("assurance", assurance(F.col("records"), F.col("ok"), F.lit(False), F.lit(False)))
+    held = lines.select(*keys, F.col("pos").alias("index"), F.get_json_object("line", "$.hash").alias("hash"))
+    good = (F.col("head_hash") == F.col("hash")) & ed25519.verified_column(key, signature_payload(F.col("head_hash")), F.col("signature"))
+    s = signatures.join(held, [*keys, "index"], "left").select(*keys, "index", F.coalesce(good, F.lit(False)).alias("good"))
+    per = s.groupBy(*keys).agg(F.max(F.when(F.col("good"), F.col("index"))).alias("last_signed"), F.max(F.struct("index", "good")).alias("newest"))
+    j = v.join(per, keys, "left") if keys else v.crossJoin(per)  # one row each without keys
+    at_head = F.col("newest.index") == F.col("records") - 1
+    j = j.withColumn("head_signed", F.coalesce(F.col("ok") & at_head & F.col("newest.good"), F.lit(False)))
+    j = j.withColumn("forged", F.coalesce(at_head, F.lit(False)) & ~F.col("head_signed")).drop("newest")
+    # A key is set, a checkpoint was due and none verifies: a rewrite must not hide behind lost signatures.
+    lost = F.col("last_signed").isNull() & (F.col("records") >= every)
+    return j.withColumn("assurance", assurance(F.col("records"), F.col("ok"), F.col("last_signed").isNotNull(), F.col("forged") | lost))
 
 
 def assurance(records: Column, ok: Column, signed: Column, forged: Column) -> Column:
-    return F.when(~ok | forged, "TAMPERED").when(records == 0, "EMPTY").when(signed, "SIGNED").otherwise("UNSIGNED")
-
-
-def ed25519_valid(spark: SparkSession, public_key_b64: str, message: bytes, signature_b64: str) -> bool:
-    """Verify a signature with the JVM's own Ed25519."""
-    jvm = spark.sparkContext._jvm
-    spec = jvm.java.security.spec.X509EncodedKeySpec(jvm.java.util.Base64.getDecoder().decode(public_key_b64))
-    key = jvm.java.security.KeyFactory.getInstance("Ed25519").generatePublic(spec)
-    s = jvm.java.security.Signature.getInstance("Ed25519")
-    s.initVerify(key)
-    s.update(message)
-    return s.verify(jvm.java.util.Base64.getDecoder().decode(signature_b64))
+    return F.when(records == 0, "EMPTY").when(~ok | forged, "TAMPERED").when(signed, "SIGNED").otherwise("UNSIGNED")
+
+
+class LogWriter:
+    """Audit records of a stream: each micro-batch is appended to the chain in a folder.
+
+    The chain is serial, so a batch's events are folded in their order on the driver; `most` bounds a
+    batch, a larger one is refused. A batch that is delivered again finds its file and changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 100_000):
+        self.spark, self.path, self.most = spark, path.rstrip("/"), most
+
+    def lines(self) -> DataFrame:
+        """(batch, pos, line) of all records so far."""
+        schema = "pos bigint, line string, batch bigint"
+        return self.spark.read.schema(schema).parquet(self.path) if self._batches() else self.spark.createDataFrame([], schema)
+
+    def _batches(self) -> set[int]:
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(fs_path):
+            return set()
+        found = (s.getPath().getName() for s in fs.listStatus(fs_path) if s.isDirectory() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        return {int(n.split("=")[1]) for n in found if n.startswith("batch=")}
+
+    def append(self, events: DataFrame, batch: int) -> None:
+        """Append (event, ts, and optionally actor, detail, outcome, subject, seq); for foreachBatch."""
+        done = self._batches()
+        if batch in done:
+            return
+        if done:
+            log = self.lines().select("pos", "line")
+            head = verify_chain(log).first()
+            if not head["ok"]:
+                raise ValueError(f"the chain is broken at {head['divergence']}: {head['reason']}")
+            prev, start = head["head"], head["records"]
+        else:
+            prev, start = GENESIS, 0
+        order = ["seq"] if "seq" in events.columns else ["ts", "event"]
+        rows = [r.asDict() for r in events.orderBy(*order).limit(self.most + 1).collect()]
+        if len(rows) > self.most:
+            raise ValueError(f"more than {self.most} events in one batch")
+        out = [(start + i, x) for i, x in enumerate(chain_records(rows, prev, start))]
+        self.spark.createDataFrame(out, "pos bigint, line string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")

@@ -32,4 +32,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         e = nxt
         if same:
             break
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return nodes.join(e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))

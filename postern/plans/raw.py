@@ -25,11 +25,17 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+_TRIES = "(SELECT 'desk-' || CAST(user_id % 2 AS INTEGER) AS account, epoch_us(ts) // 1000 AS t, event_type = 'signup' AS ok, event_id AS seq, row_number() OVER (PARTITION BY user_id % 2 ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events)"
+_WIN = "list_filter(f0, lambda x: x > t - 900000) || [t]"
+
+
+@query(f"""WITH RECURSIVE ev AS MATERIALIZED {_TRIES}, st(account, i, t, ok, seq, f, until, locked) AS (SELECT DISTINCT account, CAST(0 AS BIGINT), NULL::BIGINT, NULL::BOOLEAN, NULL::BIGINT, []::BIGINT[], CAST(0 AS BIGINT), false FROM ev UNION ALL
+    SELECT account, i, t, ok, seq, CASE WHEN u0 > 0 THEN f0 WHEN ok THEN [] ELSE {_WIN} END, CASE WHEN u0 > 0 THEN u0 WHEN ok THEN 0 WHEN len({_WIN}) >= 5 THEN t + 900000 ELSE 0 END, CASE WHEN u0 > 0 THEN true WHEN ok THEN false ELSE len({_WIN}) >= 5 END
+    FROM (SELECT ev.account, ev.i, ev.t, ev.ok, ev.seq, CASE WHEN until > 0 AND ev.t >= until THEN [] ELSE f END AS f0, CASE WHEN until > 0 AND ev.t >= until THEN 0 ELSE until END AS u0 FROM st JOIN ev ON ev.account = st.account AND ev.i = st.i + 1))
+    SELECT account, t AS ts_ms, ok, CAST(len(f) AS INTEGER) AS failures, locked, seq FROM st WHERE i > 0""")
 def z02_lockout(spark: SparkSession, d: str) -> DataFrame:
-    """W06's exact form: the lockout machine over errors and other events of each user."""
-    e = table(spark, d, "events").filter(F.col("event_type").isin("error", "signup"))
-    a = e.select(F.col("user_id").cast("string").alias("account"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_type") == "signup").alias("ok"), F.col("event_id").alias("seq"))
+    """W06's exact form: the lockout machine over all events of two desks, of which signups succeed."""
+    a = table(spark, d, "events").select(F.concat(F.lit("desk-"), (F.col("user_id") % 2).cast("int").cast("string")).alias("account"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_type") == "signup").alias("ok"), F.col("event_id").alias("seq"))
     return stateful.lockout_batch(a)
 
 
@@ -41,6 +47,21 @@ def z01_campaigns(spark: SparkSession, d: str) -> DataFrame:
     return stateful.campaigns_batch(m.select(F.col("msg_no").alias("msg"), "ip", headers.address_domain("fromaddr").alias("domain")))
 
 
+_ARRIVALS = f"(SELECT CAST(m.msg_no AS VARCHAR) AS msg, ip, nullif(regexp_replace(lower(fromaddr), '^.*@', ''), '') AS domain, row_number() OVER (ORDER BY epoch_us(ingestedat) NULLS FIRST, CAST(m.msg_no AS VARCHAR)) AS i FROM messages m LEFT JOIN (SELECT msg_no, arg_min(ip, hop_no) AS ip FROM hops WHERE hopindex = 0 AND ip IS NOT NULL GROUP BY 1) h USING (msg_no))"
+
+
+@query(f"""WITH RECURSIVE ev AS MATERIALIZED {_ARRIVALS}, st(i, m, msg, campaign) AS (SELECT CAST(0 AS BIGINT), MAP {{'': ''}}, NULL::VARCHAR, NULL::VARCHAR UNION ALL
+    SELECT i, map_concat(m, map_from_entries(list_filter([{{'k': 'i' || ip, 'v': c}}, {{'k': 'd' || domain, 'v': c}}], lambda e: e.k IS NOT NULL))), msg, c FROM (SELECT ev.i, st.m, ev.msg, ip, domain, coalesce(st.m['i' || ip], st.m['d' || domain], 'CMP-' || ev.msg) AS c FROM st JOIN ev ON ev.i = st.i + 1))
+    SELECT msg, campaign FROM st WHERE msg IS NOT NULL""")
+def c11_online_campaigns(spark: SparkSession, d: str) -> DataFrame:
+    """Z01 as well: messages assigned in order of arrival, by the newest hop's address, else the sender's domain."""
+    h = table(spark, d, "hops").filter("hopindex = 0 and ip is not null").groupBy("msg_no").agg(F.min_by("ip", "hop_no").alias("ip"))
+    m = table(spark, d, "messages").join(h, "msg_no", "left")
+    domain = F.regexp_replace(F.lower("fromaddr"), "^.*@", "")
+    e = m.select(F.col("msg_no").cast("string").alias("msg"), F.coalesce(F.unix_micros(F.col("ingestedat").cast("timestamp")), F.lit(-(1 << 60))).alias("seq"), "ip", F.when(domain != "", domain).alias("domain"))
+    return stateful.campaigns_online(e).select("msg", "campaign")
+
+
 @query("""SELECT r.event_id, coalesce(bool_or(l.ts <= r.ts AND r.ts < l.ts + INTERVAL 8 HOUR), false) AS active FROM (SELECT * FROM events WHERE event_type = 'click') r
     LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'signup') l ON l.user_id = r.user_id AND l.ts <= r.ts AND r.ts < l.ts + INTERVAL 8 HOUR GROUP BY 1""")
 def z03_sessions(spark: SparkSession, d: str) -> DataFrame:

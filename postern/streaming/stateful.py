@@ -117,18 +117,91 @@ def campaigns_batch(events: DataFrame) -> DataFrame:
     return c.filter(F.col("id").startswith("m")).select(F.substring("id", 2, 20).cast("bigint").alias("msg"), F.substring("root", 2, 20).cast("bigint").alias("campaign"))
 
 
-def assign_online(events: list[tuple], ids: Iterator[str]) -> list[str]:
-    """Arrival-order assignment of one micro-batch: by address, else by domain, else a new id; both keys follow it."""
-    by_ip, by_domain, out = {}, {}, []
-    for ip, domain in events:
-        cid = by_ip.get(ip) if ip else None
-        cid = cid or (by_domain.get(domain) if domain else None) or next(ids)
-        if ip:
-            by_ip[ip] = cid
-        if domain:
-            by_domain[domain] = cid
-        out.append(cid)
-    return out
+def _online(events: DataFrame) -> DataFrame:
+    """(msg, seq, campaign) of (group, seq, msg, ip, domain, known): events of a group in order of seq, with the keys' campaigns carried along.
+
+    `known` is set on rows that only tell a key's campaign. Groups share no key. They are brought
+    together and ordered by the shuffle and streamed in Arrow batches, so no group is held in memory;
+    what is held are the campaigns of a group's keys.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, of_ip, of_domain = None, {}, {}
+        for b in batches:
+            rows = []
+            for g, seq, msg, ip, domain, known in zip(b["grp"], b["seq"], b["msg"], b["ip"], b["domain"], b["known"], strict=True):
+                if g != group:
+                    group, of_ip, of_domain = g, {}, {}
+                if known is not None:
+                    cid = known
+                else:
+                    cid = (of_ip.get(ip) if ip is not None else None) or (of_domain.get(domain) if domain is not None else None) or f"CMP-{msg}"
+                    rows.append((msg, seq, cid))
+                if ip is not None:
+                    of_ip[ip] = cid
+                if domain is not None:
+                    of_domain[domain] = cid
+            yield pd.DataFrame(rows, columns=["msg", "seq", "campaign"])
+
+    rows = events.select("grp", "seq", "msg", "ip", "domain", "known")
+    return rows.repartition("grp").sortWithinPartitions("grp", "seq", "msg").mapInPandas(run, "msg string, seq bigint, campaign string")
+
+
+def _grouped(events: DataFrame) -> DataFrame:
+    """Adds grp: rows that share an address or a domain, directly or through others, have the same."""
+    node = F.concat(F.lit("m:"), "msg")
+    keys = [events.filter(F.col(k).isNotNull()).select(node.alias("a"), F.concat(F.lit(f"{k}:"), F.col(k)).alias("b")) for k in ("ip", "domain")]
+    c = components(keys[0].unionByName(keys[1]).unionByName(events.select(node.alias("a"), node.alias("b"))))
+    return events.join(c.filter(F.col("id").startswith("m:")).select(F.substring("id", 3, 1_000_000).alias("msg"), F.col("root").alias("grp")), "msg")
+
+
+def campaigns_online(events: DataFrame) -> DataFrame:
+    """(msg, seq, campaign): exact arrival-order assignment of (msg string, seq bigint, ip, domain).
+
+    In order of seq an event joins the campaign of its address, else of its domain, else a new one,
+    and both keys follow it. Only events connected by keys can meet, so each component of the graph
+    of events and keys is assigned on its own. Campaigns are named by their first event; equal seq
+    are ordered by msg; events without keys are campaigns of their own; msg is unique.
+    """
+    return _online(_grouped(events.select("msg", "seq", "ip", "domain")).withColumn("known", F.lit(None).cast("string")))
+
+
+class CampaignState:
+    """Online assignment over micro-batches: the campaigns of all keys lie in a folder, one run per batch.
+
+    A batch reads only the state of its own keys. A batch that is delivered again writes the same
+    runs again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.batches: set[int] = set()
+
+    def _state(self, before: int) -> DataFrame | None:
+        done = sorted(b for b in self.batches if b < before)
+        if not done:
+            return None
+        runs = self.spark.read.option("basePath", f"{self.path}/keys").parquet(*[f"{self.path}/keys/batch={b}" for b in done])
+        return runs.groupBy("kind", "key").agg(F.max_by("campaign", F.struct("batch", "seq")).alias("known"))
+
+    def assign(self, events: DataFrame, batch: int) -> DataFrame:
+        """Assign a batch of (msg, seq, ip, domain), store what its keys became, and return (msg, seq, campaign)."""
+        e = events.select("msg", "seq", "ip", "domain").withColumn("known", F.lit(None).cast("string"))
+        state = self._state(batch)
+        if state is not None:
+            for k in ("ip", "domain"):
+                other = "domain" if k == "ip" else "ip"
+                mine = state.filter(F.col("kind") == k).join(events.select(F.col(k).alias("key")).filter("key is not null").distinct(), "key", "left_semi")
+                e = e.unionByName(mine.select(F.concat(F.lit(f"#{k}:"), "key").alias("msg"), F.lit(-(1 << 62)).cast("bigint").alias("seq"), F.col("key").alias(k), F.lit(None).cast("string").alias(other), "known"))
+        out = _online(_grouped(e))
+        out.write.mode("overwrite").parquet(f"{self.path}/events/batch={batch}")
+        got = self.spark.read.schema("msg string, seq bigint, campaign string").parquet(f"{self.path}/events/batch={batch}")
+        keyed = got.join(events.select("msg", "ip", "domain"), "msg")
+        pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("ip", "domain")])
+        keys = keyed.select("seq", "msg", "campaign", F.explode(pairs).alias("x")).filter("x.key is not null")
+        keys.groupBy("x.kind", "x.key").agg(F.max(F.struct("seq", "msg", "campaign")).alias("m")).select("kind", "key", "m.seq", "m.campaign").write.mode("overwrite").parquet(f"{self.path}/keys/batch={batch}")
+        self.batches.add(batch)
+        return got
 
 
 def cached_lookups(requests: DataFrame, lifetime: str = "24 hours") -> DataFrame:

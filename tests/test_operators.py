@@ -187,9 +187,7 @@ def test_lockout_batch_equals_stream(spark, tmp_path):
     assert {r["seq"]: (r["failures"], r["locked"]) for r in spark.table("locks").collect()} == batch
 
 
-def test_online_and_batch_campaigns(spark):
-    ids = (f"c{i}" for i in range(9))
-    assert stateful.assign_online([("1", "x"), (None, "x"), ("2", "y"), ("1", "y"), (None, None)], ids) == ["c0", "c0", "c1", "c0", "c2"]
+def test_batch_campaigns(spark):
     e = spark.createDataFrame([(1, "1", "x"), (2, None, "x"), (3, "2", "y"), (4, None, None)], "msg bigint, ip string, domain string")
     assert {tuple(r) for r in stateful.campaigns_batch(e).collect()} == {(1, 1), (2, 1), (3, 3)}
 
