@@ -1,10 +1,16 @@
-"""Evaluation of scored rows: confusion metrics, curves, calibration, thresholds."""
+"""Evaluation of scored rows: confusion metrics, curves, calibration, thresholds, comparison, labelling, retention."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postern.functions import lexicons as L
+from postern.functions import scoring, text
+
 
 def per_class(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """(class, support, precision, recall, f1) from (truth, predicted); undefined ratios are 0."""
@@ -19,9 +25,10 @@ def per_class(df: DataFrame, truth: str = "truth", predicted: str = "predicted")
 
 
 def overall(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    """One row: accuracy, macro_f1, balanced_accuracy."""
+    """One row: accuracy (which is micro F1 as well), macro_f1 and balanced_accuracy over the classes that occur."""
+    cm = df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+    a = cm.agg((F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     m = per_class(df, truth, predicted).filter("support > 0").agg(F.avg("f1").alias("macro_f1"), F.avg("recall").alias("balanced_accuracy"))
-    a = df.agg(F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))
     return a.crossJoin(m)
 
 
@@ -54,11 +61,28 @@ def curve(df: DataFrame, score: str, label: str, bins: int = 10_000) -> DataFram
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the area under the curve by ranks of positives over negatives; ties count half."""
+    """One row: roc_auc and pr_auc, trapezoids over the points of curve(); ties are one step.
+
+    The precision before the first point is that of the first point. The step before a point lies in
+    its own block of scores or is the last one of the blocks above.
+    """
     s = curve(df, score, label)
-    steps = s.join(df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n")), "score")
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p")) + 0.5 * F.col("n") * F.col("p"))
-    return steps.agg((area / F.max(F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"))
+    inside = Window.partitionBy("blk").orderBy(F.col("score").desc())
+    ends = s.groupBy("blk").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp"))  # at most as many rows as blocks
+    above = Window.orderBy(F.col("blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("blk", F.coalesce(F.max("tp").over(above), F.lit(0)).alias("tp_b"), F.coalesce(F.max("fp").over(above), F.lit(0)).alias("fp_b"))
+    x = s.withColumns({"t": F.lag("tp").over(inside), "f": F.lag("fp").over(inside)}).join(before, "blk")
+    t0, f0 = F.coalesce("t", "tp_b"), F.coalesce("f", "fp_b")
+    now = F.col("tp") / (F.col("tp") + F.col("fp"))
+    was = F.when(t0 + f0 > 0, t0 / (t0 + f0)).otherwise(now)
+    roc = F.sum((F.col("fp") - f0) * (F.col("tp") + t0) / 2.0) / F.max(F.col("n_pos") * F.col("n_neg"))
+    pr = F.sum((F.col("tp") - t0) * (now + was) / 2.0) / F.max("n_pos")
+    return x.agg(roc.alias("roc_auc"), pr.alias("pr_auc"))
+
+
+def recall_at_fpr(df: DataFrame, score: str, label: str, rate: float = 0.001) -> DataFrame:
+    """One row: the recall at the least threshold whose false-positive rate is at most `rate`; 0 if there is none."""
+    return threshold_for_fpr(df, score, label, rate).select(F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -92,9 +116,96 @@ def sender_baseline(df: DataFrame, key: str, order: str, value: str, least: int
 
 
 def cost_threshold(fp: float, fn: float) -> float:
+    """Risk (0 to 1) above which an alert costs less than none."""
     return fp / (fp + fn)
 
 
+def mcnemar(df: DataFrame, truth: str, first: str, second: str) -> DataFrame:
+    """One row comparing two predictions: only_first and only_second right, chi2 with one degree of freedom, and p."""
+    a, b = F.col(first) == F.col(truth), F.col(second) == F.col(truth)
+    c = df.agg(F.count(F.when(a & ~b, 1)).alias("only_first"), F.count(F.when(b & ~a, 1)).alias("only_second"))
+    x, y = F.col("only_first"), F.col("only_second")
+    chi2 = F.when(x + y > 0, (x - y) * (x - y) / (x + y)).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def tail(v: pd.Series) -> pd.Series:
+        return v.map(lambda z: math.erfc(math.sqrt(z / 2)))
+
+    return c.withColumn("chi2", chi2).withColumn("p", tail("chi2"))
+
+
+def combined_confidence(confidence: Column, coverage: Column) -> Column:
+    """A confident model on little of the evidence isn't confident."""
+    return confidence * coverage
+
+
+def severity(risk: Column) -> Column:
+    return F.when(risk >= 80, "CRITICAL").when(risk >= 60, "HIGH").when(risk >= 40, "MEDIUM").when(risk >= 20, "LOW").otherwise("NONE")
+
+
+def confident_accuracy(df: DataFrame, confidence: str, right: Column, least: float = 0.9) -> DataFrame:
+    """One row: how many verdicts have at least this confidence, how many of them and of all are right."""
+    high = F.col(confidence) >= least
+    return df.agg(F.count(F.when(high, 1)).alias("confident"), F.avg(F.when(high, right.cast("double"))).alias("accuracy_confident"), F.avg(right.cast("double")).alias("accuracy"))
+
+
+def class_coverage(x: str, top: str) -> Column:
+    """Share of the chosen class's absolute weight that lies on observed features."""
+    return F.get(F.array(*[scoring.coverage(x, k) for k in range(len(L.CLASSES))]), F.col(top))
+
+
+def labelling_queue(df: DataFrame, most: int = 100, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+    """The `most` rows of score() whose labels would teach most: small margin, little evidence, severe class; ties by id.
+
+    `df` has id, p, x, top and risk. The list is a top-k report.
+    """
+    p = F.sort_array("p", asc=False)
+    margin = F.get(p, F.lit(0)) - F.get(p, F.lit(1))
+    a, b, c = weights
+    priority = a * (1.0 - margin) + b * (1.0 - class_coverage("x", "top")) + c * F.col("risk") / 100.0
+    return df.select("id", margin.alias("margin"), priority.alias("priority")).orderBy(F.round("priority", 9).desc(), "id").limit(most)
+
+
+REPLY = r"(?i)^(?:\s*(?:re|fwd?|aw|tr|wg)\s*:\s*)+"
+
+
+def thread_hijack(mail: DataFrame) -> DataFrame:
+    """(id, thread, continued, new_origin, asks, hijack) of (id, seq, subject, domains, origin).
+
+    A thread is the subject without reply marks, in lower case, and the set of participants' domains.
+    It is continued if it was seen before; its origin is new if no earlier message of the thread came
+    from it; a message asks if its subject speaks of payment, a new account or urgency. Messages
+    without subject are in no thread. Threads are cut at nothing: a hot thread is sorted by the
+    window of one task, its first sight of an origin is a minimum combined before that.
+    """
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("subject", F.lit(""))), REPLY, ""))
+    t = mail.select("id", "seq", "origin", plain.alias("plain"), F.concat_ws("|", plain, F.array_join(F.array_sort(F.array_distinct("domains")), ",")).alias("thread"), F.lower("subject").rlike(REPLY).alias("marked"))
+    key = F.struct("seq", "id")
+    first = t.groupBy("thread").agg(F.min(key).alias("first"))
+    seen = t.filter("origin is not null").groupBy("thread", "origin").agg(F.min(key).alias("seen"))
+    j = t.join(first, "thread").join(seen, ["thread", "origin"], "left")
+    cues = text.cue_count(F.col("plain"), L.PAYMENT) + text.cue_count(F.col("plain"), L.CHANNEL_CHANGE)
+    urgent = F.lit(False)
+    for phrase, _ in L.URGENCY:
+        urgent = urgent | F.contains("plain", F.lit(phrase))
+    continued = (F.col("plain") != "") & F.coalesce(F.col("marked"), F.lit(False)) & (key > F.col("first"))
+    new_origin = F.coalesce(key == F.col("seen"), F.lit(False))
+    out = j.select("id", "thread", continued.alias("continued"), new_origin.alias("new_origin"), ((cues > 0) | urgent).alias("asks"))
+    return out.withColumn("hijack", F.col("continued") & F.col("new_origin") & F.col("asks"))
+
+
+def retention(cases: DataFrame, now_ms: int | Column, days: int, masked: tuple[str, ...] = ("title", "subject")) -> tuple[DataFrame, DataFrame]:
+    """(rows kept, as they are read; tombstones of the rest): personal data is masked on reading only.
+
+    A row without creation time is kept. A tombstone has the row's id, its age in days and the rule.
+    """
+    now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
+    age = F.floor((now - F.col("createdat")) / 86_400_000)
+    old = F.coalesce(age > days, F.lit(False))
+    kept = cases.filter(~old).withColumns({c: text.mask_pii(c) for c in masked})
+    return kept, cases.filter(old).select("case_no", "id", age.cast("bigint").alias("age_days"), F.lit(f"older than {days} days").alias("rule"))
+
+
 def hop_velocity(df: DataFrame, key: str, order: str, lat: str, lon: str) -> DataFrame:
     """Adds km, seconds and impossible (> 900 km/h within two hours) against the key's row before."""
     w = Window.partitionBy(key).orderBy(order)

@@ -119,11 +119,6 @@ def a11_observed(spark: SparkSession, d: str) -> DataFrame:
     return order_vectors(spark, d).select("o_orderkey", n.alias("observed"), (60 - n).alias("unobserved"))
 
 
-@query()
-def a10_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return order_vectors(spark, d).select("o_orderkey", F.round(scoring.coverage("x", 3), 6).alias("coverage"))
-
-
 def _lex_sql(lex) -> str:
     from postern.plans.textual import _weighted_sql
 
@@ -537,7 +532,6 @@ def d04_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT min(s) AS tau, round(arg_min(tp / np, s), 6) AS recall FROM (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn FROM (SELECT s, sum(y) AS p, sum(1 - y) AS n FROM {_EV} GROUP BY s)) WHERE fp <= 0.05 * nn")
 def d05_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """D11 as well for the costs."""
     return evaluate.threshold_for_fpr(labelled(spark, d), "s", "y", 0.05).select("tau", F.round("recall", 6).alias("recall"))
 
 
@@ -552,13 +546,6 @@ def d13_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.bootstrap_mean(labelled(spark, d), "k", "y", 1000)
 
 
-@query()
-def d08_velocity(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "lat": (F.col("event_id") % 180 - 90).cast("double"), "lon": (F.col("event_id") * 7 % 360 - 180).cast("double")})
-    v = evaluate.hop_velocity(e, "user_id", "ts", "lat", "lon")
-    return v.select("event_id", F.round("km", 3).alias("km"), "seconds", "impossible")
-
-
 @query("""SELECT user_id, ts, event_id, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE PRECEDING AND CURRENT ROW) >= 2 AS alert FROM events""")
 def w06_failure_window(spark: SparkSession, d: str) -> DataFrame:
     """Failures of the last 15 minutes per account."""

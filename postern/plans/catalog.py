@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postern.plans import analysis, mail, problems, raw, textual
+from postern.plans import analysis, mail, metrics, problems, raw, textual
 
-_MODULES = (problems, textual, analysis, mail, raw)
+_MODULES = (problems, textual, analysis, mail, metrics, raw)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
