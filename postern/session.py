@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,10 +28,13 @@ def build(app: str = "postern", master: str | None = None, **conf) -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which every executor can read.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Where it is unset, a session whose executors are threads of this process gets a temporary folder;
+    on a cluster that is an error, as executors would write to disks of their own.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="postern-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -37,9 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+_OWN: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/postern/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under this application's part of the shared folder, which is removed when Python ends."""
+    own = f"{shared_dir(spark)}/postern/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(remove, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, whatever its file system; one that is gone, or a session that has ended, is fine."""
+    with contextlib.suppress(Exception):
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -54,8 +54,26 @@ def test_compaction_has_no_exchange(spark):
     s = upsert.UpsertStore(spark, buckets=4)
     s.upsert(df, "a", "key", ["n"])
     s.upsert(df, "b", "key", ["n"])
-    plan = s.compact()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    spark.conf.set(upsert.ORDERED, "true")
+    plan = s.merged("a", "b")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(upsert.ORDERED, "false")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "Sort [" not in plan
+    assert s.compact().count() == 7 and len(s.runs) == 1
+
+
+def test_store_opens_again_and_survives_a_lost_write(spark):
+    df = spark.range(60).selectExpr("concat('k', id % 9) key", "id n")
+    s = upsert.UpsertStore(spark, buckets=4)
+    s.upsert(df.filter("n < 30"), "a", "key", ["n"])
+    s._write(df.selectExpr("key AS ident", "struct(false AS n_unset, n) AS arrival").limit(1).repartition(4, "ident"))  # written, never named
+    again = upsert.UpsertStore(spark, path=s.path)
+    assert again.buckets == 4 and again.runs == s.runs
+    again.upsert(df.filter("n >= 30"), "b", "key", ["n"])
+    for folder in again.runs.values():
+        spark.sql(f"DROP TABLE {folder}")  # as in a new session
+    third = upsert.UpsertStore(spark, path=s.path)
+    assert {(r["ident"], r["arrival"]["n"]) for r in third.compact().collect()} == {(f"k{i}", i) for i in range(9)}
+    assert upsert.UpsertStore(spark, path=s.path).runs == third.runs and len(third.runs) == 1
 
 
 ATTR = "struct<candidates:array<struct<ip:string,scope:string,origin:string,isprimary:boolean,sightings:array<struct<feed:string,seenat:bigint,tags:array<string>>>>>>"
