@@ -130,22 +130,42 @@ def _residual(kept: DataFrame, level: int, t: float) -> DataFrame:
     return out
 
 
+def confirmed(links: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """The links whose overlap holds on the items themselves; candidates are found by 64-bit hashes of items."""
+    side = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("items").alias(f"items_{s}"))
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    holds = common >= t * (F.size("items_a") + F.size("items_b") - common) - 1e-9
+    return links.join(side("a"), "cid_a").join(side("b"), "cid_b").filter(holds).select("cid_a", "cid_b")
+
+
 def _classes(records: DataFrame, key: str, items: Column, t: float, hot: int) -> tuple[DataFrame, DataFrame]:
     members, classes = classes_of(records, key, items)
+    classes = materialize(classes, "classes")
     ordered = materialize(ordered_tokens(classes), "ordered")
-    return members, similar_classes(ordered, t, hot)
+    return members, confirmed(similar_classes(ordered, t, hot), classes, t)
+
+
+def _spread(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(members by class and part, members once for every part of their class): a class of `block` members or fewer is one part."""
+    size = members.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    m = members.join(size, "cid")
+    once = m.select("cid", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    return once, m.select("cid", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
 
-def similar_pairs(records: DataFrame, key: str, items: Column, t: float = 0.6, hot: int = 200) -> DataFrame:
+def similar_pairs(records: DataFrame, key: str, items: Column, t: float = 0.6, hot: int = 200, block: int = 2000) -> DataFrame:
     """(a, b): all pairs of ids a < b whose sets have Jaccard similarity of at least t.
 
-    Records without items pair with nothing. Repeated ids and an empty table are fine. Items are
-    compared by 64-bit hash; two of a billion items collide with probability 0.03.
+    Records without items pair with nothing. Repeated ids and an empty table are fine. The pairs
+    inside a class of equal sets are as many as its size squared; a class of more than `block`
+    members is cut into parts, so that no task makes all of them. Where pairs of copies aren't
+    wanted, class_links() has the same links in one row per record.
     """
     members, links = _classes(records, key, items, t, hot)
     a, b = members.select(F.col("id").alias("x"), F.col("cid").alias("cid_a")), members.select(F.col("id").alias("y"), F.col("cid").alias("cid_b"))
     across = links.join(a, "cid_a").join(b, "cid_b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    same = a.join(b, F.col("cid_a") == F.col("cid_b")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    once, every = _spread(members, block)
+    same = once.withColumnRenamed("id", "a").join(every.withColumnRenamed("id", "b"), ["cid", "part"]).filter("a < b").select("a", "b")
     return across.unionByName(same)
 
 

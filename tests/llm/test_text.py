@@ -76,6 +76,21 @@ def test_set_join_of_nothing(spark):
     assert setjoin.similar_pairs(df, "id", setjoin.item_set("v")).count() == 0
 
 
+def test_classes_are_cut_into_parts(spark):
+    rows = [(i, ["same", "set"], "x") for i in range(40)] + [(100, ["same", "set", "more"], "x"), (101, ["z"], "x"), (102, None, "x")]
+    df = spark.createDataFrame(rows, "id bigint, v array<string>, part string")
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40)} | {(a, 100) for a in range(40)}
+    for block in (3, 2000):
+        got = setjoin.similar_pairs(df, "id", setjoin.item_set("v"), block=block).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_links_hold_on_items(spark):
+    classes = spark.createDataFrame([("a", ["1", "2"]), ("b", ["1", "2", "3"]), ("c", ["8", "9"])], "cid string, items array<string>")
+    links = spark.createDataFrame([("a", "b"), ("a", "c")], "cid_a string, cid_b string")  # the second as if hashes had collided
+    assert [tuple(r) for r in setjoin.confirmed(links, classes, 0.6).collect()] == [("a", "b")]
+
+
 def test_packing(spark):
     docs = [(i, "word " * (37 * i % 400)) for i in range(120)] + [(500, "word " * 3000), (501, None), (502, ""), (503, "a"), (503, "a")]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, length string")
