@@ -66,3 +66,14 @@ def opening(automation: Column, asked: Column) -> Column:
 def document_id(messageid: Column, evidencehash: Column) -> Column:
     bare = F.regexp_replace(messageid, r"^[\s<]+|[>\s]+$", "")
     return F.when((F.length(bare) > 0) & (F.length(bare) <= 256), bare).otherwise(F.concat(F.lit("sha256:"), evidencehash))
+
+
+def summaries(cases: DataFrame, longest: int = 200) -> DataFrame:
+    """What a list of cases shows of each: identity, state, scores, a shortened subject and how much else there is."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    long = F.length("subject") > longest
+    count = {f"n_{c}": F.when(F.col(c).isNull(), F.lit(0).cast("bigint")).otherwise(n(c)) for c in ("domains", "urls", "addresses", "hopaddresses", "attachmenthashes", "members")}
+    return cases.select(
+        "case_no", "id", "status", "verdict", "band", F.when(long, F.concat(F.substring("subject", 1, longest), F.lit("...[truncated]"))).otherwise(F.col("subject")).alias("subject"), F.when(F.col("observedat") >= 0, F.col("observedat")).alias("observed_ms"),
+        *[v.alias(k) for k, v in count.items()], (F.col("attribution").isNotNull() | F.col("attributionraw").isNotNull()).alias("attributed"),
+    )

@@ -111,6 +111,23 @@ def pair_scores(docs: DataFrame, pairs: DataFrame | None = None, with_headers: b
     )
 
 
+def single_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b, cosine) of (a, b, tokens_a, tokens_b): text similarity with document frequencies of the two texts alone.
+
+    A term of both texts weighs 1, of one text 1 + ln 1.5, times 1 + ln of its count. No text, no
+    similarity. The terms of a pair are summed by two aggregates, so a long text is never one row.
+    """
+    side = lambda c, x, y: pairs.select("a", "b", F.explode(c).alias("term"), F.lit(x).alias("ca"), F.lit(y).alias("cb"))
+    t = side("tokens_a", 1, 0).unionByName(side("tokens_b", 0, 1)).groupBy("a", "b", "term").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    both = (F.col("ca") > 0) & (F.col("cb") > 0)
+    weight = lambda c: F.when(F.col(c) > 0, (1 + F.log(c)) * F.when(both, 1.0).otherwise(1 + F.log(F.lit(1.5)))).otherwise(0.0)
+    w = t.select("a", "b", weight("ca").alias("wa"), weight("cb").alias("wb"))
+    norm = F.sqrt(F.sum(F.col("wa") * F.col("wa"))) * F.sqrt(F.sum(F.col("wb") * F.col("wb")))
+    g = w.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), norm.alias("norm"))
+    found = g.select("a", "b", F.when(F.col("norm") > 0, F.least(F.lit(1.0), F.col("dot") / F.col("norm"))).otherwise(0.0).alias("cosine"))
+    return pairs.select("a", "b").join(found, ["a", "b"], "left").select("a", "b", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+
+
 def dominant(scores: dict[str, str]) -> Column:
     """Name of the largest component, the first listed wins ties; all 0 gives 'none'."""
     top = F.greatest(*[F.col(v) for v in scores.values()])

@@ -31,7 +31,7 @@ def observables(cases: DataFrame, strict: bool = False) -> DataFrame:
         hashes = F.transform(hashes, lambda h: F.regexp_replace(h, "^sha256:", ""))
     v4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
     items = F.concat(
-        tag("email-message", F.filter(F.array("messageid"), lambda v: v.isNotNull() & (v != ""))),
+        tag("email-message", F.filter(F.array("id"), lambda v: v.isNotNull() & (v != ""))),
         tag("email-addr", F.filter(low(F.col("addresses")), lambda v: v.rlike(r"^[^@\s]+@[^@\s]+$"))),
         tag("domain-name", F.filter(low(F.col("domains")), lambda v: v.rlike(DOMAIN))),
         tag("ipv4-addr", F.filter(ips, lambda v: v.rlike(v4))),
@@ -48,15 +48,16 @@ def distinct_objects(objects: DataFrame) -> DataFrame:
     return objects.groupBy("stix_id", "type", "value").agg(F.min("case_no").alias("first_case"))
 
 
-def bundles(objects: DataFrame, cap: int = 5000) -> DataFrame:
-    """(case_no, bundle_id, n_objects, bundle): a JSON bundle per case; the id follows from its sorted object ids.
+def bundles(objects: DataFrame, cap: int | None = None) -> DataFrame:
+    """(case_no, bundle_id, n_objects, left_out, bundle): a JSON bundle per case; the id follows from its sorted object ids.
 
-    A case's objects come from one row of the case table, so they are bounded by it; `cap` is the
-    format's limit on one bundle.
+    A case's objects come from one row of the case table, so they are bounded by it. With a `cap`
+    only that many are in the bundle and left_out says how many are not.
     """
-    per = objects.groupBy("case_no").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.col("stix_id").alias("id"), "type", "value"))), 1, cap).alias("objs"))
+    per = objects.groupBy("case_no").agg(F.array_sort(F.collect_set(F.struct(F.col("stix_id").alias("id"), "type", "value"))).alias("all"))
+    per = per.withColumn("objs", F.col("all") if cap is None else F.slice("all", 1, cap))
     ids = F.array_join(F.transform("objs", lambda o: o["id"]), ",")
     return per.select(
-        "case_no", F.concat(F.lit("bundle--"), uuid5(NAMESPACE, F.sha2(ids, 256))).alias("bundle_id"), F.size("objs").alias("n_objects"),
+        "case_no", F.concat(F.lit("bundle--"), uuid5(NAMESPACE, F.sha2(ids, 256))).alias("bundle_id"), F.size("objs").alias("n_objects"), (F.size("all") - F.size("objs")).alias("left_out"),
         F.to_json(F.struct(F.lit("bundle").alias("type"), F.col("objs").alias("objects"))).alias("bundle"),
     )

@@ -183,6 +183,18 @@ def a04_reply_cosine(spark: SparkSession, d: str) -> DataFrame:
     return j.select("a", "b", F.round(correlate.cosine("va", "vb"), 6).alias("cosine"))
 
 
+@query(f"""WITH r AS {_REPLIES}, t AS (SELECT doc_id AS id, unnest({_TOKENS.format('text')}) AS term FROM documents), c AS (SELECT id, term, count(*) AS n FROM t GROUP BY 1, 2),
+    x AS (SELECT a, b, term, n AS ca, 0 AS cb FROM r JOIN c ON c.id = a UNION ALL SELECT a, b, term, 0, n FROM r JOIN c ON c.id = b), y AS (SELECT a, b, term, sum(ca) AS ca, sum(cb) AS cb FROM x GROUP BY 1, 2, 3),
+    w AS (SELECT a, b, CASE WHEN ca > 0 THEN (1 + ln(ca)) * i ELSE 0 END AS wa, CASE WHEN cb > 0 THEN (1 + ln(cb)) * i ELSE 0 END AS wb FROM (SELECT *, CASE WHEN ca > 0 AND cb > 0 THEN 1 ELSE 1 + ln(1.5) END AS i FROM y)),
+    g AS (SELECT a, b, sum(wa * wb) AS dot, sqrt(sum(wa * wa)) * sqrt(sum(wb * wb)) AS norm FROM w GROUP BY 1, 2) SELECT a, b, round(coalesce(CASE WHEN norm > 0 THEN least(1, dot / norm) ELSE 0 END, 0), 6) AS cosine FROM r LEFT JOIN g USING (a, b)""")
+def c06_single_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every reply and its parent, scored as a corpus of two."""
+    docs = table(spark, d, "documents").select("doc_id", "parent_id", text.tokens("text").alias("tokens"))
+    child = docs.filter("parent_id is not null").select(F.col("parent_id").alias("a"), F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
+    pairs = child.join(docs.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+    return correlate.single_pairs(pairs).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
 _LSET = "list_distinct(list_filter(list_transform(coalesce({}, []), lambda v: trim({})), lambda v: v IS NOT NULL AND v <> ''))"
 _DOC = f"""SELECT case_no AS id, {_LSET.format('domains', 'lower(v)')} AS dom, list_distinct({_LSET.format('addresses', 'lower(v)')} || {_LSET.format('hopaddresses', 'v')}) AS adr,
     {_LSET.format('attachmenthashes', 'v')} AS hsh, coalesce(subject, '') AS s, risk, confidence, CASE WHEN observedat >= 0 THEN observedat END AS ms FROM cases"""
@@ -191,7 +203,8 @@ _PAIRS = f"""WITH docs AS ({_DOC}), toks AS (SELECT id, unnest({_TOKENS.format("
     idf AS (SELECT term, ln((n + 1) / (count(DISTINCT id) + 1)) + 1 AS idf FROM toks, n GROUP BY term, n),
     raw AS (SELECT id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM toks JOIN idf USING (term) GROUP BY id, term),
     tfidf AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
-    cand AS (SELECT x.id AS a, y.id AS b, {_J.format('dom')} AS jd, {_J.format('adr')} AS ja, {_J.format('hsh')} AS jh FROM docs x JOIN docs y ON x.id < y.id AND list_has_any(x.dom, y.dom) AND list_has_any(x.adr, y.adr)),
+    keys AS (SELECT id, dm, unnest(adr) AS ad FROM (SELECT id, unnest(dom) AS dm, adr FROM docs)), near AS (SELECT DISTINCT k.id AS a, l.id AS b FROM keys k JOIN keys l ON k.dm = l.dm AND k.ad = l.ad AND k.id < l.id),
+    cand AS (SELECT a, b, {_J.format('dom')} AS jd, {_J.format('adr')} AS ja, {_J.format('hsh')} AS jh FROM near JOIN docs x ON x.id = a JOIN docs y ON y.id = b),
     cosines AS (SELECT a, b, sum(p.w * q.w) AS c FROM cand JOIN tfidf p ON p.id = a JOIN tfidf q ON q.id = b AND q.term = p.term GROUP BY a, b),
     scored AS (SELECT a, b, jd, ja, jh, least(1, coalesce(c, 0)) AS c, least(1, 0.30 * jd + 0.20 * ja + 0.20 * least(1, coalesce(c, 0)) + 0.05 * jh) AS combined FROM cand LEFT JOIN cosines USING (a, b)),
     links AS (SELECT a, b FROM scored WHERE combined >= 0.62)"""
@@ -408,23 +421,6 @@ def k02_opening(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").select("case_no", F.coalesce(cases.opening(F.col("risk") >= 40, F.expr(_ASKED)), F.lit(False)).alias("opened"))
 
 
-@query("SELECT type, count(*) AS n FROM (SELECT case_no, 'domain-name' AS type, v FROM (SELECT DISTINCT case_no, lower(trim(unnest(domains))) AS v FROM cases) WHERE regexp_matches(v, '^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)+$') UNION ALL SELECT case_no, 'url', v FROM (SELECT DISTINCT case_no, unnest(urls) AS v FROM cases) WHERE length(v) BETWEEN 1 AND 2048) GROUP BY 1")
-def k05_observable_counts(spark: SparkSession, d: str) -> DataFrame:
-    o = stix.observables(table(spark, d, "cases")).filter(F.col("type").isin("domain-name", "url"))
-    return o.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def k05_stix_objects(spark: SparkSession, d: str) -> DataFrame:
-    """U03 as well: every observable once, by deterministic id."""
-    return stix.distinct_objects(stix.observables(table(spark, d, "cases")))
-
-
-@query()
-def k05_stix_bundles(spark: SparkSession, d: str) -> DataFrame:
-    return stix.bundles(stix.observables(table(spark, d, "cases"))).select("case_no", "bundle_id", "n_objects")
-
-
 @query("SELECT case_no, sha256(coalesce(evidencehash, '') || coalesce(messageid, '')) AS seal FROM cases")
 def x17_sha256(spark: SparkSession, d: str) -> DataFrame:
     c = F.concat(F.coalesce("evidencehash", F.lit("")), F.coalesce("messageid", F.lit("")))
