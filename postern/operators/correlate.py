@@ -58,18 +58,42 @@ def cosine(vec_a, vec_b) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot, F.lit(0.0))))
 
 
-def candidates(docs: DataFrame, with_headers: bool = True) -> DataFrame:
+# Weights of the combined score, and of what it can reach without domains and addresses of its own.
+WEIGHTS = {"header_names": 0.25, "domains": 0.30, "addresses": 0.20, "text": 0.20, "attachment_hashes": 0.05}
+
+
+def _prefix(docs: DataFrame, column: str, least: float) -> DataFrame:
+    """(id, column, size): the items, rare ones first, of which one is shared by any two sets with Jaccard `least` or more."""
+    items = docs.select("id", F.explode(column).alias("v"))
+    count = items.groupBy("v").agg(F.count(F.lit(1)).alias("f"))
+    whole = items.join(count, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("x"))
+    n = F.size("x")
+    return whole.select("id", F.slice(F.transform("x", lambda s: s["v"]), F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1).alias(column), n.alias(f"n_{column}"))
+
+
+def candidates(docs: DataFrame, with_headers: bool = True, tau: float | None = None) -> DataFrame:
     """(a, b), a < b: every pair that can reach the link threshold.
 
     A pair that shares neither a domain nor an address scores at most .50 < .62. Where no document
     has header names the rest can't make up for either one missing (.45 or .55), so the pair must
     share a domain and an address; that key is selective even if one domain holds a third of the rows.
+
+    With `tau` only pairs that can score that much are looked for (without header names): the text and
+    the hashes add .25 at most, which bounds both similarities from below, and two sets that similar
+    share an item among the rarest of each. A frequent domain or address is then no key, unless a set
+    has nothing else.
     """
     if with_headers:
         key = F.explode(F.array_union(F.transform("domains", lambda x: F.concat(F.lit("d:"), x)), F.transform("addresses", lambda x: F.concat(F.lit("a:"), x)))).alias("k")
+        k = docs.select("id", key)
     else:
-        key = F.explode(F.flatten(F.transform("domains", lambda x: F.transform("addresses", lambda y: F.concat_ws("\x01", x, y))))).alias("k")
-    k = docs.select("id", key)
+        both = docs.select("id", "domains", "addresses")
+        if tau is not None:
+            need = tau - WEIGHTS["text"] - WEIGHTS["attachment_hashes"]
+            d, a = (need - WEIGHTS["addresses"]) / WEIGHTS["domains"], (need - WEIGHTS["domains"]) / WEIGHTS["addresses"]
+            if min(d, a) > 0:
+                both = _prefix(docs, "domains", d).join(_prefix(docs, "addresses", a), "id")
+        k = both.select("id", F.explode(F.flatten(F.transform("domains", lambda x: F.transform("addresses", lambda y: F.concat_ws("\x01", x, y))))).alias("k"))
     return k.select(F.col("id").alias("a"), "k").join(k.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b").distinct()
 
 
@@ -94,13 +118,13 @@ def missed_pairs(members: DataFrame, scored: DataFrame, parts: int = 32) -> Data
     return x.join(y, ["root", "s"]).filter("a < b").select("a", "b").join(scored.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def pair_scores(docs: DataFrame, pairs: DataFrame | None = None, with_headers: bool = True) -> DataFrame:
-    """All components of each candidate pair and the combined score.
+def pair_scores(docs: DataFrame, pairs: DataFrame | None = None, with_headers: bool = True, tau: float | None = None) -> DataFrame:
+    """All components of each candidate pair and the combined score; with `tau` candidates that can reach it.
 
     `docs`: id, subject, body and the six sets, with vectors or without.
     """
     full = docs if "vec" in docs.columns else with_vectors(docs)
-    pairs = candidates(docs, with_headers) if pairs is None else pairs
+    pairs = candidates(docs, with_headers, tau) if pairs is None else pairs
     side = lambda s: full.select(*[F.col(x).alias(f"{s}_{x}" if x != "id" else s) for x in full.columns])
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     cols = {x: jaccard(f"a_{x}", f"b_{x}") for x in SETS}

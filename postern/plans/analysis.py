@@ -210,9 +210,9 @@ _PAIRS = f"""WITH docs AS ({_DOC}), toks AS (SELECT id, unnest({_TOKENS.format("
     links AS (SELECT a, b FROM scored WHERE combined >= 0.62)"""
 
 
-def _case_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _case_pairs(spark: SparkSession, d: str, tau: float | None = None) -> tuple[DataFrame, DataFrame]:
     docs = correlate.with_vectors(correlate.case_documents(table(spark, d, "cases")))
-    return docs, materialize(correlate.pair_scores(docs, with_headers=False), "pairs")
+    return docs, materialize(correlate.pair_scores(docs, with_headers=False, tau=tau), "pairs")
 
 
 @query(_PAIRS + " SELECT a, b, round(jd, 6) AS domains, round(ja, 6) AS addresses, round(jh, 6) AS hashes, round(c, 6) AS cosine, round(combined, 6) AS combined FROM scored")
@@ -236,7 +236,7 @@ def _link_sql(tail: str) -> str:
 @query(_link_sql(" SELECT id, root FROM comps"))
 def c08_clusters(spark: SparkSession, d: str) -> DataFrame:
     """L03 as well."""
-    _, p = _case_pairs(spark, d)
+    _, p = _case_pairs(spark, d, L.TAU_CLUSTER)
     return correlate.clusters(p.filter(F.col("combined") >= L.TAU_CLUSTER).select("a", "b"))
 
 
@@ -246,7 +246,7 @@ def c08_clusters(spark: SparkSession, d: str) -> DataFrame:
     FROM per LEFT JOIN (SELECT root, avg(combined) FILTER (WHERE combined >= 0.62) AS cohesion, min(combined) AS weakest, count(*) FILTER (WHERE combined >= 0.62) AS links FROM ins GROUP BY root) USING (root)"""))
 def c09_campaigns(spark: SparkSession, d: str) -> DataFrame:
     """A05, A06, A07, A08, C10 and J08 as well."""
-    docs, p = _case_pairs(spark, d)
+    docs, p = _case_pairs(spark, d, L.TAU_CLUSTER)
     m = materialize(correlate.clusters(p.filter(F.col("combined") >= L.TAU_CLUSTER).select("a", "b")), "members")
     c = correlate.campaigns(docs, m, p.unionByName(correlate.pair_scores(docs, correlate.missed_pairs(m, p))))
     r = lambda x: F.round(x, 6).alias(x)
@@ -255,7 +255,7 @@ def c09_campaigns(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_link_sql(" SELECT id FROM docs WHERE id NOT IN (SELECT id FROM comps)"))
 def u02_unclustered(spark: SparkSession, d: str) -> DataFrame:
-    docs, p = _case_pairs(spark, d)
+    docs, p = _case_pairs(spark, d, L.TAU_CLUSTER)
     return correlate.unclustered(docs, correlate.clusters(p.filter(F.col("combined") >= L.TAU_CLUSTER).select("a", "b")))
 
 

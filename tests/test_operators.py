@@ -45,6 +45,7 @@ def test_blocking_without_headers_loses_no_link(spark):
     ids = d.select(F.col("id").alias("a")).crossJoin(d.select(F.col("id").alias("b"))).filter("a < b")
     link = lambda p: {(r["a"], r["b"]) for r in p.filter("combined >= 0.62").collect()}
     assert link(correlate.pair_scores(d, ids)) == link(correlate.pair_scores(d, with_headers=False)) == link(correlate.pair_scores(d))
+    assert link(correlate.pair_scores(d, ids)) == link(correlate.pair_scores(d, with_headers=False, tau=0.62))
 
 
 def test_jaccard_and_idf(spark):
