@@ -34,13 +34,21 @@ class Limits:
     decoded: int = 10 << 20
     value: int = 65536
     addresses: int = 512
-    urls: int = 1000
+    base64_lines: int | None = None
+    urls: int | None = None
 
 
 MODES = {
     "evidence": Limits(message=2 << 20, headers=500, received=200),
-    "features": Limits(message=5 << 20, headers=100, received=25),
+    "features": Limits(message=5 << 20, headers=100, received=25, base64_lines=2000, urls=1000),
 }
+# The codes of what a rule set cut; both say PARSE_TRUNCATED as well then.
+CODES = {
+    "evidence": {"line": "HEADER_LINE_EXCEEDED", "parts": "MIME_PART_LIMIT", "budget": "DECODED_CONTENT_EXCEEDED", "received": "RECEIVED_TRUNCATED"},
+    "features": {"line": "HEADER_LINE_TRUNCATED", "parts": "MIME_PART_LIMIT_EXCEEDED", "budget": "DECODE_BUDGET_EXCEEDED", "received": "RECEIVED_COUNT_EXCEEDED"},
+}
+CUTS = {c for m in CODES.values() for c in m.values()} | {"MESSAGE_TRUNCATED", "HEADER_COUNT_EXCEEDED", "HEADER_VALUE_TRUNCATED", "MIME_DEPTH_EXCEEDED", "BASE64_LINE_LIMIT_EXCEEDED", "URL_LIMIT_EXCEEDED"}
+LINK = re.compile(r"""https?://[^\s"'<>)|]*""", re.I)
 
 ADDRESS = "struct<raw:string,display:string,local:string,domain:string>"
 HOP = "struct<index:int,raw:string,host:string,ip:string,date:string,protocol:string,by:string,from:string,with:string,id:string,for:string,via:string>"
@@ -65,12 +73,12 @@ def split_message(raw: bytes) -> tuple[bytes, bytes]:
     return (raw[: m.start()], raw[m.end() :]) if m else (raw, b"")
 
 
-def unfold(block: str, lim: Limits, warn: list[str]) -> list[tuple[str, str, bool, int]]:
+def unfold(block: str, lim: Limits, warn: list[str], code: str = "HEADER_LINE_TRUNCATED") -> list[tuple[str, str, bool, int]]:
     """(lower-case name, value, folded, lines) in order; continuation lines join with one space."""
     out: list[list] = []
     for line in block.splitlines():
         if len(line) > lim.line:
-            warn.append("HEADER_LINE_TRUNCATED")
+            warn.append(code)
             line = line[: lim.line]
         if line[:1] in (" ", "\t"):
             if not out:
@@ -188,19 +196,23 @@ def param(value: str, *names: str) -> str | None:
     return None
 
 
-def decode(data: bytes, encoding: str, budget: int, warn: list[str], quoted: bool) -> tuple[bytes, bool]:
+def decode(data: bytes, encoding: str, budget: int, warn: list[str], mode: str) -> tuple[bytes, bool]:
     """Decoded bytes within the budget and whether something was cut."""
+    lines = MODES[mode].base64_lines
     if encoding == "base64":
+        if lines is not None and data.count(b"\n") > lines:
+            warn.append("BASE64_LINE_LIMIT_EXCEEDED")
+            data = b"\n".join(data.split(b"\n", lines + 1)[: lines + 1])
         clean = re.sub(rb"[^A-Za-z0-9+/]", b"", data.split(b"=")[0])
         try:
             data = base64.b64decode(clean + b"=" * (-len(clean) % 4))
         except (binascii.Error, ValueError):
             warn.append("BASE64_DECODE_FAILED")
             data = b""
-    elif encoding == "quoted-printable" and quoted:
+    elif encoding == "quoted-printable" and mode == "evidence":
         data = quopri.decodestring(data)
     if len(data) > budget:
-        warn.append("DECODE_BUDGET_EXCEEDED")
+        warn.append(CODES[mode]["budget"])
         return data[:budget], True
     return data, False
 
@@ -209,13 +221,12 @@ class Walker:
     """Depth-first walk over the parts of a body under one global decode budget."""
 
     def __init__(self, mode: str, warn: list[str]):
-        self.lim, self.warn, self.quoted = MODES[mode], warn, mode == "evidence"
+        self.lim, self.warn, self.mode = MODES[mode], warn, mode
         self.left, self.parts = self.lim.decoded, []
 
     def walk(self, head: dict[str, str], body: bytes, depth: int) -> None:
         if len(self.parts) >= self.lim.parts:
-            if "MIME_PART_LIMIT" not in self.warn:
-                self.warn.append("MIME_PART_LIMIT")
+            self.warn.append(CODES[self.mode]["parts"])
             return
         ctype = head.get("content-type", "text/plain")
         kind = ctype.split(";")[0].strip().lower() or "text/plain"
@@ -229,7 +240,7 @@ class Walker:
         }
         self.parts.append(row)
         if not boundary:
-            row["data"], row["truncated"] = decode(body, encoding, self.left, self.warn, self.quoted)
+            row["data"], row["truncated"] = decode(body, encoding, self.left, self.warn, self.mode)
             self.left -= len(row["data"])
             return
         if depth + 1 > self.lim.depth:
@@ -242,7 +253,7 @@ class Walker:
                 break
             chunk = re.sub(rb"^\r?\n", b"", body[m.end() : nxt.start() if nxt else len(body)], count=1)
             h, b = split_message(chunk) if not re.match(rb"\r?\n", body[m.end() : m.end() + 4] + chunk[:2]) or chunk[:1] not in (b"\r", b"\n") else (b"", chunk.lstrip(b"\r\n"))
-            self.walk({n: v for n, v, _, _ in reversed(unfold(h.decode("latin-1"), self.lim, self.warn))}, b, depth + 1)
+            self.walk({n: v for n, v, _, _ in reversed(unfold(h.decode("latin-1"), self.lim, self.warn, CODES[self.mode]["line"]))}, b, depth + 1)
 
 
 def body_text(parts: list[dict], mode: str, body: bytes, heads: dict[str, str]) -> str | None:
@@ -271,13 +282,13 @@ def parse(msg_id: str, raw: bytes | None, mode: str = "evidence") -> dict:
         warn.append("MESSAGE_TRUNCATED")
         raw = raw[: lim.message]
     block, body = split_message(raw)
-    heads = unfold(block.decode("latin-1"), lim, warn)
+    heads = unfold(block.decode("latin-1"), lim, warn, CODES[mode]["line"])
     first: dict[str, str] = {}
     for n, v, _, _ in heads:
         first.setdefault(n, v)
     received = [v for n, v, _, _ in heads if n == "received"]
     if len(received) > lim.received:
-        warn.append("RECEIVED_TRUNCATED" if mode == "evidence" else "RECEIVED_COUNT_EXCEEDED")
+        warn.append(CODES[mode]["received"])
         received, seen = received[: lim.received], 0
         if mode == "features":  # this rule set doesn't keep the rest as headers either
             kept = []
@@ -288,12 +299,17 @@ def parse(msg_id: str, raw: bytes | None, mode: str = "evidence") -> dict:
             heads = kept
     w = Walker(mode, warn)
     w.walk(first, body, 0)
+    text = body_text(w.parts, mode, body, first)
+    if lim.urls is not None and len(LINK.findall(text or "")) > lim.urls:
+        warn.append("URL_LIMIT_EXCEEDED")  # the links themselves are a matter of net.urls_a
+    if CUTS.intersection(warn):
+        warn.append("PARSE_TRUNCATED")
     addr = lambda n: addresses(first.get(n), lim.addresses)
     ids = re.findall(r"<([^>]*)>", first.get("references", ""))
     return {
         "msg_id": msg_id, "headers": [{"name": n, "value": v, "folded": f, "lines": k} for n, v, f, k in heads], "from_addr": addr("from"), "to_addr": addr("to"), "cc_addr": addr("cc"), "reply_to": addr("reply-to"),
         "return_path": (re.sub(r"^<|>$", "", first.get("return-path", "").strip()) or None), "subject": first.get("subject"), "message_id": first.get("message-id"), "date": first.get("date"), "references": ids,
-        "hops": [hop(v, i) for i, v in enumerate(received)], "parts": w.parts, "body": body_text(w.parts, mode, body, first), "arc": sorted({n for n in first if n.startswith("arc-")}), "warnings": list(dict.fromkeys(warn)),
+        "hops": [hop(v, i) for i, v in enumerate(received)], "parts": w.parts, "body": text, "arc": sorted({n for n in first if n.startswith("arc-")}), "warnings": list(dict.fromkeys(warn)),
     }
 
 

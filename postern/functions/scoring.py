@@ -88,9 +88,10 @@ def score(df: DataFrame, x: str = "x", model: Model | None = None, evidence: str
     for i in k:
         first = first.when(F.col(f"_z{i}") == F.col("_top"), i)
     entropy = total([F.when(q > 0, -q * F.log(q)).otherwise(0.0) for q in p])
+    known = lambda c: F.when(F.col("_top").isNotNull(), c)
     extra = F.col("bec") if evidence is None else 1.0 - (1.0 - F.col("bec")) * (1.0 - L.W_BEC * noisy_or(evidence))
     df = df.withColumns({
-        "z": F.array(*[F.col(f"_z{i}") for i in k]), "p": F.array(*p), "top": first.cast("int"), "risk": 100.0 * (1.0 - p[0]), "risk_final": 100.0 * (1.0 - p[0] * (1.0 - L.W_BEC * extra)),
+        "z": known(F.array(*[F.col(f"_z{i}") for i in k])), "p": known(F.array(*p)), "top": first.cast("int"), "risk": 100.0 * (1.0 - p[0]), "risk_final": 100.0 * (1.0 - p[0] * (1.0 - L.W_BEC * extra)),
         "confidence": F.when(F.col("_top").isNotNull(), F.pow(F.greatest(F.lit(0.0), 1.0 - entropy / F.log(F.lit(8.0))), F.lit(m.gamma))),
     })
     df = df.withColumns({"band": F.when(F.col("risk_final").isNotNull(), F.when(F.col("risk_final") >= m.tau_high, "HIGH-RISK").when(F.col("risk_final") >= m.tau_susp, "SUSPICIOUS").otherwise("LOW")), "verdict": F.when(F.col("confidence").isNotNull(), abstention("confidence"))})

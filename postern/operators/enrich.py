@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +63,80 @@ def provider_join(ips: DataFrame, providers: list[tuple[str, DataFrame, bool]])
         value = F.coalesce(*[F.col(f"{f}_{i}") for i in range(len(providers))]) if providers else F.lit(None).cast("string")
         source = reduce(lambda acc, i: acc.when(F.col(f"{f}_{i}").isNotNull(), providers[i][0]), range(len(providers)), F.when(F.lit(False), ""))
         out += [value.alias(f), F.when(value.isNotNull(), "KNOWN").otherwise(missing).alias(f"{f}_status"), source.alias(f"{f}_source")]
-    return df.select("ip", *out)
+    reason = "no provider configured" if not providers else "a provider was not available" if some_down else "no provider had data"
+    known = F.coalesce(*[F.col(f) for f in FIELDS])
+    return df.select("ip", *out).withColumn("reason", F.when(known.isNull(), reason))
+
+
+def _card(entity: dict, *labels: str) -> str | None:
+    """A property of an entity's card: rows of [key, parameters, type, value], or a list of keys beside a map of values."""
+
+    def value(v, place: bool) -> str | None:
+        if place and isinstance(v, list):
+            v = v[-1] if v else None
+        return v.strip() if isinstance(v, str) and v.strip() else None
+
+    card = entity.get("vcardArray")
+    if not isinstance(card, list) or len(card) < 2:
+        return None
+    if isinstance(card[1], list):
+        for row in card[1]:
+            if isinstance(row, list) and len(row) >= 4 and isinstance(row[0], str) and row[0].lower() in labels and (v := value(row[3], row[0].lower() == "adr")):
+                return v
+    if isinstance(card[0], list) and isinstance(card[1], dict):
+        for want in labels:
+            for k in card[0]:
+                if isinstance(k, str) and k.lower() == want and (v := value(card[1].get(k), want == "adr")):
+                    return v
+    return None
+
+
+def rdap_record(text: str | None) -> dict[str, str | None]:
+    """country, hostname, organization, isp and asn of one registry answer; what can't be read is None."""
+    out: dict[str, str | None] = dict.fromkeys(FIELDS)
+    try:
+        root = json.loads(text or "null")
+    except ValueError:
+        return out
+    if not isinstance(root, dict):
+        return out
+    maps = lambda v: [x for x in v if isinstance(x, dict)] if isinstance(v, list) else []
+    word = lambda v: v.strip() if isinstance(v, str) and v.strip() else None
+
+    def role(node: dict, name: str) -> str | None:
+        for e in maps(node.get("entities")):
+            if isinstance(e.get("roles"), list) and any(isinstance(r, str) and r.lower() == name for r in e["roles"]):
+                return _card(e, "fn") or word(e.get("handle"))
+        return None
+
+    def remark(node: dict) -> str | None:
+        lines = (x for r in maps(node.get("remarks")) for x in (r.get("description") if isinstance(r.get("description"), list) else []))
+        return next((w for x in lines if (w := word(x))), None) or word(node.get("name"))
+
+    def country(node: dict) -> str | None:
+        own = word(node.get("country")) or next((v for e in maps(node.get("entities")) if (v := _card(e, "adr", "country"))), None)
+        return own.upper() if own else None
+
+    nodes = root.get("networks")
+    for node in maps(nodes) if nodes and isinstance(nodes, list) else [root]:
+        for k, v in (("country", country(node)), ("hostname", remark(node)), ("organization", role(node, "registrant")), ("isp", role(node, "administrative"))):
+            out[k] = out[k] or v
+    if not (isinstance(nodes, list) and nodes) and (h := word(root.get("handle"))) and h.upper().startswith("AS"):
+        out["asn"] = h
+    return out
 
 
 def parse_rdap(text: Column) -> Column:
-    """struct(country, hostname, organization, asn) of a registry answer; text that isn't JSON gives NULLs."""
-    j = lambda p: F.get_json_object(text, p)
-    pick = lambda k: F.coalesce(j(f"$.networks[0].{k}"), j(f"$.{k}"))
-    org = F.coalesce(j("$.entities[0].vcardArray[1][1][3]"), pick("org"), pick("name"))
-    return F.struct(pick("country").alias("country"), pick("hostname").alias("hostname"), org.alias("organization"), F.coalesce(pick("asn"), j("$.autnums[0].handle")).alias("asn"))
+    """struct(country, hostname, organization, isp, asn) of a registry answer; text that isn't JSON gives NULLs.
+
+    The answers are trees of optional lists, so they are read in Arrow batches.
+    """
+
+    @F.pandas_udf(", ".join(f"{f} string" for f in FIELDS))
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rdap_record(t) for t in s], columns=list(FIELDS))
+
+    return run(text)
 
 
 def parse_whois(text: Column) -> Column:

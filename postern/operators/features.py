@@ -214,7 +214,7 @@ def vectors(mail: DataFrame, lookalikes: dict[str, str], brands: list[str] | Non
         mail = mail.withColumn("_label", F.when(F.length(label) > 0, label))
         folded = [text.fold_text(b, lookalikes) for b in brands]
         # The distance only has to be told apart up to 2; without a near brand it is larger.
-        near = F.least(*[F.coalesce(text.osa_distance(col("_label"), F.lit(b), 2), F.lit(99)) for b in folded])
+        near = F.array_min(F.array(*[F.coalesce(text.osa_distance(col("_label"), F.lit(b), 2), F.lit(99)) for b in folded]))
         mail = mail.withColumn("_distance", F.when(col("_label").isNotNull(), near))
     distance = col("_distance") if brands else none.cast("int")
     feats = (

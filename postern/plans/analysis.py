@@ -350,28 +350,57 @@ _NETSQL = ", ".join(
 @query(f"""SELECT ip, country, prefix FROM (SELECT ip, country, prefix, row_number() OVER (PARTITION BY ip ORDER BY prefix DESC, r) AS k FROM (SELECT DISTINCT ip, {_NUM} AS n FROM hops) a
     JOIN (VALUES {_NETSQL}) v(r, lo, prefix, country) ON a.n >= lo AND a.n < lo + CAST(pow(2, 32 - prefix) AS BIGINT)) WHERE k = 1""")
 def j03_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """E02, R05 and S06's network rows as well."""
+    """E02 and S06's network rows as well."""
     return enrich.longest_prefix(table(spark, d, "hops").select("ip"), networks(spark)).select("ip", "country", "prefix")
 
 
-@query()
+_KNOWN = f"""(SELECT ip, country, organization FROM (SELECT ip, country, organization, row_number() OVER (PARTITION BY ip ORDER BY prefix DESC, r) AS k FROM (SELECT DISTINCT ip, {_NUM} AS n FROM hops) a
+    JOIN (VALUES {', '.join(f"({i}, {sum(int(x) << (24 - 8 * k) for k, x in enumerate(n.split('/')[0].split('.')))}, {n.split('/')[1] if '/' in n else 32}, '{c}', '{o}')" for i, (n, c, o) in enumerate(NETS) if n[0].isdigit())}) v(r, lo, prefix, country, organization)
+    ON a.n >= lo AND a.n < lo + CAST(pow(2, 32 - prefix) AS BIGINT)) WHERE k = 1)"""
+_FIXED = [("203.0.113.9", "ZZ", "fixed.example"), ("198.18.7.7", None, "seven.example"), ("8.8.8.8", " - ", "n/a")]
+
+
+@query(f"""SELECT ip, country, CASE WHEN country IS NULL THEN 'UNAVAILABLE' ELSE 'KNOWN' END AS country_status, source AS country_source, hostname, organization, CASE WHEN organization IS NULL THEN 'UNAVAILABLE' ELSE 'KNOWN' END AS organization_status,
+    CASE WHEN country IS NULL AND hostname IS NULL AND organization IS NULL THEN 'a provider was not available' END AS reason FROM (SELECT i.ip, coalesce(f.c, k.country) AS country, CASE WHEN f.c IS NOT NULL THEN 'fixed' WHEN k.country IS NOT NULL THEN 'dataset' END AS source, f.h AS hostname, k.organization AS organization
+    FROM (SELECT DISTINCT ip FROM hops WHERE ip IS NOT NULL) i LEFT JOIN (VALUES ('203.0.113.9', 'ZZ', 'fixed.example'), ('198.18.7.7', NULL, 'seven.example')) f(ip, c, h) ON f.ip = i.ip LEFT JOIN {_KNOWN} k ON k.ip = i.ip)""")
 def e01_providers(spark: SparkSession, d: str) -> DataFrame:
     """J04, E05, E06 and E08 as well: three providers in order, one of them down."""
     ips = table(spark, d, "hops").select("ip").filter("ip is not null")
     known = enrich.longest_prefix(ips, networks(spark)).select("ip", "country", "organization")
-    fixed = spark.createDataFrame([("203.0.113.9", "ZZ", "fixed.example")], "ip string, country string, hostname string")
-    return enrich.provider_join(ips, [("fixed", fixed, True), ("dataset", known, True), ("remote", fixed, False)])
+    fixed = spark.createDataFrame(_FIXED, "ip string, country string, hostname string")
+    p = enrich.provider_join(ips, [("fixed", fixed, True), ("dataset", known, True), ("remote", fixed, False)])
+    return p.select("ip", "country", "country_status", "country_source", "hostname", "organization", "organization_status", "reason")
 
 
-@query()
+@query("""SELECT s_suppkey, CASE k WHEN 0 THEN 'DE' WHEN 1 THEN 'SE' WHEN 3 THEN 'AT' END AS rdap_country, CASE k WHEN 0 THEN 'net' WHEN 1 THEN s_name WHEN 3 THEN s_name END AS rdap_hostname, CASE k WHEN 0 THEN s_name WHEN 1 THEN 'Flat ' || s_name END AS rdap_org,
+    CASE WHEN k = 0 THEN 'H-1' END AS rdap_isp, CASE WHEN k = 1 THEN 'AS' || s_suppkey END AS rdap_asn, 'DE' AS whois_country, s_name AS whois_org, 'AS64500' AS asn FROM (SELECT *, s_suppkey % 4 AS k FROM supplier)""")
 def e03_registry_texts(spark: SparkSession, d: str) -> DataFrame:
-    """P28, P29 and E04 as well: registry answers built from suppliers, in both notations."""
+    """P28, P29 and E04 as well: registry answers built from suppliers, in all forms, and texts that aren't any."""
     s = table(spark, d, "supplier")
-    rdap = F.to_json(F.struct(F.array(F.struct(F.lit("DE").alias("country"), F.col("s_name").alias("name"))).alias("networks")))
-    whois = F.concat(F.lit("% comment\ncountry: de\norg-name: "), F.col("s_name"), F.lit("\norigin: as64500\ncountry: fr"))
-    return s.select("s_suppkey", enrich.parse_rdap(rdap).alias("r"), enrich.parse_whois(whois).alias("w")).select(
-        "s_suppkey", F.col("r.country").alias("rdap_country"), F.col("r.organization").alias("rdap_org"), F.col("w.country").alias("whois_country"), F.col("w.organization").alias("whois_org"), F.col("w.asn").alias("asn")
-    )
+    name = F.col("s_name")
+    forms = [
+        F.concat(F.lit('{"networks":[null,{"country":"de","name":"net","entities":[{"roles":["Registrant"],"vcardArray":["vcard",[["fn",{},"text","'), name, F.lit('"]]]},{"roles":["administrative"],"handle":"H-1"}]}]}')),
+        F.concat(F.lit('{"handle":"AS'), F.col("s_suppkey").cast("string"), F.lit('","name":"'), name, F.lit('","entities":[{"roles":["registrant"],"vcardArray":[["fn","adr"],{"fn":"Flat '), name, F.lit('","adr":["a","b","c","se"]}]}]}')),
+        F.concat(F.lit('{"country":"DE", '), name), F.concat(F.lit('{"country":" at ","remarks":[{"description":["","'), name, F.lit('"]}]}')),
+    ]
+    rdap = F.when(F.col("s_suppkey") % 4 == 0, forms[0]).when(F.col("s_suppkey") % 4 == 1, forms[1]).when(F.col("s_suppkey") % 4 == 2, forms[2]).otherwise(forms[3])
+    whois = F.concat(F.lit("% comment\ncountry: de\norg-name: "), name, F.lit("\norigin: as64500\ncountry: fr"))
+    x = s.select("s_suppkey", enrich.parse_rdap(rdap).alias("r"), enrich.parse_whois(whois).alias("w"))
+    return x.select("s_suppkey", *[F.col(f"r.{a}").alias(f"rdap_{b}") for a, b in (("country", "country"), ("hostname", "hostname"), ("organization", "org"), ("isp", "isp"), ("asn", "asn"))], F.col("w.country").alias("whois_country"), F.col("w.organization").alias("whois_org"), F.col("w.asn").alias("asn"))
+
+
+@query("""SELECT hop_no, ip IS NOT NULL AND (ip LIKE '203.0.113.%' OR ip LIKE '198.51.100.%' OR (ip LIKE '192.0.2.%' AND CAST(string_split(ip, '.')[4] AS INTEGER) >= 128)) AS in_range FROM hops""")
+def r05_mail_range(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a hop's address lies in the organisation's mail ranges."""
+    ranges = ["203.0.113.0/24", "198.51.100.0/24", "192.0.2.128/25"]
+    return table(spark, d, "hops").select("hop_no", orgprofile.in_mail_range(F.col("ip"), ranges).alias("in_range"))
+
+
+@query("SELECT part_no, contains(lower(body), 'abuse@kit.test') OR contains(lower(body), 'weekly backup') AS quoted FROM parts")
+def r06_abuse_contact(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a body quotes the abuse contact or its local part; NULL without a body."""
+    b = F.col("body")
+    return table(spark, d, "parts").select("part_no", (orgprofile.abuse_contact_quoted(b, "abuse@kit.test") | orgprofile.abuse_contact_quoted(b, "Weekly Backup@kit.test")).alias("quoted"))
 
 
 @query("SELECT case_no, coalesce(list_bool_or(list_transform(domains, lambda v: lower(v) = 'tarnwick.example' OR lower(v) LIKE '%.tarnwick.example' OR lower(v) LIKE '%.branquarstad.test' OR lower(v) = 'branquarstad.test')), false) AS own FROM cases WHERE domains IS NOT NULL")
@@ -559,7 +588,7 @@ def j10_anti_membership(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT case_no, len(list_distinct(list_filter(coalesce(addresses, []), lambda v: v LIKE '%@%'))) AS mailboxes, len(list_distinct(list_filter(coalesce(hopaddresses, []), lambda v: v IS NOT NULL))) AS hops FROM cases")
 def u06_case_sets(spark: SparkSession, d: str) -> DataFrame:
-    """U04 to U09 as well: distinct value sets of a case."""
+    """Distinct value sets of a case."""
     e = F.array().cast("array<string>")
     return table(spark, d, "cases").select(
         "case_no", F.size(F.array_distinct(F.filter(F.coalesce("addresses", e), lambda v: F.contains(v, F.lit("@"))))).cast("bigint").alias("mailboxes"),

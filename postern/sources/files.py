@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,29 @@ def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, df.filter("r._bad is not null").select(F.col("value").alias("_bad"))
 
 
+def scan_cases(spark: SparkSession, path: str, records: int = 10_000, size: int = 32 << 20) -> tuple[DataFrame, bool]:
+    """(cases, truncated): the first readable cases of a file, at most `records` and `size` bytes of lines; for a listing.
+
+    Both limits are this reader's feature, and the flag says that one was met; read_cases() reads all.
+    No file gives no cases.
+    """
+    if not any(_exists(spark, path)):
+        return spark.createDataFrame([], CASE), False
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    # The sum up to a line is needed only for the first lines; anything after `records` readable ones is cut anyway.
+    head = lines.orderBy("at").limit(10 * records).withColumn("sum", F.sum(F.length("value") + 1).over(Window.orderBy("at")))
+    parsed = head.filter(F.col("sum") <= size).select("at", F.from_json("value", CASE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).filter("r is not null and r._bad is null")
+    good = parsed.orderBy("at").limit(records).select("at", "r.*").drop("_bad")
+    cut = head.filter(F.col("sum") > size).limit(1).count() > 0 or good.count() >= records
+    return good.orderBy("at").drop("at"), cut
+
+
+def _exists(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    yield fs.exists(p)
+
+
 def append_cases(cases: DataFrame, path: str) -> None:
     """Append the records that may be stored, one JSON line each."""
     lower = cases.select([F.col(c).alias(c) for c in cases.columns])
@@ -94,7 +117,7 @@ def read_confusables(spark: SparkSession, path: str) -> dict[str, str]:
 def read_profile(spark: SparkSession, path: str | None) -> dict[str, list]:
     """Organisation profile; no file gives an empty one, a malformed file is an error, blanks are skipped."""
     keys = ("own_domains", "brands", "executives", "partner_domains", "mail_ranges")
-    if path is None:
+    if path is None or not any(_exists(spark, path)):
         return {k: [] for k in keys}
     row = spark.read.option("multiLine", "true").option("mode", "FAILFAST").json(path).first()
     d = row.asDict(recursive=True) if row else {}
