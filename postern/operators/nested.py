@@ -193,19 +193,16 @@ def case_tree(cases: DataFrame, full: bool = False) -> DataFrame:
 
 
 def case_children(cases: DataFrame) -> DataFrame:
-    """case_no, child, pos, subpos, leaf: every non-null candidate, sighting and member."""
-    nodes = case_tree(cases)
-    link = F.transform(
-        "nodes",
-        lambda n: F.struct(
-            n["kind"].alias("child"),
-            n["pos"].alias("pos"),
-            F.lit(-1).alias("subpos"),
-            n["leaf"].alias("leaf"),
-        ),
-    )
-    tops = nodes.select("case_no", F.explode(F.filter(link, lambda x: x["child"] != "sighting")).alias("x")).select("case_no", "x.*")
-    subs = contained(nodes, "case_no", "candidate", "sighting").select(
-        "case_no", F.lit("sighting").alias("child"), F.col("parent_pos").alias("pos"), F.col("pos").alias("subpos"), "leaf"
-    )
-    return tops.unionByName(subs)
+    """case_no, child, pos, subpos, leaf: every non-null candidate, sighting and member.
+
+    A node at the top is followed by the nodes inside its interval, so one pass over the labels gives
+    all tables and the text of a record is read once.
+    """
+    row = lambda child, pos, sub, leaf: F.struct(child.alias("child"), pos.alias("pos"), sub.cast("int").alias("subpos"), leaf.alias("leaf"))
+
+    def with_inner(p: Column) -> Column:
+        inside = F.filter(F.slice("nodes", p["pre"] + 1, p["desc"]), lambda c: (c["depth"] == p["depth"] + 1) & (c["pre"] > p["pre"]) & (c["post"] < p["post"]))
+        return F.concat(F.array(row(p["kind"], p["pos"], F.lit(-1), p["leaf"])), F.transform(inside, lambda c: row(c["kind"], p["pos"], c["pos"], c["leaf"])))
+
+    tops = F.filter("nodes", lambda n: n["depth"] == 1)
+    return case_tree(cases).select("case_no", F.explode(F.flatten(F.transform(tops, with_inner))).alias("x")).select("case_no", "x.*")

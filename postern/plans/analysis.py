@@ -283,12 +283,6 @@ def a08_mode(spark: SparkSession, d: str) -> DataFrame:
 # --- attribution and enrichment --------------------------------------------------------------
 
 
-def _hops(spark: SparkSession, d: str) -> DataFrame:
-    from postern.functions import headers
-
-    return table(spark, d, "hops").withColumn("ts", headers.header_date("timestampraw"))
-
-
 @query(f"""SELECT msg_no, count(*) AS n_hops, count(DISTINCT CASE WHEN scope = 'PUBLIC' THEN ip END) AS n_public, count(*) FILTER (WHERE scope = 'PRIVATE') AS n_private,
     round(avg(CASE WHEN scope = 'PRIVATE' OR (ip IS NOT NULL AND scope NOT IN ('PUBLIC', 'PRIVATE')) THEN 0 ELSE 1 END), 6) AS t FROM (SELECT *, {SCOPE_SQL} AS scope FROM hops) GROUP BY msg_no""")
 def a12_transparency(spark: SparkSession, d: str) -> DataFrame:
@@ -320,12 +314,6 @@ def attributed(spark: SparkSession, h: DataFrame) -> DataFrame:
     return attribution.attribute(h, known, relays, anonymiser_asns=("AS64504",), anonymiser_orgs=("bench seven",), proxy_hosts=("edge8.",))
 
 
-@query()
-def t12_summary(spark: SparkSession, d: str) -> DataFrame:
-    """T09 and T11 as well."""
-    return attribution.summary(attributed(spark, _hops(spark, d)))
-
-
 @query("SELECT user_id, count(*) FILTER (WHERE ts < prev) AS back, count(*) FILTER (WHERE gap > 3600) AS long_gaps FROM (SELECT user_id, ts, lag(ts) OVER w AS prev, epoch(ts) - epoch(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY 1")
 def w02_monotonicity(spark: SparkSession, d: str) -> DataFrame:
     """A17 as well: order of events against their ids."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postern.functions import headers, mailparse, scoring
 from postern.functions import lexicons as L
-from postern.operators import documents, features
+from postern.operators import attribution, documents, features
 from postern.plans import analysis
 from postern.plans.textual import _NUM, LOOKALIKES, SCOPE_SQL
 from postern.session import table
@@ -435,8 +435,6 @@ def p13_auth_results(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT msg_no, hop_no, token FROM (SELECT msg_no, hop_no, lower({WITH_CLAUSE}) AS p, unnest([" + ", ".join(repr(t) for t in L.PROXY_TOKENS) + "]) AS token FROM hops) WHERE contains(p, token)")
 def t03_indicators(spark: SparkSession, d: str) -> DataFrame:
-    from postern.operators import attribution
-
     return attribution.indicators(table(spark, d, "hops").withColumn("protocol", F.expr(WITH_CLAUSE)))
 
 
@@ -474,20 +472,21 @@ _PIPED = attribution_sql(f"""(SELECT msg_no, i AS hopindex, i AS hop_no, ip, hos
     SELECT CAST(msg_no AS VARCHAR) AS msg_id, primary_ip, round(value, 6) AS value, CASE WHEN value >= 0.7 THEN 'STRONG' WHEN value >= 0.45 THEN 'MODERATE' WHEN value >= 0.25 THEN 'WEAK' ELSE 'INSUFFICIENT' END AS band, CAST(indicators AS INTEGER) AS indicators, array_to_string(list_filter(u, lambda v: v IS NOT NULL), ', ') AS limits FROM gate""")
 def t09_mail_attribution(spark: SparkSession, d: str) -> DataFrame:
     """T03, T04, T09, T11 and T13 over parsed messages: raw message, parser, hops, hints, attribution and what limits it."""
-    from postern.operators import attribution
-
     h = mailparse.hop_rows(parsed(spark, d)).select(F.col("msg_id").alias("msg_no"), F.col("index").alias("hopindex"), F.col("index").alias("hop_no"), "ip", "host", F.col("with").alias("protocol"), headers.header_date("date").alias("ts"))
     a = analysis.attributed(spark, h)
     return a.select(F.col("msg_no").alias("msg_id"), "primary_ip", F.round("value", 6).alias("value"), "band", "indicators", F.array_join(attribution.uncertainty(a), ", ").alias("limits"))
 
 
-@query(_ATTR + """ SELECT msg_no, 'primary ' || coalesce(primary_ip, 'none') || ' confidence ' || printf('%.4f', value) || ' ' || CASE WHEN value >= 0.7 THEN 'STRONG' WHEN value >= 0.45 THEN 'MODERATE' WHEN value >= 0.25 THEN 'WEAK' ELSE 'INSUFFICIENT' END AS head FROM attr""")
-def t12_summary_head(spark: SparkSession, d: str) -> DataFrame:
-    """T12's first clause; t12_summary has the whole line with the disclaimer."""
-    from postern.operators import attribution
+_LIMITS = """[CASE WHEN primary_ip IS NULL THEN 'no public address was observed' END, CASE WHEN n = 1 THEN 'one hop only' END, CASE WHEN basis = 'HEADER_DEPTH' THEN 'some hops carry no usable time' END, CASE WHEN contradicted THEN 'hop times contradict the header order' END,
+    CASE WHEN n_public > 1 THEN 'several public addresses were observed' END, CASE WHEN indicators > 0 THEN 'a relay names an intermediary protocol, or it or its network is on a list of intermediaries' END,
+    CASE WHEN primary_ip IS NOT NULL AND asn IS NULL AND org IS NULL AND country IS NULL THEN 'the network of the primary address is not known' END, CASE WHEN anon_org THEN 'the registered operator is an anonymiser' END]"""
 
-    a = analysis.attributed(spark, table(spark, d, "hops").withColumn("ts", headers.header_date("timestampraw")))
-    return attribution.summary(a).select("msg_no", F.substring_index("summary", ";", 1).alias("head"))
+
+@query(_ATTR + f""" SELECT msg_no, concat_ws('; ', 'primary ' || coalesce(primary_ip, 'none') || ' confidence ' || printf('%.4f', value) || ' ' || CASE WHEN value >= 0.7 THEN 'STRONG' WHEN value >= 0.45 THEN 'MODERATE' WHEN value >= 0.25 THEN 'WEAK' ELSE 'INSUFFICIENT' END,
+    array_to_string(list_filter({_LIMITS}, lambda v: v IS NOT NULL), ', ')) AS summary, '{attribution.DISCLAIMER}' AS disclaimer FROM attr""")
+def t12_summary(spark: SparkSession, d: str) -> DataFrame:
+    """T09 and T11 as well: one line per message, with the disclaimer."""
+    return attribution.summary(analysis.attributed(spark, table(spark, d, "hops").withColumn("ts", headers.header_date("timestampraw"))))
 
 
 @query(f"SELECT msg_no, {header_ms('dateheader')} AS ms, {scoring_ms('dateheader')} AS scoring_ms FROM messages")

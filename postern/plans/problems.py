@@ -51,7 +51,19 @@ QUERIES = {f.__name__: f for f in (p3_found, p3_kept, p5_found, p5_candidates, p
 
 _KEY = "lower(trim(evidencehash)) || '|' || lower(regexp_replace(coalesce(messageid, ''), '^[\\s<>]+|[\\s<>]+$', '', 'g'))"
 
+_TEXT = lambda x: f"CASE json_type({x}) WHEN 'VARCHAR' THEN TRY_CAST({x} ->> '$' AS JSON) ELSE {x} END"
+_ITEMS = lambda x: f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] END"
+_NODES = f"""WITH j AS (SELECT case_no, {_TEXT('t')} AS t FROM (SELECT case_no, TRY_CAST(attributionraw AS JSON) AS t FROM cases WHERE attribution IS NULL AND attributionraw IS NOT NULL)),
+    k AS (SELECT case_no, {_TEXT('a')} AS a FROM (SELECT case_no, coalesce(CASE WHEN json_type(t -> '$.attribution') <> 'NULL' THEN t -> '$.attribution' END, t) AS a FROM j)), l AS (SELECT case_no, {_TEXT('c')} AS c FROM (SELECT case_no, a -> '$.candidates' AS c FROM k)),
+    m AS (SELECT case_no, {_ITEMS('c')} AS items FROM l), raw AS (SELECT case_no, unnest(items) AS c, unnest(range(len(items))) AS pos FROM m),
+    st AS (SELECT case_no, unnest(attribution.candidates) AS c, unnest(range(len(attribution.candidates))) AS pos FROM cases WHERE attribution IS NOT NULL),
+    cand AS (SELECT case_no, pos, coalesce(c.ip, '') AS ip, [CASE WHEN s IS NOT NULL THEN coalesce(s.feed, '') END FOR s IN c.sightings] AS feeds FROM st WHERE c IS NOT NULL
+        UNION ALL SELECT case_no, pos, coalesce(c ->> '$.ip', ''), [CASE WHEN json_type(s) <> 'NULL' THEN coalesce(s ->> '$.feed', '') END FOR s IN {_ITEMS("(c -> '$.sightings')")}] FROM raw WHERE json_type(c) <> 'NULL')"""
+
 SQL = {
+    "p5_found": _NODES + """ SELECT case_no, 'candidate' AS child, CAST(pos AS INTEGER) AS pos, -1 AS subpos, ip AS leaf FROM cand
+        UNION ALL SELECT case_no, 'sighting', CAST(pos AS INTEGER), CAST(i AS INTEGER), f FROM (SELECT case_no, pos, unnest(feeds) AS f, unnest(range(len(feeds))) AS i FROM cand) WHERE f IS NOT NULL
+        UNION ALL SELECT case_no, 'member', CAST(i AS INTEGER), -1, v FROM (SELECT case_no, unnest(members) AS v, unnest(range(len(members))) AS i FROM cases) WHERE v IS NOT NULL""",
     "p3_found": f"""
         SELECT case_no FROM (
             SELECT case_no, row_number() OVER (PARTITION BY {_KEY} ORDER BY ingestedat NULLS LAST, case_no) AS n
