@@ -33,7 +33,9 @@ TITLES = "mr mrs ms miss dr prof herr herrn frau monsieur madame mme mlle señor
 STREET_SEEDS = "st. street road lane avenue rue calle straße str. strasse".split()
 PARTICLES = "van der|van den|van|von der|von|de la|de los|del|de|della|di|da|dos|zu|ter|ten"
 
-CAP, LOW = "A-ZÀ-ÖØ-Þ", "a-zà-öø-ÿ'’"
+# Latin letters of all alphabets, by rule.
+_MORE = [chr(c) for c in range(0x100, 0x250)]
+CAP, LOW = "A-ZÀ-ÖØ-Þ" + "".join(c for c in _MORE if c.isupper()), "a-zà-öø-ÿ'’" + "".join(c for c in _MORE if c.islower())
 _WORD = f"[{CAP}][{LOW}]+"
 _NO_TITLE = r"(?!(?:" + "|".join({t for x in TITLES for t in (x, x.capitalize())}) + r")\b)"
 _AT = r"(?:@| @ | ?[\[(] ?(?:at|AT) ?[\])] ?)"

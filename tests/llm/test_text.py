@@ -1,6 +1,7 @@
 """Text operators: personal data, characters, set joins, packing, leaks, languages."""
 
 import itertools
+import os
 import random
 import unicodedata
 
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postern.llm import langid, leakage, packing, pii, setjoin, unify
+from postern.llm import langid, leakage, packing, pii, queries, setjoin, unify
+from tools.compare import connect, rows
 
 NAMES = ["Corwen", "Hedda", "Zelma", "Yorick"]
 
@@ -202,3 +204,19 @@ def test_conflicts_are_rows(spark):
     conf = spark.createDataFrame([(1, "U+0430", "a"), (2, "а", "o"), (3, "ｂ", "d"), (4, None, None)], "row_no int, c0 string, c1 string")
     assert {tuple(r) for r in unify.conflict_rows(conf).collect()} == {(2, "а", "o", "a"), (3, "ｂ", "d", "b")}
     assert unify.conflict_rows(conf.limit(0)).count() == 0
+
+
+def test_names_of_other_latin_alphabets():
+    got = [t[o[0] : o[1]] for t in ["Dear Mr Łukasz Żeleński, hello", "Signed: Šárka Dvořáková"] for o in pii.candidates(t) if o[2] == "name"]
+    assert "Łukasz Żeleński" in got and "Šárka Dvořáková" in got
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_agree_with_sql(spark, sf, name):
+    if not os.path.exists(sf):
+        pytest.skip("no test tables")
+    df = queries.QUERIES[name](spark, sf)
+    got, cols = rows(df.columns, [tuple(r) for r in df.collect()])
+    r = connect(sf).execute(queries.SQL[name])
+    want, wcols = rows([x[0] for x in r.description], r.fetchall())
+    assert cols == wcols and got == want
