@@ -8,14 +8,12 @@ import __spark_entry__ as entry
 from postern.plans import catalog
 from tools.compare import connect, rows
 
-SLOW = {"c09_campaigns", "u02_unclustered", "m10_findings", "f_features"}
-
 
 def test_every_statement_has_a_query():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in catalog.SQL if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_agrees_with_sql(spark, sf, name):
     if not os.path.exists(sf):
         pytest.skip("no test tables")
