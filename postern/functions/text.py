@@ -91,7 +91,7 @@ def mixed_script(text, table: dict[str, str] | None = None) -> Column:
     return latin & t.rlike(r"[\p{L}&&[\p{IsCyrillic}\p{IsGreek}]]")
 
 
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Arabic", "Hebrew")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai", "Armenian", "Georgian", "Cherokee")
 
 
 def script_of(char) -> Column:

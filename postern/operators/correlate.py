@@ -194,6 +194,15 @@ def campaigns(docs: DataFrame, members: DataFrame, scored: DataFrame, tau: float
     return per.join(stats, "root", "left").join(mode, "root", "left")
 
 
+def ordered_clusters(members: DataFrame) -> DataFrame:
+    """(root, size, members): clusters by falling size, then by their members, which are listed in order.
+
+    A cluster's list is bounded by the cluster.
+    """
+    g = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("members"))
+    return g.orderBy(F.col("size").desc(), "members")
+
+
 def unclustered(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select("id").join(members.select("id"), "id", "left_anti")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,11 +222,27 @@ def hop_velocity(df: DataFrame, key: str, order: str, lat: str, lon: str) -> Dat
 def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int = 1000) -> DataFrame:
     """One row: mean and its 2.5 % and 97.5 % bounds from Poisson resampling seeded by hash.
 
-    Each row's weight in a round is Poisson(1) from a hash of its key, so every executor draws the same.
+    Each row's weight in a round is Poisson(1) from a hash of its key and the round, so every executor
+    draws the same. A task weighs its rows for all rounds at once and hands on one sum per round, so
+    rows are never multiplied and the shuffle holds `rounds` rows a task. NULL values don't count.
     """
-    u = lambda r: F.pmod(F.xxhash64(F.col(key), r), F.lit(1_000_003)) / 1_000_003.0
-    poisson = lambda x: F.when(x < 0.36788, 0).when(x < 0.73576, 1).when(x < 0.91970, 2).when(x < 0.98101, 3).when(x < 0.99634, 4).otherwise(5)
-    rows = df.select(F.col(value).cast("double").alias("v"), key).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)  # a small file is one task else
-    x = rows.select("v", key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
-    m = x.select("v", "r", poisson(u(F.col("r"))).alias("w")).groupBy("r").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    # Cumulated Poisson(1) probabilities; more than 7 has a probability of a hundred-thousandth.
+    cut = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        weights, values = np.zeros(rounds), np.zeros(rounds)
+        for b in batches:
+            v, h = b["v"].to_numpy(dtype=float), b["h"].to_numpy().astype(np.uint64)
+            for i in range(0, len(v), 500):
+                x = h[i : i + 500, None] + turn[None, :]
+                for shift, mix in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(mix)
+                w = np.searchsorted(cut, (x ^ (x >> np.uint64(31))) / 2.0**64)
+                weights += w.sum(axis=0)
+                values += v[i : i + 500] @ w
+        yield pd.DataFrame({"r": np.arange(rounds), "sv": values, "sw": weights})
+
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.xxhash64(key).alias("h")).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)  # a small file is one task else
+    m = rows.mapInPandas(run, "r int, sv double, sw double").groupBy("r").agg((F.sum("sv") / F.nullif(F.sum("sw"), F.lit(0.0))).alias("m"))
     return m.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

@@ -235,7 +235,6 @@ def _link_sql(tail: str) -> str:
 
 @query(_link_sql(" SELECT id, root FROM comps"))
 def c08_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """L03 as well."""
     _, p = _case_pairs(spark, d, L.TAU_CLUSTER)
     return correlate.clusters(p.filter(F.col("combined") >= L.TAU_CLUSTER).select("a", "b"))
 
@@ -267,6 +266,12 @@ def c08_thread_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(e)
 
 
+@query(_link_sql(" SELECT root, count(*) AS size, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM comps GROUP BY root ORDER BY size DESC, members"))
+def l03_cluster_order(spark: SparkSession, d: str) -> DataFrame:
+    _, p = _case_pairs(spark, d, L.TAU_CLUSTER)
+    return correlate.ordered_clusters(correlate.clusters(p.filter(F.col("combined") >= L.TAU_CLUSTER).select("a", "b")))
+
+
 @query("SELECT o_custkey, round(100 * (1 - product(1 - greatest(0, least(100, o_totalprice / 5000)) / 100)), 6) AS risk, count(*) AS n, round(avg(o_totalprice), 6) AS mean_price FROM orders GROUP BY 1")
 def a05_campaign_risk(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(

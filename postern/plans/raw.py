@@ -39,7 +39,13 @@ def z02_lockout(spark: SparkSession, d: str) -> DataFrame:
     return stateful.lockout_batch(a)
 
 
-@query()
+_GRAPH = """ev AS (SELECT m.msg_no AS msg, ip, nullif(regexp_replace(lower(CASE WHEN contains(fromaddr, '<') THEN regexp_extract(fromaddr, '<([^>]*)', 1) ELSE fromaddr END), '^.*@[.-]*', ''), '') AS domain, contains(fromaddr, '@') AS ok FROM messages m LEFT JOIN (SELECT msg_no, ip FROM hops WHERE hopindex = 0) h USING (msg_no)),
+    pairs AS (SELECT DISTINCT 'm' || lpad(CAST(msg AS VARCHAR), 20, '0') AS a, 'z:i:' || ip AS b FROM ev WHERE ip IS NOT NULL UNION SELECT DISTINCT 'm' || lpad(CAST(msg AS VARCHAR), 20, '0'), 'z:d:' || domain FROM ev WHERE domain IS NOT NULL AND ok),
+    edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs)"""
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, cc(id, comp) USING KEY (id) AS (SELECT DISTINCT a, a FROM edges UNION (SELECT DISTINCT ON (u.id) u.id, v.comp FROM recurring.cc u JOIN edges e ON e.a = u.id JOIN cc v ON v.id = e.b WHERE v.comp < u.comp ORDER BY u.id, v.comp))
+    SELECT CAST(id[2:] AS BIGINT) AS msg, CAST(comp[2:] AS BIGINT) AS campaign FROM cc WHERE id LIKE 'm%'""")
 def z01_campaigns(spark: SparkSession, d: str) -> DataFrame:
     """C11 as well: messages joined by address or sender domain."""
     h = table(spark, d, "hops").filter("hopindex = 0").select("msg_no", "ip")

@@ -82,9 +82,10 @@ def x06_mixed_script(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").select("case_no", text.mixed_script("subject", LOOKALIKES).alias("mixed"))
 
 
-@query("""SELECT script, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(ch, '\\p{Latin}') THEN 'Latin' WHEN regexp_matches(ch, '\\p{Cyrillic}') THEN 'Cyrillic'
-    WHEN regexp_matches(ch, '\\p{Greek}') THEN 'Greek' WHEN regexp_matches(ch, '\\p{Han}') THEN 'Han' ELSE 'Common' END AS script
-    FROM (SELECT unnest(string_split(subject, '')) AS ch FROM cases WHERE subject IS NOT NULL) WHERE ch <> '') GROUP BY 1""")
+_SCRIPT = "CASE " + " ".join(f"WHEN regexp_matches(ch, '\\p{{{x}}}') THEN '{x}'" for x in text.SCRIPTS) + " ELSE 'Common' END"
+
+
+@query(f"SELECT script, count(*) AS n FROM (SELECT {_SCRIPT} AS script FROM (SELECT unnest(regexp_extract_all(subject, '(?s).')) AS ch FROM cases WHERE subject IS NOT NULL)) GROUP BY 1")
 def x07_script_histogram(spark: SparkSession, d: str) -> DataFrame:
     """A22 as well: characters by script; letters of one word are counted before the shuffle."""
     ch = table(spark, d, "cases").filter("subject is not null").select(F.explode(F.split("subject", "")).alias("ch")).filter("ch <> ''")
