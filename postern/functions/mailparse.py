@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -316,14 +316,19 @@ def parse(msg_id: str, raw: bytes | None, mode: str = "evidence") -> dict:
 def parse_messages(raw: DataFrame, mode: str = "evidence") -> DataFrame:
     """(msg_id, content) to one nested row per message; narrow, no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([parse(i, c, mode) for i, c in zip(b["msg_id"], b["content"], strict=True)], columns=[f.name for f in fields])
-
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    fields = _parse_datatype_string(SCHEMA).fields
-    return raw.select("msg_id", "content").mapInPandas(run, SCHEMA)
+    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, contents = b.column(0).to_pylist(), b.column(1)
+            for at in range(0, len(ids), 256):  # rows of parsed messages are large
+                rows = [parse(i, c.as_py(), mode) for i, c in zip(ids[at : at + 256], contents[at : at + 256], strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return raw.select("msg_id", "content").mapInArrow(run, SCHEMA)
 
 
 def hop_rows(parsed: DataFrame) -> DataFrame:

@@ -94,7 +94,11 @@ def m08_attribution_confidence(spark: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", F.round(v, 6).alias("value"))
 
 
-@query()
+_FEATURE_NAMES = "[" + ", ".join(repr(f) for f in L.FEATURES) + "]"
+
+
+@query(f"""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY -abs(c), pos) - 1 AS INTEGER) AS rank, feature, round(c, 6) + 0 AS contribution FROM (SELECT o_orderkey, unnest({_FEATURE_NAMES}) AS feature, unnest(range(60)) AS pos,
+    unnest(list_transform(range(1, 61), lambda i: greatest(-2.5, least(2.5, ([{', '.join('[' + ', '.join(map(repr, w)) + ']' for w in scoring.weights())}][k])[i] * coalesce(x[i], 0))))) AS c FROM (SELECT o_orderkey, x, list_position(z, list_max(z)) AS k FROM ({_LOGITS}))) WHERE c <> 0""")
 def m10_findings(spark: SparkSession, d: str) -> DataFrame:
     """W07 as well: clipped terms of the chosen class, strongest first."""
     f = scored(spark, d).select("o_orderkey", F.posexplode(scoring.findings("x", "top")).alias("rank", "f"))

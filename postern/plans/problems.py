@@ -57,13 +57,21 @@ _NODES = f"""WITH j AS (SELECT case_no, {_TEXT('t')} AS t FROM (SELECT case_no,
     k AS (SELECT case_no, {_TEXT('a')} AS a FROM (SELECT case_no, coalesce(CASE WHEN json_type(t -> '$.attribution') <> 'NULL' THEN t -> '$.attribution' END, t) AS a FROM j)), l AS (SELECT case_no, {_TEXT('c')} AS c FROM (SELECT case_no, a -> '$.candidates' AS c FROM k)),
     m AS (SELECT case_no, {_ITEMS('c')} AS items FROM l), raw AS (SELECT case_no, unnest(items) AS c, unnest(range(len(items))) AS pos FROM m),
     st AS (SELECT case_no, unnest(attribution.candidates) AS c, unnest(range(len(attribution.candidates))) AS pos FROM cases WHERE attribution IS NOT NULL),
-    cand AS (SELECT case_no, pos, coalesce(c.ip, '') AS ip, [CASE WHEN s IS NOT NULL THEN coalesce(s.feed, '') END FOR s IN c.sightings] AS feeds FROM st WHERE c IS NOT NULL
-        UNION ALL SELECT case_no, pos, coalesce(c ->> '$.ip', ''), [CASE WHEN json_type(s) <> 'NULL' THEN coalesce(s ->> '$.feed', '') END FOR s IN {_ITEMS("(c -> '$.sightings')")}] FROM raw WHERE json_type(c) <> 'NULL')"""
+    cand AS (SELECT case_no, pos, coalesce(c.ip, '') AS ip, c.scope AS scope, c.origin AS origin, CAST(c.isprimary AS VARCHAR) AS isprimary, [CASE WHEN s IS NOT NULL THEN {{'feed': coalesce(s.feed, ''), 'seenat': s.seenat, 'tags': CAST(to_json(s.tags) AS VARCHAR)}} END FOR s IN c.sightings] AS feeds FROM st WHERE c IS NOT NULL
+        UNION ALL SELECT case_no, pos, coalesce(c ->> '$.ip', ''), c ->> '$.scope', c ->> '$.origin', CASE WHEN lower(c ->> '$.isprimary') IN ('true', 'false') THEN lower(c ->> '$.isprimary') END,
+            [CASE WHEN json_type(s) <> 'NULL' THEN {{'feed': coalesce(s ->> '$.feed', ''), 'seenat': TRY_CAST(s ->> '$.seenat' AS BIGINT), 'tags': CASE WHEN json_type(s -> '$.tags') = 'ARRAY' THEN CAST(s -> '$.tags' AS VARCHAR) END}} END FOR s IN {_ITEMS("(c -> '$.sightings')")}] FROM raw WHERE json_type(c) <> 'NULL'),
+    sized AS (SELECT *, coalesce(len(list_filter(feeds, lambda f: f IS NOT NULL)), 0) AS kids FROM cand),
+    placed AS (SELECT *, 1 + coalesce(sum(1 + kids) OVER (PARTITION BY case_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM sized),
+    sight AS (SELECT case_no, pos AS up, pre AS parent_pre, f, i, row_number() OVER (PARTITION BY case_no, pos ORDER BY i) AS k FROM (SELECT case_no, pos, pre, unnest(feeds) AS f, unnest(range(len(feeds))) AS i FROM placed) WHERE f IS NOT NULL),
+    mem AS (SELECT case_no, v, i, row_number() OVER (PARTITION BY case_no ORDER BY i) AS k FROM (SELECT case_no, unnest(members) AS v, unnest(range(len(members))) AS i FROM cases) WHERE v IS NOT NULL)"""
 
 SQL = {
     "p5_found": _NODES + """ SELECT case_no, 'candidate' AS child, CAST(pos AS INTEGER) AS pos, -1 AS subpos, ip AS leaf FROM cand
-        UNION ALL SELECT case_no, 'sighting', CAST(pos AS INTEGER), CAST(i AS INTEGER), f FROM (SELECT case_no, pos, unnest(feeds) AS f, unnest(range(len(feeds))) AS i FROM cand) WHERE f IS NOT NULL
-        UNION ALL SELECT case_no, 'member', CAST(i AS INTEGER), -1, v FROM (SELECT case_no, unnest(members) AS v, unnest(range(len(members))) AS i FROM cases) WHERE v IS NOT NULL""",
+        UNION ALL SELECT case_no, 'sighting', CAST(up AS INTEGER), CAST(i AS INTEGER), f.feed FROM sight UNION ALL SELECT case_no, 'member', CAST(i AS INTEGER), -1, v FROM mem""",
+    "p5_candidates": _NODES + " SELECT case_no, CAST(pre AS INTEGER) AS pre, CAST(pre + kids - 1 AS INTEGER) AS post, CAST(pos AS INTEGER) AS pos, ip, scope, origin, isprimary FROM placed",
+    "p5_sightings": _NODES + " SELECT case_no, CAST(parent_pre AS INTEGER) AS parent_pre, CAST(parent_pre + k AS INTEGER) AS pre, CAST(parent_pre + k - 2 AS INTEGER) AS post, CAST(i AS INTEGER) AS pos, f.feed AS feed, f.seenat AS seenat, f.tags AS tags FROM sight",
+    "p5_members": _NODES + """ SELECT case_no, CAST(coalesce(n, 0) + k AS INTEGER) AS pre, CAST(coalesce(n, 0) + k - 1 AS INTEGER) AS post, CAST(i AS INTEGER) AS pos, v AS member
+        FROM mem LEFT JOIN (SELECT case_no, sum(1 + kids) AS n FROM sized GROUP BY 1) USING (case_no)""",
     "p3_found": f"""
         SELECT case_no FROM (
             SELECT case_no, row_number() OVER (PARTITION BY {_KEY} ORDER BY ingestedat NULLS LAST, case_no) AS n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postern.functions import headers, mailparse
 from postern.operators import report
+from postern.plans.textual import uuid5_sql
 from postern.session import table
 from postern.sources import files
 from postern.streaming import stateful
@@ -116,12 +117,6 @@ _STIX_ITEMS = r"""(SELECT DISTINCT case_no, type, v FROM (
     UNION ALL SELECT case_no, 'file', v FROM (SELECT case_no, lower(trim(unnest(attachmenthashes), ' ')) AS v FROM cases) WHERE regexp_matches(v, '^[0-9a-f]{64}$')))"""
 
 
-def uuid5_sql(name: str) -> str:
-    """Name-based identifier of a text expression under the fixed namespace."""
-    h = f"sha1(from_hex('00abedb4aa42466c9c01fed23315a9b7') || encode({name}))"
-    return f"(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] FROM (SELECT {h} AS h))"
-
-
 @query(f"SELECT case_no, type, v AS value, type || '--' || {uuid5_sql('type || ' + repr(':') + ' || v')} AS stix_id FROM {_STIX_ITEMS}")
 def k05_case_objects(spark: SparkSession, d: str) -> DataFrame:
     """X18 as well: every observable of every case with its identifier."""

@@ -164,7 +164,13 @@ def x17_content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parts").select("part_no", text.content_hash("body").alias("content"))
 
 
-@query()
+def uuid5_sql(name: str) -> str:
+    """Name-based identifier of a text expression under the fixed namespace."""
+    h = f"sha1(from_hex('00abedb4aa42466c9c01fed23315a9b7') || encode({name}))"
+    return f"(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] FROM (SELECT {h} AS h))"
+
+
+@query(f"SELECT msg_no, {uuid5_sql('messageid')} AS uid FROM messages WHERE messageid IS NOT NULL")
 def x18_uuid5(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").filter("messageid is not null")
     return m.select("msg_no", text.uuid5("00abedb4-aa42-466c-9c01-fed23315a9b7", "messageid").alias("uid"))
