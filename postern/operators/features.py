@@ -174,7 +174,8 @@ def infra_features(evidence: dict[str, Column] | None = None, origin_country: Co
 def vector(features: dict[str, Column]) -> Column:
     """array<double>[60] in vector order; missing and out-of-range values are unobserved."""
     none = F.lit(None).cast("double")
-    return F.array(*[quarantine(features[f]) if f in features else none for f in L.FEATURES])
+    # One pass over the finished array: each value is computed once.
+    return F.transform(F.array(*[features[f].cast("double") if f in features else none for f in L.FEATURES]), quarantine)
 
 
 EVIDENCE = "mx boolean, privacy boolean, registrar string, registrar_country string, origin_country string, age_days int"
