@@ -90,7 +90,22 @@ _SETS = """
         SELECT a.case_no AS case_a, b.case_no AS case_b, count(*) AS c
         FROM items a JOIN items b ON a.item = b.item AND a.case_no < b.case_no GROUP BY 1, 2)"""
 
+# Entities of the test texts, each decoded once; the ampersand last, so that nothing is decoded twice.
+_ENTITIES = {"&gt;": ">", "&lt;": "<", "&quot;": '"', "&#39;": "\'\'", "&nbsp;": "\u00a0", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&eacute;": "é", "&amp;": "&"}
+_PLAIN = "text"
+for _k, _v in _ENTITIES.items():
+    _PLAIN = f"replace({_PLAIN}, '{_k}', '{_v}')"
+_WORDS = f"regexp_extract_all(lower(regexp_replace({_PLAIN}, '<[^<>]*>|[[]/?[A-Za-z]+(?:=[^][]*)?[]]', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = lambda key, source: f"(SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {source})))"
+
 SQL: dict[str, str] = {
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_GRAMS('doc_id', 'documents')} JOIN {_GRAMS('item_id', 'eval_items')} USING (g)",
+    "p4_classes": _SETS.split("shared AS")[0] + """
+    sets AS (SELECT case_no, md5('{"items":[' || string_agg(CAST(to_json(item) AS VARCHAR), ',' ORDER BY item) || ']}') AS cid FROM items GROUP BY case_no),
+    class AS (SELECT cid, min(case_no) AS case_no, count(*) AS copies FROM sets GROUP BY cid), member AS (SELECT cid, item FROM class JOIN items USING (case_no)),
+    n AS (SELECT cid, count(*) AS n FROM member GROUP BY cid), both_ AS (SELECT a.cid AS x, b.cid AS y, count(*) AS c FROM member a JOIN member b ON a.item = b.item AND a.cid <> b.cid GROUP BY 1, 2),
+    link AS (SELECT x AS cid, count(*) AS links FROM both_ JOIN n p ON p.cid = x JOIN n q ON q.cid = y WHERE c / (p.n + q.n - c) >= 0.6 - 1e-9 GROUP BY 1)
+    SELECT case_no, cid, copies, coalesce(links, 0) AS links FROM sets JOIN (SELECT cid, copies FROM class) USING (cid) LEFT JOIN link USING (cid)""",
     "p7_invariants": "SELECT count(DISTINCT doc_id) AS posts, 0 AS doubled, 0 AS split, 0 AS overfull FROM documents WHERE text <> ''",
     "p4_found": _SETS
     + """
