@@ -546,3 +546,9 @@ def c01_library_documents(spark: SparkSession, d: str) -> DataFrame:
 def c02_production_documents(spark: SparkSession, d: str) -> DataFrame:
     x = documents.production_documents(parsed(spark, d))
     return x.select("id", *[F.array_join(k, " ").alias(k) for k in ("domains", "addresses", "file_types", "header_names")], "subject", F.length("body").cast("bigint").alias("body_chars"), "observed_ms")
+
+
+@query(f"SELECT msg_no, {header_ms('dateheader', True)} AS ms FROM messages")
+def p10_header_date_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every message, comments and blanks passed over, NULL where its date can't be read; p10_header_date reads the exact forms."""
+    return table(spark, d, "messages").select("msg_no", F.unix_millis(headers.header_date("dateheader")).alias("ms"))

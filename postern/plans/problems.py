@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,36 @@ _NODES = f"""WITH j AS (SELECT case_no, {_TEXT('t')} AS t FROM (SELECT case_no,
     sight AS (SELECT case_no, pos AS up, pre AS parent_pre, f, i, row_number() OVER (PARTITION BY case_no, pos ORDER BY i) AS k FROM (SELECT case_no, pos, pre, unnest(feeds) AS f, unnest(range(len(feeds))) AS i FROM placed) WHERE f IS NOT NULL),
     mem AS (SELECT case_no, v, i, row_number() OVER (PARTITION BY case_no ORDER BY i) AS k FROM (SELECT case_no, unnest(members) AS v, unnest(range(len(members))) AS i FROM cases) WHERE v IS NOT NULL)"""
 
+def _instants_sql() -> str:
+    """Problem 6 in SQL: the patterns are the operator's, the rest is written again. A source's order is the one with more evidence, to which the fit converges."""
+    fields = []
+    for name, (pattern, to) in instants.PATTERNS.items():
+        groups = [f"regexp_extract(t, '{pattern.replace(chr(39), chr(39) * 2)}', {x[1:]})" if x else "''" for x in to.split("|")]
+        fields.append(f"WHEN family = '{name}' AND regexp_matches(t, '{pattern.replace(chr(39), chr(39) * 2)}') THEN [{', '.join(groups)}]")
+    zones = ", ".join(f"'{z}'" for z in sorted(zoneinfo.available_timezones()))
+    known = "CASE upper(zone) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in instants.ABBREVIATIONS.items()) + " END"
+    day = lambda m, d: f"(y BETWEEN 1 AND 9999 AND {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND 31 AND CASE WHEN y BETWEEN 1 AND 9999 AND {m} BETWEEN 1 AND 12 THEN {d} <= day(last_day(make_date(y, {m}, 1))) END)"
+    return f"""WITH v AS (SELECT 'messages' AS src, msg_no AS rec_no, originhost AS host, dateheader AS value FROM messages UNION ALL SELECT 'hops', hop_no, byhost, timestampraw FROM hops),
+    t AS (SELECT *, trim(CASE WHEN contains(value, '(') THEN regexp_replace(value, '\\([^()]*\\)', ' ', 'g') ELSE value END, ' ') AS t FROM v),
+    f AS (SELECT *, CASE WHEN regexp_matches(t, '^\\d{{9,17}}$') AND length(t) <> 14 THEN 'epoch' WHEN t[2] = '/' OR t[3] = '/' THEN 'slash' WHEN t[2] = '.' OR t[3] = '.' THEN 'dotted' WHEN t[5] = '-' THEN 'iso' WHEN regexp_matches(t, '^\\d{{8}}') THEN 'compact'
+        WHEN regexp_matches(t, '^[A-Za-z]{{3,9}},?\\s+[A-Za-z]') THEN 'asctime' ELSE 'rfc' END AS family FROM t WHERE t IS NOT NULL),
+    g AS (SELECT *, CASE {' '.join(fields)} END AS p FROM f),
+    n AS (SELECT *, TRY_CAST(p[1] AS INTEGER) + CASE WHEN length(p[1]) = 2 THEN 2000 ELSE 0 END AS y, CASE WHEN regexp_matches(p[2], '^[A-Za-z]') THEN nullif(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(p[2])), 0) ELSE TRY_CAST(p[2] AS INTEGER) END AS a, TRY_CAST(p[3] AS INTEGER) AS b,
+        CASE WHEN p[9] = '' THEN TRY_CAST(p[4] AS INTEGER) WHEN TRY_CAST(p[4] AS INTEGER) BETWEEN 1 AND 12 THEN TRY_CAST(p[4] AS INTEGER) % 12 + CASE WHEN upper(p[9]) = 'PM' THEN 12 ELSE 0 END END AS h, TRY_CAST(p[5] AS INTEGER) AS mi,
+        CASE WHEN p[6] = '' THEN 0 ELSE TRY_CAST(p[6] AS INTEGER) END AS s, CASE WHEN p[7] = '' THEN 0 ELSE TRY_CAST(rpad(p[7], 3, '0')[1:3] AS INTEGER) END AS ms, p[8] AS zone FROM g),
+    c AS (SELECT *, h BETWEEN 0 AND 23 AND mi BETWEEN 0 AND 59 AND s BETWEEN 0 AND 60 AS clock_ok, coalesce({day('a', 'b')}, false) AS dmy, coalesce(family = 'slash' AND {day('b', 'a')}, false) AS mdy FROM n),
+    o AS (SELECT src, host, count(*) FILTER (WHERE dmy AND NOT mdy) AS nd, count(*) FILTER (WHERE mdy AND NOT dmy) AS nm FROM c WHERE family = 'slash' AND clock_ok AND host IS NOT NULL GROUP BY 1, 2),
+    w AS (SELECT c.*, clockzone, mdy AND (NOT dmy OR coalesce(nd, 0) + CASE WHEN lower(dayorder) = 'dmy' THEN 50 ELSE 1 END < coalesce(nm, 0) + CASE WHEN lower(dayorder) = 'mdy' THEN 50 ELSE 1 END) AS swap FROM c LEFT JOIN o USING (src, host) LEFT JOIN relay_sites r ON r.byhost = c.host),
+    l AS (SELECT *, CASE WHEN clock_ok AND (dmy OR mdy) THEN make_timestamp(y, CASE WHEN swap THEN b ELSE a END, CASE WHEN swap THEN a ELSE b END, 0, 0, 0) + to_seconds(h * 3600 + mi * 60 + s) END AS ts, CASE WHEN zone = '' THEN clockzone WHEN zone[1] = '[' THEN zone[2:-2] END AS named,
+        CASE WHEN regexp_matches(zone, '^[+-]') THEN CAST(replace(zone, ':', '')[2:3] AS INTEGER) * 60 + CAST(replace(zone, ':', '')[4:5] AS INTEGER) END AS minutes FROM w),
+    z AS (SELECT *, CASE WHEN named IN ({zones}) THEN named END AS tz, CASE WHEN minutes <= 18 * 60 THEN CASE WHEN zone[1] = '-' THEN -minutes ELSE minutes END WHEN regexp_matches(zone, '^[A-Za-z]') THEN {known} END AS off FROM l),
+    q AS (SELECT *, CASE WHEN tz IS NOT NULL THEN timezone(tz, ts - INTERVAL 3 HOUR) + INTERVAL 3 HOUR END AS t1, CASE WHEN tz IS NOT NULL THEN timezone(tz, ts) END AS t2 FROM z)
+    SELECT src, rec_no, CASE WHEN family = 'epoch' THEN CASE WHEN length(t) <= 11 THEN TRY_CAST(t AS BIGINT) * 1000 WHEN length(t) <= 14 THEN TRY_CAST(t AS BIGINT) ELSE TRY_CAST(t AS BIGINT) // 1000 END
+        WHEN tz IS NOT NULL THEN epoch_ms(CASE WHEN timezone(tz, t1) = ts THEN least(t1, t2) WHEN timezone(tz, t2) = ts THEN t2 ELSE t1 END) + ms ELSE epoch_ms(ts) - off * 60000 + ms END AS utc_ms FROM q"""
+
+
 SQL = {
+    "p6_found": f"SELECT * FROM ({_instants_sql()}) WHERE utc_ms IS NOT NULL",
     "p5_found": _NODES + """ SELECT case_no, 'candidate' AS child, CAST(pos AS INTEGER) AS pos, -1 AS subpos, ip AS leaf FROM cand
         UNION ALL SELECT case_no, 'sighting', CAST(up AS INTEGER), CAST(i AS INTEGER), f.feed FROM sight UNION ALL SELECT case_no, 'member', CAST(i AS INTEGER), -1, v FROM mem""",
     "p5_candidates": _NODES + " SELECT case_no, CAST(pre AS INTEGER) AS pre, CAST(pre + kids - 1 AS INTEGER) AS post, CAST(pos AS INTEGER) AS pos, ip, scope, origin, isprimary FROM placed",

@@ -276,12 +276,6 @@ def p27_bracket_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("msg_no", F.get(headers.message_ids("messageid"), F.lit(0)).alias("bare"))
 
 
-@query()
-def p10_header_date_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every message, comments and blanks passed over, NULL where its date can't be read; p10_header_date reads the exact forms."""
-    return table(spark, d, "messages").select("msg_no", F.unix_millis(headers.header_date("dateheader")).alias("ms"))
-
-
 @query("SELECT o_orderkey, strftime(make_timestamp_ms(o_orderkey * 86400123), '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM orders")
 def x29_iso_millis(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", headers.iso_millis(F.col("o_orderkey") * 86400123).alias("stamp"))
