@@ -98,7 +98,40 @@ for _k, _v in _ENTITIES.items():
 _WORDS = f"regexp_extract_all(lower(regexp_replace({_PLAIN}, '<[^<>]*>|[[]/?[A-Za-z]+(?:=[^][]*)?[]]', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')"
 _GRAMS = lambda key, source: f"(SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {source})))"
 
+def _class(test) -> str:
+    """The characters that pass a test, as ranges of a character class: made by rule from the character database."""
+    out, start, last = [], None, None
+    for c in (c for c in range(0xA9, 0x1FC00) if test(chr(c))):
+        if start is None or c != last + 1:
+            if start is not None:
+                out.append((start, last))
+            start = c
+        last = c
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in [*out, (start, last)])
+
+
+def _unified_sql(values: str) -> str:
+    """Problem 2 in SQL over (fieldname, rec_no, pos, value): every character's form by a join, whole texts composed by the engine, look-alikes by word."""
+    picture = _class(lambda c: unify.EMOJI.fullmatch(c) is not None)
+    forms = ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in unify.tables().single.items())
+    emoji = f"[{picture}](?:[\\x{{FE0F}}\\x{{20E3}}\\x{{1F1E6}}-\\x{{1F1FF}}\\x{{1F3FB}}-\\x{{1F3FF}}\\x{{E0020}}-\\x{{E007F}}\\pM]|\\x{{200D}}[{picture}]?)*"
+    mapped = lambda source, key, text: f"(SELECT {key}, nfc_normalize(string_agg(coalesce(f, ch), '' ORDER BY i)) AS m, string_agg(CASE WHEN f = '' THEN '' ELSE ch END, '' ORDER BY i) AS kept FROM (SELECT {key}, unnest(regexp_extract_all({text}, '(?s).')) AS ch, unnest(range(length({text}))) AS i FROM {source}) LEFT JOIN form USING (ch) GROUP BY {key})"
+    ends = "'^[\\s\\pZ\\x{85}]+|[\\s\\pZ\\x{85}]+$', '', 'g'"
+    return f"""WITH form(ch, f) AS (VALUES {forms}), vals AS ({values}), odd AS (SELECT *, row_number() OVER () AS id FROM vals WHERE regexp_matches(value, '[^\\x00-\\x7F]')),
+    named AS (SELECT row_no, c1, CASE WHEN regexp_matches(trim(m, ' '), '^[Uu]\\+[0-9A-Fa-f]{{4,6}}$') THEN chr(CAST('0x' || trim(m, ' ')[3:] AS INTEGER)) WHEN length(trim(kept, ' ')) = 1 THEN trim(kept, ' ') END AS source FROM {mapped('(SELECT row_no, c1, c0 FROM confusables WHERE c0 <> {0})'.format("''"), 'row_no, c1', 'c0')}),
+    look AS (SELECT source AS ch, arg_min(c1, row_no) AS target FROM named WHERE c1 <> '' AND ord(source) > 127 GROUP BY 1),
+    seg AS (SELECT id, fieldname, unnest(s) AS s, unnest(range(len(s))) AS k FROM (SELECT id, fieldname, regexp_extract_all(value, '{emoji}|[^{picture}]+') AS s FROM odd)),
+    plain AS (SELECT id, k, fieldname, CASE WHEN regexp_matches(s, '^[{picture}]') THEN s ELSE m END AS m, regexp_matches(s, '^[{picture}]') AS whole FROM seg LEFT JOIN {mapped('seg', 'id, k', 's')} USING (id, k)),
+    word AS (SELECT id, k, unnest(w) AS w, unnest(range(len(w))) AS j, whole FROM (SELECT id, k, whole, CASE WHEN whole THEN [m] WHEN fieldname = 'domains' THEN regexp_extract_all(m, '[\\pL\\pN\\pM_-]+|[^\\pL\\pN\\pM_-]+') ELSE regexp_extract_all(m, '[\\pL\\pN\\pM]+|[^\\pL\\pN\\pM]+') END AS w FROM plain)),
+    chars AS (SELECT id, k, j, whole, unnest(regexp_extract_all(w, '(?s).')) AS ch, unnest(range(length(w))) AS i FROM word),
+    judged AS (SELECT id, k, j, i, ch, target, NOT whole AND bool_or(target IS NOT NULL) OVER p AND bool_or(target IS NULL AND regexp_matches(ch, '\\p{{Latin}}')) OVER p AS turn FROM chars LEFT JOIN look USING (ch) WINDOW p AS (PARTITION BY id, k, j)),
+    done AS (SELECT id, nfc_normalize(string_agg(CASE WHEN turn AND target IS NOT NULL THEN CASE WHEN ch <> lower(ch) THEN upper(target) ELSE target END ELSE ch END, '' ORDER BY k, j, i)) AS unified FROM judged GROUP BY id)
+    SELECT fieldname, rec_no, pos, unified, regexp_replace(lower(unified), {ends}) AS clean, regexp_replace(lower(value), {ends}) AS before FROM odd JOIN done USING (id)"""
+
+
 SQL: dict[str, str] = {
+    "p2_found": f"""SELECT fieldname, rec_no, pos, clean FROM ({_unified_sql("SELECT 'subject' AS fieldname, case_no AS rec_no, -1 AS pos, subject AS value FROM cases UNION ALL SELECT 'domains', case_no, CAST(i AS INTEGER), v FROM (SELECT case_no, unnest(domains) AS v, unnest(range(len(domains))) AS i FROM cases) UNION ALL SELECT 'c0', row_no, -1, c0 FROM confusables WHERE length(c0) > 1")}) WHERE clean <> before""",
+    "p2_subjects": f"""SELECT case_no, subject, CASE WHEN regexp_matches(subject, '[^\\x00-\\x7F]') THEN u ELSE subject END AS unified FROM cases LEFT JOIN (SELECT rec_no AS case_no, unified AS u FROM ({_unified_sql("SELECT 'subject' AS fieldname, case_no AS rec_no, -1 AS pos, subject AS value FROM cases")})) USING (case_no)""",
     "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_GRAMS('doc_id', 'documents')} JOIN {_GRAMS('item_id', 'eval_items')} USING (g)",
     "p4_classes": _SETS.split("shared AS")[0] + """
     sets AS (SELECT case_no, md5('{"items":[' || string_agg(CAST(to_json(item) AS VARCHAR), ',' ORDER BY item) || ']}') AS cid FROM items GROUP BY case_no),
