@@ -85,7 +85,10 @@ def parameter(value, name: str) -> Column:
 
 
 # Charsets that are decoded as named; others are read as utf-8.
-CHARSETS = "utf-8 us-ascii iso-8859-1 iso-8859-2 iso-8859-15 windows-1250 windows-1251 windows-1252 utf-16 utf-16le utf-16be gb2312 big5 shift_jis koi8-r".split()
+CHARSETS = [
+    "utf-8", "us-ascii", "iso-8859-1", "iso-8859-2", "iso-8859-15", "windows-1250", "windows-1251", "windows-1252", "utf-16", "utf-16le", "utf-16be",
+    "gb2312", "big5", "shift_jis", "koi8-r",
+]
 
 
 def charset(value) -> Column:

@@ -61,7 +61,10 @@ SCHEMA = (
 
 NAME = re.compile(r"^[!-9;-~]+$")
 CLAUSE = re.compile(r"^(by|from|with|id|for|via)$", re.I)
-PROTOCOLS = set("smtp esmtp esmtps esmtpa esmtpsa lmtp lmtps lmtpa lmtpsa http https utf8smtp utf8smtps utf8smtpa utf8smtpsa mmdf uucp".split())
+PROTOCOLS = set([
+    "smtp", "esmtp", "esmtps", "esmtpa", "esmtpsa", "lmtp", "lmtps", "lmtpa", "lmtpsa", "http", "https", "utf8smtp", "utf8smtps", "utf8smtpa",
+    "utf8smtpsa", "mmdf", "uucp",
+])
 QUAD = re.compile(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
 
 

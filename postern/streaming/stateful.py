@@ -45,25 +45,34 @@ def _fold(pdf: pd.DataFrame, failures: list[int], until: int) -> tuple[pd.DataFr
 def lockout_batch(attempts: DataFrame) -> DataFrame:
     """Every attempt (account, ts_ms, ok, seq) with the failures counted and whether the account is locked after it.
 
-    The machine is serial per account. Attempts are brought together and ordered by the shuffle and
-    streamed in Arrow batches with the state carried along, so an account that holds a third of all
-    rows is never held in memory at once.
+    The machine is serial per account, but a pause as long as the window and the lock leaves nothing
+    behind: the next attempt meets an empty machine. So an account's attempts are cut at such pauses
+    into stretches, which many tasks share. Pauses lie between blocks of that length, so they are found
+    in one row per account and block, of which an account has a bounded number however many attempts
+    it has. A stretch is ordered by the shuffle and streamed in Arrow batches with the state carried
+    along, so an account that never pauses is one stream, but never held in memory at once.
     """
+    pause = max(WINDOW_MS, LOCK_MS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         account, failures, until = None, [], 0
         for b in batches:
             n, locked = [], []
-            for a, ts, ok in zip(b["account"], b["ts_ms"], b["ok"], strict=True):
-                if a != account:
-                    account, failures, until = a, [], 0
+            for a, stretch, ts, ok in zip(b["account"], b["stretch"], b["ts_ms"], b["ok"], strict=True):
+                if (a, stretch) != account:
+                    account, failures, until = (a, stretch), [], 0
                 failures, until, now = lock_step(failures, until, int(ts), bool(ok))
                 n.append(len(failures))
                 locked.append(now)
             yield b.assign(failures=pd.Series(n, index=b.index, dtype="int32"), locked=locked)[["account", "ts_ms", "ok", "failures", "locked", "seq"]]
 
-    rows = attempts.filter("account is not null and ts_ms is not null and ok is not null").select("account", "ts_ms", "ok", "seq")
-    return rows.repartition("account").sortWithinPartitions("account", "ts_ms", "seq").mapInPandas(run, LOCK_OUT)
+    rows = attempts.filter("account is not null and ts_ms is not null and ok is not null").select("account", "ts_ms", "ok", "seq", F.floor(F.col("ts_ms") / pause).alias("block"))
+    w = Window.partitionBy("account").orderBy("block")
+    blocks = rows.groupBy("account", "block").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    fresh = F.coalesce(F.col("first") - F.lag("last").over(w) >= pause, F.lit(True))
+    stretches = blocks.withColumn("fresh", fresh.cast("long")).select("account", "block", F.sum("fresh").over(w).alias("stretch"))
+    j = rows.join(stretches, ["account", "block"]).drop("block")
+    return j.repartition("account", "stretch").sortWithinPartitions("account", "stretch", "ts_ms", "seq").mapInPandas(run, LOCK_OUT)
 
 
 def lockout_stream(attempts: DataFrame) -> DataFrame:
