@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postern.functions import ed25519
+from postern.functions import ed25519, scoring
 from postern.operators import audit
 from postern.streaming import stateful
 
@@ -102,3 +102,44 @@ def test_stream_batches_are_appended_once(spark, tmp_path):
 def test_numbers_follow_the_order(spark):
     df = spark.range(1000).selectExpr("id AS k", "concat('l', id) AS line").repartition(7)
     assert {(r["pos"], r["line"]) for r in audit.numbered(df, ["k"]).collect()} == {(i, f"l{i}") for i in range(1000)}
+
+
+def stream_of(spark, df, folder):
+    df.write.parquet(f"{folder}/in")
+    return spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+
+
+def drained(spark, stream, name, folder):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/cp").start()
+    assert q.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_lookups_are_answered_once_in_their_lifetime(spark, tmp_path):
+    df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 05:00:00"), ("b", "2024-01-01 06:00:00"), ("a", "2024-01-01 07:00:00")], "key string, ts string").selectExpr("key", "cast(ts as timestamp) ts").coalesce(1)
+    got = drained(spark, stateful.cached_lookups(stream_of(spark, df, tmp_path)), "lookups", tmp_path)
+    assert sorted(r["key"] for r in got) == ["a", "b"]
+
+
+def test_scores_of_a_stream_are_the_batch(spark, tmp_path):
+    x = [[(i * k % 11) / 10 if i % 3 else None for i in range(60)] for k in range(5)]
+    df = spark.createDataFrame([(k, v, "2024-01-01 00:00:00") for k, v in enumerate(x)], "id int, x array<double>, at string").selectExpr("id", "x", "cast(at as timestamp) arrived")
+    got = drained(spark, stateful.score_stream(stream_of(spark, df, tmp_path), scoring.score).select("id", "risk_final", "band"), "scores", tmp_path)
+    assert {tuple(r) for r in got} == {tuple(r) for r in scoring.score(df).select("id", "risk_final", "band").collect()} and len(got) == 5
+
+
+def test_lockout_is_cut_at_pauses_only(spark):
+    rnd = random.Random(9)
+    rows, ts = [], 0
+    for i in range(400):
+        ts += rnd.choice([1, 30_000, 200_000, 899_999, 900_000, 5_000_000])
+        rows.append(("hot" if rnd.random() < 0.8 else f"a{i % 3}", ts, rnd.random() < 0.1, i))
+    want, state = {}, {}
+    for a, t, ok, seq in rows:
+        failures, until = state.get(a, ([], 0))
+        failures, until, now = stateful.lock_step(failures, until, t, ok)
+        state[a], want[seq] = (failures, until), (len(failures), now)
+    got = stateful.lockout_batch(spark.createDataFrame(rows, "account string, ts_ms bigint, ok boolean, seq bigint")).collect()
+    locked = {r["seq"]: r["locked"] for r in got}
+    assert locked == {k: v[1] for k, v in want.items()} and any(locked.values())
+    assert {r["seq"]: r["failures"] for r in got} == {k: v[0] for k, v in want.items()}
