@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from postern.session import materialize
 
 # Seed titles and seed street types, and particles of surnames.
-TITLES = "mr mrs ms miss dr prof herr herrn frau monsieur madame mme mlle señor señora sr sra señorita".split()
-STREET_SEEDS = "st. street road lane avenue rue calle straße str. strasse".split()
+TITLES = ["mr", "mrs", "ms", "miss", "dr", "prof", "herr", "herrn", "frau", "monsieur", "madame", "mme", "mlle", "señor", "señora", "sr", "sra", "señorita"]
+STREET_SEEDS = ["st.", "street", "road", "lane", "avenue", "rue", "calle", "straße", "str.", "strasse"]
 PARTICLES = "van der|van den|van|von der|von|de la|de los|del|de|della|di|da|dos|zu|ter|ten"
 
 # Latin letters of all alphabets, by rule.
