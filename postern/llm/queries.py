@@ -139,7 +139,7 @@ SQL: dict[str, str] = {
     n AS (SELECT cid, count(*) AS n FROM member GROUP BY cid), both_ AS (SELECT a.cid AS x, b.cid AS y, count(*) AS c FROM member a JOIN member b ON a.item = b.item AND a.cid <> b.cid GROUP BY 1, 2),
     link AS (SELECT x AS cid, count(*) AS links FROM both_ JOIN n p ON p.cid = x JOIN n q ON q.cid = y WHERE c / (p.n + q.n - c) >= 0.6 - 1e-9 GROUP BY 1)
     SELECT case_no, cid, copies, coalesce(links, 0) AS links FROM sets JOIN (SELECT cid, copies FROM class) USING (cid) LEFT JOIN link USING (cid)""",
-    "p7_invariants": "SELECT count(DISTINCT doc_id) AS posts, 0 AS doubled, 0 AS split, 0 AS overfull FROM documents WHERE text <> ''",
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS posts, CAST(0 AS BIGINT) AS doubled, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS overfull FROM documents WHERE text <> ''",
     "p4_found": _SETS
     + """
     SELECT case_a, case_b FROM shared JOIN sizes x ON x.case_no = case_a JOIN sizes y ON y.case_no = case_b
