@@ -244,16 +244,17 @@ def c08_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_link_sql(""", per AS (SELECT root, count(*) AS size, CAST(100 * (1 - product(1 - greatest(0, least(100, risk)) / 100)) AS DOUBLE) AS risk, avg(confidence) AS confidence, min(ms) AS first_ms, max(ms) AS last_ms FROM comps JOIN docs USING (id) GROUP BY root),
-    ins AS (SELECT x.root, combined FROM scored JOIN comps x ON x.id = a JOIN comps y ON y.id = b AND x.root = y.root)
-    SELECT root, size, round(risk, 6) AS risk, round(confidence, 6) AS confidence, first_ms, last_ms, round(cohesion, 6) AS cohesion, round(weakest, 6) AS weakest, links
-    FROM per LEFT JOIN (SELECT root, avg(combined) FILTER (WHERE combined >= 0.62) AS cohesion, min(combined) AS weakest, count(*) FILTER (WHERE combined >= 0.62) AS links FROM ins GROUP BY root) USING (root)"""))
+    ins AS (SELECT x.root, combined, CASE WHEN greatest(jd, ja, 0.5 * c, jh) <= 0 THEN 'none' WHEN greatest(jd, ja) >= greatest(0.5 * c, jh) THEN 'infrastructure' WHEN 0.5 * c >= jh THEN 'content' ELSE 'attachments' END AS dom FROM scored JOIN comps x ON x.id = a JOIN comps y ON y.id = b AND x.root = y.root)
+    , usual AS (SELECT root, arg_min(dom, (-n, dom)) AS dominant FROM (SELECT root, dom, count(*) AS n FROM ins WHERE combined >= 0.62 GROUP BY 1, 2) GROUP BY 1)
+    SELECT root, size, round(risk, 6) AS risk, round(confidence, 6) AS confidence, first_ms, last_ms, round(cohesion, 6) AS cohesion, round(weakest, 6) AS weakest, links, dominant
+    FROM per LEFT JOIN (SELECT root, avg(combined) FILTER (WHERE combined >= 0.62) AS cohesion, min(combined) AS weakest, count(*) FILTER (WHERE combined >= 0.62) AS links FROM ins GROUP BY root) USING (root) LEFT JOIN usual USING (root)"""))
 def c09_campaigns(spark: SparkSession, d: str) -> DataFrame:
     """A05, A06, A07, A08, C10 and J08 as well."""
     docs, p = _case_pairs(spark, d, L.TAU_CLUSTER)
     m = materialize(correlate.clusters(p.filter(F.col("combined") >= L.TAU_CLUSTER).select("a", "b")), "members")
     c = correlate.campaigns(docs, m, p.unionByName(correlate.pair_scores(docs, correlate.missed_pairs(m, p))))
     r = lambda x: F.round(x, 6).alias(x)
-    return c.select("root", "size", r("risk"), r("confidence"), "first_ms", "last_ms", r("cohesion"), r("weakest"), "links")
+    return c.select("root", "size", r("risk"), r("confidence"), "first_ms", "last_ms", r("cohesion"), r("weakest"), "links", "dominant")
 
 
 @query(_link_sql(" SELECT id FROM docs WHERE id NOT IN (SELECT id FROM comps)"))
