@@ -58,7 +58,7 @@ class Model:
 
 
 def score(df: DataFrame, x: str = "x", model: Model | None = None, evidence: str | None = None) -> DataFrame:
-    """Adds z, p (arrays of 8), top, risk, bec, risk_final, confidence, band and verdict.
+    """Adds z, p (arrays of 8), top, risk, bec, risk_final, confidence, band, verdict and automatic; columns of these names are replaced.
 
     `x` is the vector array<double>[60]; a null vector gives NULLs, another length is an error.
     `evidence`: optional array of further independent probabilities. Automation (`automatic`) needs

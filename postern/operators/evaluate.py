@@ -77,9 +77,9 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     t0, f0 = F.coalesce("t", "tp_b"), F.coalesce("f", "fp_b")
     now = F.col("tp") / (F.col("tp") + F.col("fp"))
     was = F.when(t0 + f0 > 0, t0 / (t0 + f0)).otherwise(now)
-    roc = F.sum((F.col("fp") - f0) * (F.col("tp") + t0) / 2.0) / F.max(F.col("n_pos") * F.col("n_neg"))
-    pr = F.sum((F.col("tp") - t0) * (now + was) / 2.0) / F.max("n_pos")
-    return x.agg(roc.alias("roc_auc"), pr.alias("pr_auc"))
+    roc = F.try_divide(F.sum((F.col("fp") - f0) * (F.col("tp") + t0) / 2.0), F.max(F.col("n_pos") * F.col("n_neg")))
+    pr = F.try_divide(F.sum((F.col("tp") - t0) * (now + was) / 2.0), F.max("n_pos"))
+    return x.agg(roc.alias("roc_auc"), pr.alias("pr_auc"))  # NULL without both classes
 
 
 def recall_at_fpr(df: DataFrame, score: str, label: str, rate: float = 0.001) -> DataFrame:
@@ -103,7 +103,7 @@ def calibration_error(df: DataFrame, score: str, label: str, bins: int = 10) ->
 def threshold_for_fpr(df: DataFrame, score: str, label: str, cap: float) -> DataFrame:
     """One row: the least threshold whose false-positive rate stays within the cap, and its recall."""
     ok = curve(df, score, label).filter(F.col("fp") <= cap * F.col("n_neg"))
-    return ok.agg(F.min(F.struct("score", (F.col("tp") / F.col("n_pos")).alias("recall"))).alias("b")).select(F.col("b.score").alias("tau"), F.col("b.recall").alias("recall"))
+    return ok.agg(F.min(F.struct("score", F.try_divide("tp", "n_pos").alias("recall"))).alias("b")).select(F.col("b.score").alias("tau"), F.col("b.recall").alias("recall"))
 
 
 def sender_baseline(df: DataFrame, key: str, order: str, value: str, least: int = 8) -> DataFrame:

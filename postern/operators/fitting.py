@@ -34,6 +34,8 @@ def fit(df: DataFrame, ridge: float = 1e-3, most: int = 100, seed: int = 7) -> t
     dense = F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
     train = parts["train"].select(F.col("label").cast("double").alias("label"), array_to_vector(dense).alias("features"))
     n = {int(r["label"]): r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 8 rows
+    if not n:
+        raise ValueError("no labelled rows to fit")
     weight = F.create_map(*[F.lit(v) for k, c in n.items() for v in (float(k), sum(n.values()) / (len(n) * c))])
     lr = LogisticRegression(family="multinomial", regParam=ridge, elasticNetParam=0.0, maxIter=most, tol=1e-6, standardization=True, weightCol="w")
     m = lr.fit(train.withColumn("w", F.element_at(weight, F.col("label"))))

@@ -242,3 +242,26 @@ def test_folding_of_one_string_is_the_columns(spark):
     table = {"а": "a", "0": "o", "ы": "bl"}
     rows = ["Pаy0​", "ｆｕｌｌ ы", "é­"]
     assert values(spark, lambda c: text.skeleton(c, table), rows) == [text.fold_text(r, table) for r in rows]
+
+
+def test_evaluation_without_rows_or_with_one_class(spark):
+    none = spark.createDataFrame([], "s double, y int, t string, x string, z string")
+    ones = spark.createDataFrame([(0.5, 1, "a", "a", "b"), (0.7, 1, "a", "b", "b")], "s double, y int, t string, x string, z string")
+    for df, pr in ((none, None), (ones, 1.0)):
+        assert tuple(evaluate.roc_auc(df, "s", "y").first()) == (None, pr)
+        assert evaluate.recall_at_fpr(df, "s", "y").first()["recall"] == (1.0 if pr else 0.0)
+    assert tuple(evaluate.overall(none, "t", "x").first()) == (None, None, None) and evaluate.mcnemar(none, "t", "x", "z").first()["p"] == 1.0
+    assert tuple(evaluate.calibration_error(none, "s", "y").first()) == (None, None, None) and tuple(evaluate.bootstrap_mean(none, "t", "s", 5).first()) == (None, None, None)
+    with pytest.raises(ValueError, match="no labelled rows"):
+        fitting.fit(spark.createDataFrame([], "id int, label int, x array<double>"))
+
+
+def test_empty_tables_and_clashing_names(spark):
+    empty = spark.createDataFrame([], "msg_id string, content binary")
+    assert features.vectors(features.mail_columns(mailparse.parse_messages(empty, "features")), {}).count() == 0 and documents.message_sets(mailparse.parse_messages(empty)).count() == 0
+    docs = spark.createDataFrame([], "id string, domains array<string>, addresses array<string>")
+    assert correlate.candidates(docs, False, 0.62).count() == 0 and correlate.single_pairs(spark.createDataFrame([], "a int, b int, tokens_a array<string>, tokens_b array<string>")).count() == 0
+    odd = spark.createDataFrame([(1, [0.5] * 60, "kept", 3)], "id int, x array<double>, z0 string, score int")
+    assert scoring.score(odd).first()["z0"] == "kept"
+    assert evaluate.thread_hijack(spark.createDataFrame([], "id int, seq int, subject string, domains array<string>, origin string")).count() == 0
+    assert attribution.domain_hints(spark.createDataFrame([], "row_no int, domain string, age_days int, mx boolean")).count() == 0
