@@ -1,6 +1,8 @@
 """Online campaigns with state, audit logs of streams, signatures."""
 
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,61 @@ def test_ed25519_vectors(spark):
     assert [tuple(r) for r in ok] == [(True, False), (True, False), (False, False)]
 
 
+def test_ed25519_blocks_are_the_single_ones(spark):
+    rnd = random.Random(3)
+    seed = bytes(range(32))
+    key = ed25519.public_key(seed)
+    base = ed25519._powers()[0][:2]
+    numbers = [0, 1, 2, ed25519.ORDER - 1, ed25519.ORDER, 2**253 - 1, *(rnd.randrange(2**253) for _ in range(20))]
+    assert ed25519._packed((numbers, base)) == [ed25519._pack(ed25519._times(k)) for k in numbers]
+    msgs = [rnd.randbytes(i % 90) for i in range(ed25519.BLOCK + 5)]
+    sigs = ed25519.sign_all(seed, msgs)
+    assert sigs[:9] == [ed25519.sign(seed, m) for m in msgs[:9]] and ed25519.sign_all(seed, []) == []
+    assert all(ed25519.verify_all(key, msgs, sigs)) and ed25519.verify_all(key, [], []) == []
+    # Broken in every part: also a number too large, points that are none or not in their one form, and other keys.
+    m, s = msgs[5], sigs[5]
+    bad = [s[:i] + bytes([s[i] ^ 1]) + s[i + 1 :] for i in (0, 31, 32, 63)] + [s[:32] + (int.from_bytes(s[32:], "little") + ed25519.ORDER).to_bytes(32, "little")]
+    bad += [b"", s[:63], s + b"x", bytes(64), b"\xff" * 32 + s[32:], ed25519.FIELD.to_bytes(32, "little") + s[32:], (1).to_bytes(32, "little") + bytes(32), (1 | 1 << 255).to_bytes(32, "little") + bytes(32)]
+    for k in (key, ed25519.public_key(bytes(32)), b"", b"\xff" * 32, bytes(32), (1).to_bytes(32, "little"), (ed25519.FIELD - 1).to_bytes(32, "little")):
+        assert ed25519.verify_all(k, [m] * (len(bad) + 1), [*bad, s]) == [ed25519.verify(k, m, x) for x in [*bad, s]]
+
+
+def test_signing_is_spread_and_in_blocks(spark):
+    # One file of a few bytes a row: it was one task, and about 12 ms a signature.
+    n = 20_000
+    lines = spark.range(n).coalesce(1).select((F.col("id") * 2 + 1).alias("pos"), F.concat(F.lit('{"hash":"'), F.sha2(F.col("id").cast("string"), 256), F.lit('"}')).alias("line"))
+    signed = audit.sign_heads(lines, bytes(32), 2)
+    parts = signed.select(F.spark_partition_id().alias("p")).distinct().count()
+    at = time.time()
+    assert signed.filter("length(signature) = 88").count() == n and time.time() - at < 40
+    assert parts > 1
+
+
+def test_chains_over_many_spans(spark):
+    events = [{"event": "e", "ts": str(i), "detail": "caf\u00e9" if i % 7 == 0 else 'a "quoted" one' if i % 11 == 0 else "x"} for i in range(300)]
+    chain = list(enumerate(audit.chain_records(events)))
+    cases = [(chain, (True, 300, None, None))]
+    for at in (0, 63, 64, 65, 128, 299):
+        line = chain[at][1]
+        forms = {
+            line.replace('"e"', '"f"', 1): "hash mismatch", "": "not valid JSON", line.replace('"event":"e",', ""): "missing field", line.replace(f'"index":{at},', f'"index":0{at},'): "not valid JSON", line.replace(f'"index":{at},', f'"index":{at + 1},'): "index gap",
+            line.replace('"prev_hash":"', '"prev_hash":"0'): "prev_hash mismatch", line.replace('"subject":""', '"subject":"","subject":""'): "not valid JSON", line.replace('{"event"', '{ "event"'): "hash mismatch",
+        }
+        cases += [([*chain[:at], (at, other), *chain[at + 1 :]], (False, 300, at, why)) for other, why in forms.items()]
+        if at < 299:
+            cases.append(([*chain[:at], *chain[at + 1 :]], (False, 299, at + 1, "prev_hash mismatch")))
+    rows = spark.createDataFrame([(k, *r) for k, (c, _) in enumerate(cases) for r in c], "k int, " + LINES)
+    got = {r["k"]: (r["ok"], r["records"], r["divergence"], r["reason"]) for r in audit.verify_chain(rows.repartition(5), ["k"]).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+    last = audit.verify_chain(spark.createDataFrame(chain, LINES).repartition(3)).first()
+    assert (last["ok"], last["records"], last["head"]) == (True, 300, json.loads(chain[-1][1])["hash"])
+    # Signatures count at their index only, also beyond one span; one past the end of a cut log doesn't.
+    seed, all_ = bytes(32), spark.createDataFrame(chain, LINES)
+    s, level = audit.sign_heads(all_, seed, 50), lambda rows: audit.status(rows, s, ed25519.public_key(seed), 50).select("last_signed", "head_signed", "forged", "assurance").first()
+    assert tuple(level(all_)) == (299, True, False, "SIGNED") and tuple(level(all_.filter("pos < 280"))) == (249, False, False, "SIGNED")
+    assert tuple(level(all_.withColumn("line", F.when(F.col("pos") == 299, F.replace("line", F.lit('"hash":"'), F.lit('"hash":"0'))).otherwise(F.col("line"))))) == (249, False, True, "TAMPERED")
+
+
 LINES = "pos bigint, line string"
 
 
